@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from claimspark.llm.bpe import op5_bpe
 from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
+from claimspark.llm.quality import op2_quality_classifier
 from claimspark.llm.sharding import OP1_SQL, op1_sharding
 from claimspark.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op5_bpe": op5_bpe,
     "op10_token_counts": op10_token_counts,
