@@ -7,12 +7,14 @@ from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
 from claimspark.llm.quality import op2_quality_classifier
 from claimspark.llm.sharding import OP1_SQL, op1_sharding
 from claimspark.llm.token_counts import op10_token_counts
+from claimspark.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op5_bpe": op5_bpe,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
