@@ -5,6 +5,7 @@ from __future__ import annotations
 from claimspark.llm.bpe import op5_bpe
 from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
 from claimspark.llm.fingerprints import op6_fingerprints
+from claimspark.llm.language import op4_language_id
 from claimspark.llm.quality import op2_quality_classifier
 from claimspark.llm.sharding import OP1_SQL, op1_sharding
 from claimspark.llm.token_counts import op10_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_bpe": op5_bpe,
     "op6_fingerprints": op6_fingerprints,
+    "op4_language_id": op4_language_id,
     "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
