@@ -6,6 +6,7 @@ from claimspark.llm.bpe import op5_bpe
 from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
 from claimspark.llm.fingerprints import op6_fingerprints
 from claimspark.llm.language import op4_language_id
+from claimspark.llm.minhash import OP7_SQL, op7_minhash_dedup
 from claimspark.llm.quality import op2_quality_classifier
 from claimspark.llm.sharding import OP1_SQL, op1_sharding
 from claimspark.llm.token_counts import op10_token_counts
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op4_language_id": op4_language_id,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": OP1_SQL,
     "op3_decontamination": OP3_SQL,
+    "op7_minhash_dedup": OP7_SQL,
 }
