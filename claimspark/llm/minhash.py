@@ -281,7 +281,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is the least of their group, with their own columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept"))
-    return docs.join(found.select(F.col(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    dropped = materialize(found.select(id_col).distinct(), "dedup-dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(*docs.columns)
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:

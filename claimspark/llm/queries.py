@@ -7,6 +7,7 @@ from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
 from claimspark.llm.fingerprints import op6_fingerprints
 from claimspark.llm.language import op4_language_id
 from claimspark.llm.minhash import OP7_SQL, op7_minhash_dedup
+from claimspark.llm.pii import op9_pii
 from claimspark.llm.quality import op2_quality_classifier
 from claimspark.llm.sharding import OP1_SQL, op1_sharding
 from claimspark.llm.token_counts import op10_token_counts
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {
