@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions import text as X
-from claimspark.operators import ledger, retrieval, transcript
+from claimspark.operators import audit, ledger, retrieval, transcript
 from claimspark.session import table
 
 
@@ -189,9 +189,36 @@ def sections_fill(spark, d):
     return found.groupBy("doc", "item").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
 
 
+def stances(spark, d) -> DataFrame:
+    """Each claim's five best passages as agents: one that shares over a third of the words supports, a distant one contradicts if it names a number."""
+    match = risk_match_overlap_topk(spark, d).select(F.col("query").alias("cid"), "id", "score")
+    named = passages(spark, d).select("id", F.col("text").rlike("[0-9]").alias("numbers"))
+    stance = F.when(F.col("score") > 0.33, "supports").when(F.col("numbers"), "contradicts").otherwise("not_found")
+    return named.join(F.broadcast(match), "id").select(F.col("cid").alias("id"), stance.alias("stance"))  # five rows for each claim
+
+
+def audit_rows(spark, d):
+    hedging = hedging_delta(spark, d).select("id", "hedging")
+    return audit.claim_rows(claims(spark, d), stances(spark, d), hedging, F.lower("text").contains("thing"))
+
+
+def inflation_axes(spark, d):
+    score = X.specificity_score(X.specificity(F.col("text")))
+    return passages(spark, d).select("id", F.round(audit.inflation(score, X.puffery_density("text"), F.lower("text").contains("thing")), 4).alias("inflation"))
+
+
+def evidence_gap_verdict(spark, d):
+    return audit_rows(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("claims"), F.sum("checked").alias("checked"))
+
+
+def ledger_rollup(spark, d):
+    return audit.roll_up(audit_rows(spark, d), F.col("id") % 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        audit_rows, inflation_axes, evidence_gap_verdict, ledger_rollup,
         novelty_best_match, novelty_added, dropped_passages, drift_follow, keyword_search_topk, risk_match_overlap_topk, bm25_topk, rrf_fusion,
         retrieval_plan_union, cosine_topk, token_sets, puffery_density, lexicon_densities, hedging_delta, specificity_axes, number_tokens,
         passage_packing, passage_offsets, provenance_groups, hash_select_sample, leak_filter, qa_boundary, within_speaker_delta, speech_rate_delta,
@@ -242,7 +269,21 @@ CLIMB = LINES + """, ranked AS (SELECT *, length(text) % 21 AS item FROM lines W
 kept AS (SELECT doc, pos, item FROM (SELECT *, max(item) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ranked) WHERE b IS NULL OR item > b)"""
 PUFF = "', '".join(X.PUFFERY)
 
+SPECIFIC = rf"(regexp_matches(text, '\d')::INT + regexp_matches(text, '{X.DATE}')::INT + regexp_matches(text, '{X.BASELINE}')::INT + regexp_matches(text, '{X.VERIFIER}')::INT)"
+PUFFERY_OF = f"""(CASE WHEN len(w) > 0 THEN 100.0 * len(list_filter(w, lambda x: lower(x) IN ('{PUFF}') OR regexp_matches(lower(x), '{X.SUPERLATIVE}'))) / len(w) ELSE 0 END)"""
+INFLATION = f"((1 - {SPECIFIC} / 6) + least({PUFFERY_OF} / 5, 1.0) + (contains(lower(text), 'thing'))::INT) / 3"
+AUDIT = f"""{BEST}, {DENSITY.format(rows=ALL_TEXTS, name='dens')}, hd AS (SELECT m.id, round(a.strong_modal - b.weak_modal, 6) AS hedging FROM m JOIN dens a ON a.id = 'c' || m.id JOIN dens b ON b.id = 'p' || m.closest_id),
+{MATCH}, st AS (SELECT x.query AS id, CASE WHEN score > 0.33 THEN 's' WHEN regexp_matches(text, '[0-9]') THEN 'c' ELSE 'n' END AS stance FROM x JOIN documents ON doc_id = x.id),
+sd AS (SELECT id, count(*) FILTER (stance = 's') AS s, count(*) FILTER (stance = 'c') AS c FROM st GROUP BY id),
+al AS (SELECT item_id AS id, text, regexp_extract_all(text, '[A-Za-z][A-Za-z-]*') AS w, coalesce(s, 0) AS s, coalesce(sd.c, 0) AS c, CASE WHEN hedging > 0 THEN least(hedging / 5, 1.0) END AS h FROM benchmark LEFT JOIN sd ON sd.id = item_id LEFT JOIN hd ON hd.id = item_id),
+gp AS (SELECT *, round(CASE WHEN s + c > 0 AND h IS NOT NULL THEN (c / (s + c) + h) / 2 WHEN s + c > 0 THEN c / (s + c) ELSE h END, 4) AS gap FROM al),
+au AS (SELECT id, round({INFLATION}, 4) AS inflation, gap, s + c AS checked, CASE WHEN gap IS NULL THEN 'abstain' WHEN c > 0 AND gap >= 0.5 THEN 'contradicted' ELSE 'consistent' END AS verdict FROM gp)"""
+
 ORACLES = {
+    "audit_rows": f"WITH {AUDIT} SELECT * FROM au",
+    "inflation_axes": f"SELECT id, round({INFLATION}, 4) AS inflation FROM (SELECT doc_id AS id, text, regexp_extract_all(text, '[A-Za-z][A-Za-z-]*') AS w FROM documents)",
+    "evidence_gap_verdict": f"WITH {AUDIT} SELECT verdict, count(*) AS claims, sum(checked)::BIGINT AS checked FROM au GROUP BY verdict",
+    "ledger_rollup": f"WITH {AUDIT} SELECT id % 4 AS ledger, count(*) AS claims, count(*) FILTER (verdict = 'abstain') AS abstained, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'consistent') AS consistent, sum(checked)::BIGINT AS evidence, round(count(*) FILTER (verdict = 'abstain') / count(*), 3) AS abstain_rate FROM au GROUP BY 1",
     "novelty_best_match": f"WITH {BEST} SELECT * FROM m",
     "novelty_added": f"WITH {BEST} SELECT id, closest FROM m WHERE status = 'added'",
     "dropped_passages": f"WITH {O4}, b AS (SELECT r, max(shared / least(l_n, r_n)) AS best FROM o GROUP BY r) SELECT doc_id AS id, round(coalesce(best, 0), 4) AS similarity FROM documents LEFT JOIN b ON r = doc_id WHERE round(coalesce(best, 0), 4) < 0.6",
