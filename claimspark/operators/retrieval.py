@@ -103,7 +103,9 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
     parts = []
     for i in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
-        q = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
+        if not rows:
+            continue
+        q = np.array([r["v"] for r in rows], float)
         shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), unit(q)))
 
         def run(batches, shared=shared):
@@ -124,8 +126,8 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
                 yield out[out["score"] > -1.5]
 
         parts.append(vectors.select("id", F.col("v")).mapInPandas(run, schema))
-    found = parts[0]
-    for p in parts[1:]:
+    found = spark.createDataFrame([], schema)
+    for p in parts:
         found = found.unionByName(p)
     return top(found, k)
 
