@@ -9,9 +9,9 @@ maximum, and equal between two sets with about the chance of their similarity. R
    shares most with. Nodes linked so far make groups.
 3. Buckets whose nodes are of one group have nothing more to give. In the others, pairs across
    groups remain. In buckets of up to SMALL nodes these pairs are estimated jointly by likelihood from both registers and the
-   known set sizes, and the plausible ones are confirmed on full sets. Larger buckets are dealt out in blocks of BLOCK nodes;
-   a task has the full sets of two blocks, confirms pairs across groups and returns only links that
-   join groups. Group members are never listed in pairs.
+   known set sizes, and the plausible ones are confirmed on full sets. In larger ones every node meets only the nodes outside
+   the bucket's largest group, by blocks of BLOCK nodes: a task has the full sets of two blocks, confirms pairs across
+   groups and returns only links that join groups. Group members are never listed in pairs.
 
 A pair of similarity 0.8 shares no bucket with the chance (1 - 0.8 ** ROWS) ** (M / ROWS), below 5e-8.
 """
@@ -38,6 +38,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: Pairs whose likeliest similarity is below this are not confirmed: over four standard errors below PERCENT.
 PLAUSIBLE = 0.66
 SMALL, BLOCK = 12, 256
+#: Bands whose large buckets are searched first.
+FIRST_BANDS = 4
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -169,26 +171,30 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join groups, within the buckets of members (bucket, node, group, size), by blocks.
 
-    A bucket of `size` nodes has ceil(size / BLOCK) blocks, and a cell for each two of them (or one with itself)."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    cells = members.select("bucket", "node", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "group", (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("alone"))
+    A pair across groups has at least one node outside the bucket's largest group. So every node goes to a block of about BLOCK nodes and meets, block by
+    block, only those outside; a cell is a block of nodes with a block of outside ones."""
+    counted = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max_by("group", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("outside"))
+    rows = members.join(largest, "bucket").withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "others": F.ceil(F.col("outside") / BLOCK).cast("int")})
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    place = lambda i, j, side: F.struct(F.xxhash64("bucket", i, j).alias("cell"), F.lit(side).alias("side"))
+    here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: place(at(F.col("blocks")), j, 0))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: place(i, at(F.col("others")), 1))
+    cells = rows.select("node", "group", F.inline(F.when(F.col("group") == F.col("largest"), here).otherwise(F.concat(here, meets))))
     schema = T.StructType([T.StructField(c, members.schema["node"].dataType) for c in "ab"])
 
     def run(cell):
         import pandas as pd
 
-        side = cell["side"].to_numpy()
-        edges = spanning([s.view(np.uint64) for s in cell["set"]], cell["group"].to_numpy(), None if cell["alone"].iloc[0] else side)
+        edges = spanning([s.view(np.uint64) for s in cell["set"]], cell["group"].to_numpy(), cell["side"].to_numpy())
         node = cell["node"].to_numpy()
         return pd.DataFrame({"a": node[[e[0] for e in edges]], "b": node[[e[1] for e in edges]]})
 
     return cells.join(sets, "node").groupBy("cell").applyInPandas(run, schema)
 
 
-def spanning(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links between sets of different groups (and sides, if given), as few as join what they join."""
+def spanning(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of different groups and sides, as few as join what they join."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     if n < 2 or len(set(group.tolist())) < 2:
@@ -208,9 +214,7 @@ def spanning(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None)
         shared += part @ part.T
     shared = np.rint(shared).astype(np.int64)
     link = 100 * shared >= PERCENT * (size[:, None] + size[None, :] - shared)
-    link &= group[:, None] != group[None, :]
-    if side is not None:
-        link &= side[:, None] != side[None, :]
+    link &= (group[:, None] != group[None, :]) & (side[:, None] != side[None, :])
     root = {g: g for g in set(group.tolist())}
 
     def find(g):
@@ -229,8 +233,8 @@ def spanning(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None)
 
 def groups_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) of the nodes that are linked with another; nodes: (node, n, registers) by distinct sets, docs: (ID, TEXT)."""
-    band = lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    banded = nodes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), band)).alias("bucket"))
+    band = lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"))
+    banded = nodes.select("node", "n", F.inline(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), band)))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(banded.join(shared, "bucket"), "dedup-members")
     sets = materialize(sets_of(docs, materialize(members.select("node").distinct(), "dedup-needed")), "dedup-sets")
@@ -238,24 +242,30 @@ def groups_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     best = members.where("node <> first").groupBy(F.col("node").alias("b"), F.col("first").alias("a")).agg(F.count(F.lit(1)).alias("bands"))
     best = best.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a"))
     links = materialize(confirmed(best, sets), "dedup-links")
-
     groups = components(links)
-    grouped = members.join(groups, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("group"))
-    mixed_up = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
-    open_members = materialize(grouped.join(mixed_up, "bucket"), "dedup-open")
 
-    small = open_members.where(F.col("size") <= SMALL)
+    small = still_open(members.where(F.col("size") <= SMALL), groups)
     left, right = (small.select("bucket", F.col("node").alias(e), F.col("n").alias(f"{e}_n"), F.col("group").alias(f"{e}_group")) for e in "ab")
     pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & sizes_allow("a_n", "b_n")).select("a", "b").distinct()
     more = materialize(confirmed(materialize(plausible(pairs, nodes), "dedup-pairs"), sets), "dedup-links")
     links = links.unionByName(more)
 
-    large = open_members.where(F.col("size") > SMALL)
-    if not large.isEmpty():
-        links = links.unionByName(materialize(links_in_cells(large, sets), "dedup-links"))
+    large = members.where(F.col("size") > SMALL)
+    if large.isEmpty():
+        return components(links)
+    # A few bands first: they join most of what belongs together, so that later ones have few nodes outside a largest group.
+    for these in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        links = links.unionByName(materialize(links_in_cells(still_open(large.where(these), components(links)), sets), "dedup-links"))
     return components(links)
 
 
+def still_open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one group, with their group."""
+    grouped = members.join(groups, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("group"))
+    open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
+    return materialize(grouped.join(open_, "bucket"), "dedup-open")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by a similarity of at least PERCENT hundredths, confirmed on full sets.
 
