@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.operators.sizes import broadcast_if_small
+
 # The word list and patterns that define puffery and specificity.
 PUFFERY = [
     "amazing", "best", "best-in-class", "brilliant", "compelling", "cutting-edge", "exceptional", "excellent", "extraordinary", "fantastic",
@@ -87,12 +89,12 @@ def specificity_score(axes: dict[str, Column]) -> Column:
 def densities(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Words of each category per hundred words: id_col, words, and one column for each of the lexicon's categories.
 
-    lexicon: (word, category), lower-cased; it is a word list and is broadcast. Texts without words score 0.
+    lexicon: (word, category), lower-cased; it is broadcast while it is small. Texts without words score 0.
     """
     categories = sorted(r["category"] for r in lexicon.select("category").distinct().collect())
     w = docs.select(id_col, F.explode_outer(F.transform(words(text_col), F.lower)).alias("word"))
     members = lexicon.groupBy("word").agg(F.collect_set("category").alias("categories"))
-    hit = w.join(F.broadcast(members), "word", "left")
+    hit = w.join(broadcast_if_small(members), "word", "left")
     counts = hit.groupBy(id_col).agg(F.count("word").alias("words"), *[F.count_if(F.array_contains("categories", c)).alias(c) for c in categories])
     return counts.select(id_col, "words", *[per_hundred(F.col(c), F.col("words")).alias(c) for c in categories])
 

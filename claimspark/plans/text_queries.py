@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import text as X
 from claimspark.operators import audit, ledger, retrieval, transcript
+from claimspark.operators.sizes import broadcast_if_small
 from claimspark.session import table
 
 
@@ -194,7 +195,7 @@ def stances(spark, d) -> DataFrame:
     match = risk_match_overlap_topk(spark, d).select(F.col("query").alias("cid"), "id", "score")
     named = passages(spark, d).select("id", F.col("text").rlike("[0-9]").alias("numbers"))
     stance = F.when(F.col("score") > 0.33, "supports").when(F.col("numbers"), "contradicts").otherwise("not_found")
-    return named.join(F.broadcast(match), "id").select(F.col("cid").alias("id"), stance.alias("stance"))  # five rows for each claim
+    return named.join(broadcast_if_small(match), "id").select(F.col("cid").alias("id"), stance.alias("stance"))
 
 
 def audit_rows(spark, d):
