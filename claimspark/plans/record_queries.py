@@ -35,14 +35,14 @@ def day(c: str):
 
 
 def facts_verify_range_join(spark, d):
-    """Each customer's order totals of a quarter as filed facts, and claims that round half of them."""
+    """Each customer's order totals of a quarter as filed facts, and a claim on each of them, rounded or overstated."""
     o = table(spark, d, "orders")
     q = F.date_trunc("quarter", "o_orderdate").cast("date")
     filed = o.groupBy(F.col("o_custkey").alias("company"), q.alias("start")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
     facts = filed.select("company", F.lit("orders").alias("tag"), "start", F.date_sub(F.add_months("start", 3), 1).alias("end"), (F.col("cents") / 100).alias("value"))
     stated = F.when(F.col("company") % 3 == 0, F.round(F.col("value"), -3)).otherwise(F.round(F.col("value") * 1.1, -3))
     period = F.format_string("%d-Q%d", F.year("start"), F.quarter("start"))
-    claims = facts.where("company % 2 = 0").select(F.concat_ws("-", "company", period).alias("claim"), "company", period.alias("period"), stated.alias("stated"), F.lit(500.0).alias("step"), F.array(F.lit("revenue"), F.lit("orders")).alias("tags"))
+    claims = facts.select(F.concat_ws("-", "company", period).alias("claim"), "company", period.alias("period"), stated.alias("stated"), F.lit(500.0).alias("step"), F.array(F.lit("revenue"), F.lit("orders")).alias("tags"))
     return verification.verify(claims, facts)
 
 
@@ -105,7 +105,7 @@ def scoring_units(spark, d):
     """Observations that one purchase names together are one unit: edges between a user's purchases' observations."""
     e = evidence(spark, d).where("status = 'purchase'")
     before = F.lag("k").over(W.partitionBy("claim").orderBy("seq"))
-    edges = e.where("claim % 10 = k % 10").withColumn("b", before).where("b is not null").select(F.concat(F.lit("k"), "k").alias("a"), F.concat(F.lit("k"), "b").alias("b")).distinct()
+    edges = e.withColumn("b", before).where("b is not null").select(F.concat(F.lit("k"), "k").alias("a"), F.concat(F.lit("k"), "b").alias("b")).distinct()
     return ledger.units(edges)
 
 
@@ -177,10 +177,10 @@ def brier_nll(spark, d):
 
 
 def aligned(spark, d) -> DataFrame:
-    """Gold: languages; a prediction for documents of an even id, made from the source."""
+    """Gold: languages; a prediction for every document with a text, made from its length."""
     docs = table(spark, d, "documents")
     gold = docs.select("doc_id", F.col("lang").alias("gold"))
-    made = docs.where("doc_id % 2 = 0").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.length("text") % 4 + 1).cast("int")).alias("prediction"))
+    made = docs.where("length(text) > 0").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.length("text") % 4 + 1).cast("int")).alias("prediction"))
     return scoring.align(gold, made, "doc_id")
 
 
