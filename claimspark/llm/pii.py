@@ -8,7 +8,7 @@ is a permutation whatever the two moduli are, so no value has to be walked back
 | kind | check | permuted |
 |-|-|-|
 | card | 13 to 19 digits, perhaps grouped, with a Luhn check digit | all digits but the first and last; the check digit is renewed |
-| phone | North American: area and exchange begin with 2 to 9 | area, exchange and line |
+| phone | three, three and four digits, perhaps after a 1 and in brackets | all three; an issued number (area and exchange begin with 2 to 9) stays one |
 | ip | four numbers up to 255 | all four |
 | ssn | three, two and four digits in the issued ranges | all three |
 | date | a day from 1700 to 2099, year-month-day or month/day/year | the day |
@@ -34,7 +34,7 @@ KINDS: dict[str, str] = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
     "secret": r"(?i:password|passwd|token|secret|api_?key)\s*[=:]\s*\"?[A-Za-z0-9+/_-]{6,}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "date": r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -49,7 +49,7 @@ def digest_number(key: str, kind: str, step: Column, value: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: int, b: int, key: str, kind: str, reverse: bool = False) -> Column:
+def feistel(left: Column, right: Column, a: int | Column, b: int, key: str, kind: str, reverse: bool = False) -> Column:
     """A struct (l, r): the keyed permutation of pairs of a residue of a and one of b."""
     sign = -1 if reverse else 1
     steps = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if reverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
@@ -111,9 +111,16 @@ def card(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
 def phone(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
     digits = digits_of(value)
     ten = F.substring(digits, F.length(digits) - 9, F.lit(10))
-    l = (number(ten, 1, 3) - 200) * 800 + number(ten, 4, 3) - 200  # noqa: E741
-    pair = feistel(l, number(ten, 7, 4), 640_000, 10_000, key, "phone", reverse)
-    new = F.concat(((pair["l"] / 800).cast("long") + 200).cast("string"), (F.pmod(pair["l"], F.lit(800)) + 200).cast("string"), padded(pair["r"], 4))
+    area, exchange = number(ten, 1, 3), number(ten, 4, 3)
+    # 800 * 800 pairs are issued; the others are 200 areas with 1000 exchanges, then 800 areas with 200.
+    issued = (area >= 200) & (exchange >= 200)
+    other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    l = F.when(issued, (area - 200) * 800 + exchange - 200).otherwise(other)  # noqa: E741
+    pair = feistel(l, number(ten, 7, 4), F.when(issued, 640_000).otherwise(360_000), 10_000, key, "phone", reverse)
+    at = pair["l"]
+    area = F.when(issued, (at / 800).cast("long") + 200).when(at < 200_000, (at / 1000).cast("long")).otherwise(((at - 200_000) / 200).cast("long") + 200)
+    exchange = F.when(issued, F.pmod(at, F.lit(800)) + 200).when(at < 200_000, F.pmod(at, F.lit(1000))).otherwise(F.pmod(at, F.lit(200)))
+    new = F.concat(padded(area, 3), padded(exchange, 3), padded(pair["r"], 4))
     return F.length(digits).between(10, 11), refilled(value, F.concat(F.when(F.length(digits) == 11, "1").otherwise(""), new))
 
 

@@ -308,6 +308,27 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymize(docs, "k").count() == docs.count() and pii.pseudonymize(empty, "k").count() == 0
 
 
+def test_phones_of_any_area(spark):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(000) 000-0000", "1-555-199-0001", "017.555.7713", "+1 (999) 199-9999", "+1 (212) 555-0123", "212-555-0123"]
+    df = spark.createDataFrame([(i, f"call {p} now") for i, p in enumerate(phones)], "doc_id long, text string")
+    made = pii.pseudonymize(df, "key")
+    out = {r["doc_id"]: r for r in rows_of(made)}
+    digits = ["".join(c for c in out[i]["text"] if c.isdigit())[-10:] for i in range(len(phones))]
+    assert all(out[i]["pii_kinds"] == ["phone"] and p not in out[i]["text"] for i, p in enumerate(phones))
+    assert digits[0] == digits[4] and digits[6] == digits[7] and len(set(digits)) == 6
+    back = {r["doc_id"]: r["text"] for r in rows_of(pii.pseudonymize(made, "key", reverse=True))}
+    assert [back[i] for i in range(len(phones))] == [f"call {p} now" for p in phones]
+
+
+def test_phone_permutation_is_closed(spark):
+    ten = F.format_string("%03d%03d%04d", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)) for i, n in enumerate((1000, 1000, 10_000))])
+    df = spark.range(4000).select("id", ten.alias("v")).select("id", "v", pii.phone(F.col("v"), "k", False)[1].alias("p")).select("*", pii.phone(F.col("p"), "k", True)[1].alias("b"))
+    rows = df.collect()
+    issued = lambda v: v[0] >= "2" and v[3] >= "2"
+    assert all(len(r["p"]) == 10 and r["b"] == r["v"] and issued(r["p"]) == issued(r["v"]) for r in rows)
+    assert len({r["p"] for r in rows}) == len({r["v"] for r in rows})
+
+
 def test_feistel_permutes(spark):
     pairs = spark.range(7 * 11).select((F.col("id") / 11).cast("long").alias("l"), (F.col("id") % 11).alias("r"))
     made = pairs.select("l", "r", pii.feistel(F.col("l"), F.col("r"), 7, 11, "k", "test").alias("p"))
