@@ -128,7 +128,7 @@ def passage_offsets(spark, d):
 
 
 def provenance_groups(spark, d):
-    items = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("quote"))
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("quote"))
     return ledger.provenance_groups(items)
 
 

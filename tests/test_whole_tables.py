@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 from datetime import date, datetime
 
 from claimspark.plans import catalogue
@@ -49,3 +50,15 @@ def test_predictions_for_every_text(spark, tmp_path):
     assert found == want
     recall = {r["label"]: r["recall"] for r in catalogue.QUERIES["class_metrics"](spark, str(tmp_path)).collect()}
     assert recall == {x: round(want.get((x, x), 0) / 2, 6) for x in ("en", "fr", "de", "es")}
+
+
+def test_provenance_groups_of_every_language(spark, tmp_path):
+    texts = [("en", "Net sales rose."), ("fr", "net SALES rose"), (None, "Net, sales; rose!"), ("fr", "L'ÉTÉ à Évian"), ("fr", "l été À évian."), ("de", "GRÖSSE über alles"), ("de", "Größe über alles"), ("es", "AÑO nuevo"), ("es", "año, nuevo"), ("es", "...")]
+    put(spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string"), tmp_path, "documents")
+    want = {}
+    for i, (_, t) in enumerate(texts):
+        key = "grp-" + hashlib.sha256(re.sub(r"\W+", " ", t.lower()).strip().encode()).hexdigest()[:12]
+        n, first = want.get(key, (0, i))
+        want[key] = n + 1, first
+    found = {r["group"]: (r["members"], r["first"]) for r in catalogue.QUERIES["provenance_groups"](spark, str(tmp_path)).collect()}
+    assert found == want and sorted(n for n, _ in want.values()) == [1, 1, 1, 2, 2, 3]
