@@ -95,7 +95,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int, k1: float = 1.2, b: fl
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """query, id, score (cosine), rank among all other vectors. vectors, queries: (id, v); queries go in blocks of bounded size,
-    each broadcast once, and every batch of vectors returns its own k best for each query."""
+    each broadcast once, and every batch of vectors returns its own k best for each query, of equals the least ids."""
     spark = vectors.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // block))
@@ -115,15 +115,17 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
             for batch in batches:
                 if not len(batch) or not len(ids):
                     continue
+                batch = batch.sort_values("id")
                 own = batch["id"].to_numpy()
                 s = q @ unit(np.stack(batch["v"].to_numpy()).astype(float)).T
                 s[ids[:, None] == own[None, :]] = -2.0
-                most = min(k + 8, len(own))
-                best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                query = np.repeat(ids, most)
-                score = np.take_along_axis(s, best, 1).ravel()
-                out = pd.DataFrame({"query": query, "id": own[best.ravel()], "score": score})
-                yield out[out["score"] > -1.5]
+                s = np.round(s, 12)  # a product's last bits depend on the place in the batch
+                most = min(k, len(own))
+                least = -np.partition(-s, most - 1, axis=1)[:, most - 1 : most]
+                more, equal = s > least, s == least
+                equal &= np.cumsum(equal, 1, dtype=np.int32) <= most - more.sum(1, keepdims=True)
+                at, of = np.nonzero((more | equal) & (s > -1.5))
+                yield pd.DataFrame({"query": ids[at], "id": own[of], "score": s[at, of]})
 
         parts.append(vectors.select("id", F.col("v")).mapInPandas(run, schema))
     found = spark.createDataFrame([], schema)

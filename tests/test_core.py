@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,14 @@ def test_cosine_in_blocks(spark):
         assert [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == q] == [i for _, i in want]
 
 
+def test_cosine_ties_go_to_the_least_ids(spark):
+    rows = [(i, [1.0, 2.0, 0.5]) for i in random.Random(3).sample(range(100, 130), 30)] + [(1, [2.0, -1.0, 0.0]), (200, [1.0, 2.0, 0.6])]
+    v = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    found = retrieval.cosine_search(v, v.where("id in (115, 200)"), 5).collect()
+    of = lambda q: [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == q]
+    assert of(115) == [100, 101, 102, 103, 104] and of(200) == [100, 101, 102, 103, 104]
+
+
 def test_calls(spark):
     lines = ["hello", "our results", "we now open for questions", "first answer", "second answer"]
     s = spark.createDataFrame([(1, i, "A" if i != 3 else None, t) for i, t in enumerate(lines)], "call long, idx int, speaker string, text string")
