@@ -13,13 +13,14 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, struct_of
+from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, slices, struct_of
 from claimspark.llm.quality import training_sample
 from claimspark.session import materialize, table
 
@@ -43,12 +44,35 @@ WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
 def trigrams(words: list[str]) -> Counter:
     """Character trigrams of words, each with two marks before and one after it."""
     found: Counter = Counter()
-    for w in words:
+    for w, n in Counter(words).items():
         w = f"\x02\x02{w}\x03"
-        found.update(w[i : i + 3] for i in range(len(w) - 2))
+        for i in range(len(w) - 2):
+            found[w[i : i + 3]] += n
     return found
 
 
+def count_trigrams(docs: DataFrame) -> dict[str, int]:
+    """Character trigrams of all words of (ID, TEXT), labelled or not."""
+
+    def run(batches):
+        words: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch, TEXT):
+                for t in part.column(0).to_pylist():
+                    words.update(WORD.findall((t or "").lower()))
+                if len(words) > 100_000:
+                    yield counted(words)
+                    words = Counter()
+        yield counted(words)
+
+    def counted(words):
+        grams = trigrams(words)
+        return pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
+
+    grams = docs.select(TEXT).mapInArrow(run, struct_of(gram=T.StringType(), n=T.LongType())).groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in grams.collect()}
+
+
 class CharModel:
     """Interpolated character trigram log probabilities from trigram counts."""
 
@@ -173,16 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN):
     if not toxic or not clean:
         return Model({}, {}), (4.0 if toxic else -4.0, 0.0, 0.0)
 
-    def count_grams():
-        def run(texts):
-            return [[[{"gram": g, "n": n} for g, n in trigrams(WORD.findall((t or "").lower())).items()] for t in texts]]
-
-        return run
-
-    grams = map_rows(sample, count_grams, struct_of(grams=T.ArrayType(struct_of(gram=T.StringType(), n=T.LongType()))))
-    # At most a bounded number of trigrams: those of at most `most` texts that occur twice.
-    grams = grams.select(F.inline("grams")).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = {r["gram"]: r["n"] for r in grams.collect()}
+    counts = count_trigrams(docs)
     restorer = sample.sparkSession.sparkContext.broadcast(Restorer(CharModel(counts)))
 
     def find_features():
@@ -213,7 +228,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     Returns all columns of docs (a column that has a new name already is replaced) and held_out, score (0 to 1),
     predicted (1 if score >= THRESHOLD). Null and empty texts have no evidence and get the calibration's base score.
-    Learns from at most MAX_TRAIN labelled rows that are not held out; a score's other inputs are the text only.
+    Learns marking words from at most MAX_TRAIN labelled rows that are not held out, and trigrams from all texts; a
+    score's other inputs are the text only.
     Rows that repeat an id are scored each; a label without a document is ignored.
     """
     model, (base, first, three) = train(narrow(docs, id_col, text_col), labels)

@@ -123,6 +123,15 @@ def test_deobfuscation():
     assert restore("an i d i o t here") == "an idiot here" and restore("loooooser") == "loser" and restore("Plain good text 2024.") == "plain good text 2024."
 
 
+def test_trigrams_of_unlabelled_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Bonjour bonjour"), (2, None), (3, ""), (4, "zyx")], "doc_id long, text string")
+    counts = toxicity.count_trigrams(toxicity.narrow(docs, "doc_id", "text"))
+    assert counts == toxicity.trigrams(["bonjour", "bonjour", "zyx"]) and counts["zyx"] == 1
+    docs, labels = labelled(spark, "toxic")
+    model, _ = toxicity.train(toxicity.narrow(docs.unionByName(docs.sparkSession.createDataFrame([(5000, "quixotry")], docs.schema)), "doc_id", "text"), labels)
+    assert model.restorer.model.tri["xot"] == 1
+
+
 # 3
 
 
