@@ -1,7 +1,6 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Spans that look obfuscated (digits or symbols inside a word, letters set apart, letters repeated) become lattices:
-at each character the writer may have meant it, a letter it stands for, or nothing (a separator or a
+Words with a digit, symbol or repeated letter anywhere, and three or more characters set apart, become lattices: at each character the writer may have meant it, a letter it stands for, or nothing (a separator or a
 repetition). A Viterbi search over the lattice under a character trigram model picks the likeliest
 reading; elsewhere the lattice has one path, the text itself. The restored text is scored by
 the words and word beginnings that mark toxic documents, calibrated to a probability.
@@ -35,9 +34,12 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Log costs of the channel: a letter stood for, a character meant although it could stand for a letter, a repetition dropped, a repetition meant.
 SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = -0.7, -3.0, -0.3, -0.7
 
-INSIDE = re.compile(r"[^\W\d_]*[0-9@$!|+(€]+(?=[^\W\d_])[\w@$!|+(€]*", re.UNICODE)
-APART = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*])(?:[^\W_@$!][ .\-_*]){2,}[^\W_](?![^\W_])", re.UNICODE)
-REPEATED = re.compile(r"[^\W_]*([^\W\d_])\1\1[^\W_]*", re.UNICODE)
+ONE = r"(?:[^\W_]|[@$!|+(€])"
+#: Three or more characters set apart; what has no white space or separator in it; what makes the latter odd.
+APART = re.compile(rf"(?<!{ONE}){ONE}(?:[\s.,/\-_*]+{ONE}){{2,}}(?!{ONE})", re.UNICODE)
+TOKEN = re.compile(rf"{ONE}+", re.UNICODE)
+ODD = re.compile(r"[0-9@$!|+(€]|([^\W\d_])\1", re.UNICODE)
+LETTER = re.compile(r"[^\W\d_]|@", re.UNICODE)
 WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
 
 
@@ -97,8 +99,9 @@ class CharModel:
 
 
 def decode(span: str, model: CharModel) -> str:
-    """The likeliest reading of a lower-cased span."""
-    states: dict[str, tuple[float, tuple]] = {"\x02\x02": (0.0, ())}  # by the last two characters: score, reading as a linked list
+    """The likeliest reading of a lower-cased span. A character that stays although it is no letter ends a word."""
+    start = "\x02\x02"
+    states: dict[str, tuple[float, tuple]] = {start: (0.0, ())}  # by the last two characters: score, reading as a linked list
     before = ""
     for c in span:
         options: list[tuple[str, float]] = []
@@ -110,17 +113,24 @@ def decode(span: str, model: CharModel) -> str:
             options.append((c, 0.0))
         else:
             options.append(("", 0.0))  # a separator inside the span
+            if before and not before.isalnum() and before not in LEET:
+                options.append((" ", 0.0))  # several of them may part two words
         if c == before:
             options.append(("", DROP_REPEAT))
         new: dict[str, tuple[float, tuple]] = {}
         for context, (score, path) in states.items():
             for x, cost in options:
-                to = context[1] + x if x else context
-                s = score + cost + (model.logp(context, x) if x else 0.0)
+                s = score + cost
+                if not x:
+                    to = context
+                elif x.isalpha():
+                    to, s = context[1] + x, s + model.logp(context, x)
+                else:
+                    to, s = start, s + ended(context, model)
                 if to not in new or s > new[to][0]:
                     new[to] = (s, (path, x) if x else path)
         states, before = new, c
-    path = max(((s + model.logp(k, "\x03"), k, p) for k, (s, p) in states.items()), key=lambda x: x[:2])[2]
+    path = max(((s + ended(k, model), k, p) for k, (s, p) in states.items()), key=lambda x: x[:2])[2]
     out = []
     while path:
         path, x = path
@@ -128,26 +138,48 @@ def decode(span: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def ended(context: str, model: CharModel) -> float:
+    """The log probability that a word ends; 0 where none has begun."""
+    return 0.0 if context == "\x02\x02" else model.logp(context, "\x03")
+
+
+def plain(span: str) -> bool:
+    """Whether a span of a token or of characters set apart has no lattice to search: neither a substitute nor a repeated
+    letter, or a number, price or row of one sign, without a letter."""
+    if LETTER.search(span):
+        return not ODD.search(span)
+    return any(c.isdigit() for c in span) or len(set(span) & set(LEET)) < 2
+
+
+class Readings(dict):
+    """Readings of what stands between two spaces."""
+
+    def __init__(self, model: CharModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> str:
+        found = TOKEN.sub(lambda m: m.group() if plain(m.group()) else decode(m.group(), self.model), piece)
+        if len(piece) < 64:
+            if len(self) > 100_000:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Restorer:
     def __init__(self, model: CharModel):
-        self.model, self.seen = model, {}
+        self.model, self.readings = model, Readings(model)
 
-    def read(self, m: re.Match) -> str:
+    def __reduce__(self):
+        return Restorer, (self.model,)
+
+    def apart(self, m: re.Match) -> str:
         span = m.group()
-        found = self.seen.get(span)
-        if found is None:
-            found = decode(span, self.model)
-            if len(span) < 64:
-                if len(self.seen) > 100_000:
-                    self.seen = {}
-                self.seen[span] = found
-        return found
+        return decode(span, self.model) if LETTER.search(span) or not plain(span) else span
 
     def restore(self, text: str) -> str:
-        text = text.lower()
-        for pattern in (APART, INSIDE, REPEATED):
-            text = pattern.sub(self.read, text)
-        return text
+        return " ".join(map(self.readings.__getitem__, APART.sub(self.apart, text.lower()).split(" ")))
 
 
 def features(word: str) -> list[str]:

@@ -123,6 +123,16 @@ def test_deobfuscation():
     assert restore("an i d i o t here") == "an idiot here" and restore("loooooser") == "loser" and restore("Plain good text 2024.") == "plain good text 2024."
 
 
+def test_every_plain_obfuscation_gets_a_lattice():
+    words = ["idiot", "stupid", "ass", "die", "hate", "good", "loser", "all", "you", "will"]
+    restore = toxicity.Restorer(toxicity.CharModel(toxicity.trigrams(words * 20))).restore
+    spans = {"a$$": "ass", "a55": "ass", "@$$": "ass", "hat3": "hate", "a s s": "ass", "d i e": "die", "s t u p i d": "stupid", "s. t. u. p. i. d": "stupid", "i d ! o t": "idiot"}
+    spans |= {"$ t u p i d": "stupid", "s t u p ! d": "stupid", "stuupid": "stupid", "iddiot": "idiot", "y o u  i d i o t": "you idiot"}
+    assert {s: restore(f"xyz {s} xyz") for s in spans} == {s: f"xyz {w} xyz" for s, w in spans.items()}
+    for kept in ("you will all die!", "good, all good. $100 10+ 3 4 5 455 1 + 2 !!!", "stupid! (good)"):
+        assert restore(kept) == kept
+
+
 def test_trigrams_of_unlabelled_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Bonjour bonjour"), (2, None), (3, ""), (4, "zyx")], "doc_id long, text string")
     counts = toxicity.count_trigrams(toxicity.narrow(docs, "doc_id", "text"))
