@@ -9,7 +9,7 @@ maximum, and equal between two sets with about the chance of their similarity. R
    shares most with. Nodes linked so far make groups.
 3. Buckets whose nodes are of one group have nothing more to give. In the others, pairs across
    groups remain. In buckets of up to SMALL nodes these pairs are estimated jointly by likelihood from both registers and the
-   known set sizes, and the plausible ones are confirmed on full sets. In larger ones every node meets only the nodes outside
+   known set sizes, and the plausible ones are confirmed on full sets first, then all others that are still of two groups. In larger ones every node meets only the nodes outside
    the bucket's largest group, by blocks of BLOCK nodes: a task has the full sets of two blocks, confirms pairs across
    groups and returns only links that join groups. Group members are never listed in pairs.
 
@@ -35,7 +35,7 @@ WIDTH = 4
 PERCENT = 80
 M, ROWS = 128, 4
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
-#: Pairs whose likeliest similarity is below this are not confirmed: over four standard errors below PERCENT.
+#: Pairs whose likeliest similarity is below this are confirmed after the others.
 PLAUSIBLE = 0.66
 SMALL, BLOCK = 12, 256
 #: Bands whose large buckets are searched first.
@@ -151,8 +151,8 @@ def sizes_allow(a: str, b: str) -> Column:
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose likeliest similarity is at least PLAUSIBLE."""
+def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with plausible: whether their likeliest similarity is at least PLAUSIBLE."""
     at = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("registers").alias(f"{end}_registers"))
     both = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
 
@@ -165,7 +165,14 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         read = lambda x: np.frombuffer(b"".join(x), "<u2").reshape(len(x), M).astype(np.int32)
         return pd.Series(likeliest(read(u), read(v), n_u.to_numpy(float), n_v.to_numpy(float)))
 
-    return both.where(estimate("a_registers", "b_registers", "a_n", "b_n") >= PLAUSIBLE).select("a", "b")
+    return both.select("a", "b", (estimate("a_registers", "b_registers", "a_n", "b_n") >= PLAUSIBLE).alias("plausible"))
+
+
+def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are of two groups (node, label)."""
+    at = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"{end}_group"))
+    both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return both.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
 
 
 def links_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,8 +254,10 @@ def groups_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     small = still_open(members.where(F.col("size") <= SMALL), groups)
     left, right = (small.select("bucket", F.col("node").alias(e), F.col("n").alias(f"{e}_n"), F.col("group").alias(f"{e}_group")) for e in "ab")
     pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group")) & sizes_allow("a_n", "b_n")).select("a", "b").distinct()
-    more = materialize(confirmed(materialize(plausible(pairs, nodes), "dedup-pairs"), sets), "dedup-links")
-    links = links.unionByName(more)
+    pairs = materialize(estimated(pairs, nodes), "dedup-pairs")
+    links = links.unionByName(materialize(confirmed(pairs.where("plausible"), sets), "dedup-links"))
+    rest = materialize(across(pairs.where("not plausible"), components(links)), "dedup-pairs")
+    links = links.unionByName(materialize(confirmed(rest, sets), "dedup-links"))
 
     large = members.where(F.col("size") > SMALL)
     if large.isEmpty():

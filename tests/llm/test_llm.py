@@ -297,6 +297,27 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, small, block):
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
 
 
+def test_an_estimate_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PLAUSIBLE", 2.0)
+    r = random.Random(12)
+    w = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(40):  # a chain in small buckets, most of whose links are not to a bucket's first node
+        w[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    r.shuffle(texts)
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
+    far = [" ".join(f"y{k}" for k in range(60 * i, 60 * i + 80)) for i in range(3)]
+    texts += list(enumerate(far, 100))
+    nodes = [(i, minhash.shingles(t)) for i, t in texts]
+    some = spark.createDataFrame([(i, len(s), bytearray(minhash.registers(s).tobytes())) for i, s in nodes], "node long, n long, registers binary")
+    monkeypatch.setattr(minhash, "SMALL", 50)
+    docs = spark.createDataFrame(texts, f"{minhash.ID} long, {minhash.TEXT} string")
+    found = {x["node"]: x["label"] for x in minhash.groups_of(docs, some).collect()}
+    want = {i: label for i, (_, label) in groups_by_force(texts).items()}
+    assert {i: found.get(i, i) for i, _ in texts} == want
+
+
 def test_registers():
     a, b = (np.unique(np.random.default_rng(s).integers(0, 1 << 63, 500, dtype=np.uint64)) for s in (1, 2))
     u, v = minhash.registers(a), minhash.registers(b)
