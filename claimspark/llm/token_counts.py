@@ -13,11 +13,15 @@ pre-tokenizer that always prepends and splits:
 - unknown characters count as their UTF-8 bytes (byte fallback).
 
 A character that no piece holds can only be an unknown piece, so units are also cut around it.
+
+The vocabulary's scores are taken as they stand. The given 32k file is a BPE model: its scores are merge ranks, not log probabilities, so
+the counts are those of the Unigram model with these scores, not of the file's own BPE encoder. A true unigram file works alike.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import regex
@@ -29,8 +33,24 @@ from claimspark.llm.common import ID, TEXT, map_rows, narrow, struct_of
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 NO_PATH = float("-inf")
-#: Most units that a worker remembers, twice over; older ones go first, which changes no result.
-MEMORY = 500_000
+#: Most pieces of text that a worker remembers before it forgets them all, which changes no result.
+MEMORY = 1_000_000
+#: Longer ones are not remembered.
+LONG = 64
+
+
+class Remembered(dict):
+    """Pieces and score of what stands between two spaces."""
+
+    def __init__(self, counter: Counter):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, part: str) -> tuple[int, float]:
+        found = self.counter.measure(part)
+        if len(part) < LONG:
+            self[part] = found
+        return found
 
 
 class Counter:
@@ -47,8 +67,10 @@ class Counter:
         known = f"[{regex.escape(inside, special_only=False)}]"
         # A unit: U+2581 with the known characters after it, or such a run alone, or a run of unknown characters.
         self.unit = regex.compile(f"{SPACE}{known}*|{known}+|[^{SPACE}{regex.escape(inside, special_only=False)}]+", regex.S)
-        self.seen: dict[str, tuple[int, float]] = {}
-        self.older: dict[str, tuple[int, float]] = {}
+        # A line break that no piece holds is a cut too: parts that begin with one then have no space before them.
+        self.line_cut = "\n" not in inside
+        self.seen = Remembered(self)
+        self.units: dict[str, tuple[int, float]] = {}
 
     def best(self, unit: str) -> tuple[int, float]:
         """Pieces and score of the best path of one unit."""
@@ -78,26 +100,34 @@ class Counter:
         if score > score_at[end]:
             score_at[end], pieces_at[end] = score, pieces_at[end - 1] + len(unit[end - 1].encode())
 
-    def count(self, text: str | None) -> tuple[int, float]:
-        """Pieces and score of a whole text; none for a null or empty text."""
-        if not text:
-            return 0, 0.0
-        text = text.replace(" ", SPACE)
-        if text[0] != SPACE:
-            text = SPACE + text
-        if len(self.seen) > MEMORY:
-            self.seen, self.older = {}, self.seen
-        seen, pieces, score = self.seen, 0, 0.0
-        for unit in self.unit.findall(text):
-            found = seen.get(unit)
+    def measure(self, part: str) -> tuple[int, float]:
+        """Pieces and score of a part between two spaces; its units are remembered too."""
+        pieces, score = 0, 0.0
+        for unit in self.unit.findall(part if self.line_cut and part[:1] == "\n" else SPACE + part):
+            found = self.units.get(unit)
             if found is None:
-                found = self.older.get(unit) or self.best(unit)
-                if len(unit) < 64:
-                    seen[unit] = found
+                found = self.best(unit)
+                if len(unit) < LONG:
+                    self.units[unit] = found
             pieces += found[0]
             score += found[1]
         return pieces, score
 
+    def count(self, text: str | None) -> tuple[int, float]:
+        """Pieces and score of a whole text; none for a null or empty text."""
+        if not text:
+            return 0, 0.0
+        text = text.replace(SPACE, " ")
+        if text[0] != " ":
+            text = " " + text
+        if self.line_cut:
+            text = text.replace("\n", " \n")
+        if len(self.seen) + len(self.units) > MEMORY:
+            self.seen.clear()
+            self.units.clear()
+        found = list(map(self.seen.__getitem__, text[1:].split(" ")))
+        return sum(map(itemgetter(0), found)), sum(map(itemgetter(1), found))
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Counter:
