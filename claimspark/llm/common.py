@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,36 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """docs with its columns named by their place, so that no name an operator uses inside or adds can clash with one of them;
+    `restored` gives the names back."""
+    return docs.toDF(*[f"__in{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, column: str) -> str:
+    """The name that plain_names(docs) gives a column."""
+    return f"__in{[c.lower() for c in docs.columns].index(column.lower())}"
+
+
+def restored(made: DataFrame, docs: DataFrame, *new: str) -> DataFrame:
+    """The columns of docs under their names, then the `new` ones of made; a column of docs that has a new name is replaced."""
+    old = [(f"__in{i}", c) for i, c in enumerate(docs.columns) if c.lower() not in {n.lower() for n in new}]
+    return made.select(*[F.col(i).alias(c) for i, c in old], *new)
+
+
+class ByteHashes(dict):
+    """64-bit hashes of words; few enough are remembered at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+HASHES = ByteHashes()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]]], schema: T.StructType, text_col: str = TEXT, keep: tuple[str, ...] = ()) -> DataFrame:
     """One output row for each input row, by Arrow batches.
 
@@ -42,10 +74,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_col: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a few rows each, so that a worker holds little decoded text at a time."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def slices(batch: pa.RecordBatch, text_col: str, rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a few rows and about `size` bytes of text each (one row at least), so that a worker holds little
+    decoded text at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_pylist()
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start == rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield batch.slice(start)
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:

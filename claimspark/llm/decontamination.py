@@ -1,20 +1,19 @@
 """Benchmark decontamination with one FM-index for each training shard.
 
-A shard is the run of documents that one task reads at a time (an Arrow batch). Words outside the benchmark's
-vocabulary can be part of no window, so the shard's text is its maximal runs of benchmark words that are
-as long as the shortest window, each run closed by a terminator. Its suffix array gives the Burrows-Wheeler
-transform, kept as a wavelet matrix; every distinct benchmark window is searched backward
-through wavelet ranks, all windows at once, and the matching rows are located by stepping to sampled suffix
-positions. Word spans of the occurrences are merged for each document.
-
-Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Windows: 13 consecutive words of an item, or the
-whole item if it has fewer.
+A shard is a run of documents in a task, of at most SHARD_WORDS words; a longer document is cut into parts that
+overlap by a window less one word. The shard's text is all its words, as numbers of the shard's own vocabulary, each
+part closed by a terminator. Its suffix array gives the Burrows-Wheeler transform, kept as a wavelet
+matrix; every distinct benchmark window whose words all occur in the shard is searched backward through wavelet
+ranks, all windows at once, and the matching rows are located by stepping to sampled suffix positions. Word
+spans of the occurrences are merged for each document.
+
+Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, compared by 64-bit hashes. Windows: 13 consecutive words of an
+item, or the whole item if it has fewer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, narrow
+from claimspark.llm.common import HASHES, ID, TEXT, map_rows, narrow, place, plain_names, restored, slices, struct_of
 from claimspark.session import table
 
 WINDOW = 13
 #: A document is contaminated if at least one word of 20 is hit.
 SHARE = 20
-#: UTF-8 bytes of benchmark text in a block; each block of the benchmark is one pass over the documents.
+#: UTF-8 bytes of benchmark text in a block, whose word hashes are broadcast; each block of the benchmark is one pass over the documents.
 BLOCK_BYTES = 64 << 20
+#: Most words in a shard.
+SHARD_WORDS = 1 << 19
 #: Every so many text positions a suffix position is kept.
 SAMPLE = 8
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
@@ -40,24 +41,35 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
+def hashed(text: str | None) -> np.ndarray:
+    w = words(text)
+    return np.fromiter(map(HASHES.__getitem__, w), np.uint64, len(w))
+
+
 class Windows:
-    """The distinct windows of a block of benchmark items, as rows of word numbers from 1."""
+    """The distinct windows of a block of benchmark rows (item, hashes of its words)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        self.items = sorted({i for i, _ in items})
+    def __init__(self, rows: list[tuple[str, np.ndarray]], width: int = WINDOW):
+        self.width = width
+        self.items = sorted({i for i, _ in rows})
         number = {i: k for k, i in enumerate(self.items)}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
-            for at in range(max(min(1, len(ids)), len(ids) - width + 1)):
-                owners.setdefault(tuple(ids[at : at + width]), set()).add(number[item])
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in {len(w) for w in owners}:
-            own = [(w, sorted(o)) for w, o in owners.items() if len(w) == length]
-            counts = np.array([len(o) for _, o in own])
-            self.by_length[length] = (np.array([w for w, _ in own], np.int64), np.concatenate([[0], np.cumsum(counts)]), np.array([i for _, o in own for i in o]))
-        self.shortest = min(self.by_length, default=0)
+        sizes = np.array([len(h) for _, h in rows], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *[h for _, h in rows]])
+        begins, many = np.cumsum(sizes) - sizes, np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+        start = np.repeat(begins - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        length = np.repeat(np.minimum(sizes, width), many)
+        owner = np.repeat(np.array([number[i] for i, _ in rows], np.int64), many)
+        # A window's key: its words' hashes, each multiplied by its place, and its length.
+        key, mix = length.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+        for at in range(width):
+            inside = at < length
+            key = np.where(inside, (key ^ self.words[np.where(inside, start + at, 0)]) * mix, key) if len(self.words) else key
+            key = key ^ (key >> np.uint64(29))
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.length = start[first], length[first]
+        owned = np.unique(same.reshape(-1) * max(1, len(self.items)) + owner)
+        self.owner = owned % max(1, len(self.items))
+        self.owner_at = np.searchsorted(owned // max(1, len(self.items)), np.arange(len(first) + 1))
 
 
 class Wavelet:
@@ -68,7 +80,7 @@ class Wavelet:
         self.ones, self.zeros = [], []
         for level in range(self.bits - 1, -1, -1):
             bit = (values >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
+            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
             self.zeros.append(len(values) - int(self.ones[-1][-1]))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
@@ -98,19 +110,23 @@ class FMIndex:
         self.positions = self.sa[self.kept]
         del self.sa
 
-    def find(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence of a pattern (a row): the pattern's number and the text position."""
-        number = np.arange(len(patterns))
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.bwt), np.int64)
-        for at in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[number, at]
-            lo = self.before[symbol] + self.wavelet.rank(symbol, lo)
-            hi = self.before[symbol] + self.wavelet.rank(symbol, hi)
-            live = lo < hi
-            number, lo, hi = number[live], lo[live], hi[live]
+    def find(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each occurrence of a pattern, symbols[start:start + length]: the pattern's number and the text position."""
+        number, left = np.arange(len(start)), length.copy()
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(self.bwt), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(number):
+            left = left - 1
+            symbol = symbols[start[number] + left]
+            lo, hi = (self.before[symbol] + self.wavelet.rank(symbol, row) for row in (lo, hi))
+            whole = (left == 0) & (lo < hi)
+            done.append((number[whole], lo[whole], hi[whole]))
+            live = (left > 0) & (lo < hi)
+            number, left, lo, hi = number[live], left[live], lo[live], hi[live]
+        number, lo, hi = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
         count = hi - lo
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
-        return np.repeat(number, count), self.locate(rows.astype(np.int64))
+        rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.repeat(number, count), self.locate(rows)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         out, steps, todo = np.zeros(len(rows), np.int64), 0, np.arange(len(rows))
@@ -125,70 +141,91 @@ class FMIndex:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling. Terminators differ from each other (earlier ones are less), so
-    no comparison goes past the end of a run."""
+    """Suffixes in order, by prefix doubling of those that are not yet told apart. Terminators differ from each other
+    (earlier ones are less), so no comparison goes past the end of a part."""
     n = len(text)
     ends = text == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum()))
-    step = 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + follow
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
+    order = np.argsort(np.where(ends, np.cumsum(ends) - 1, text + int(ends.sum())), kind="stable")
+    new = np.concatenate([[True], np.diff(text[order]) != 0]) | ends[order]
+    rank, step = np.empty(n, np.int64), 1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank: its first place
+    alone = new & np.concatenate([new[1:], [True]])
+    todo = order[~alone]
+    while len(todo):
+        old = rank[todo]
+        follow = rank[todo + step]  # inside the part, as a suffix that reaches the terminator is alone
+        by = np.lexsort((follow, old))
+        todo, old, follow = todo[by], old[by], follow[by]
+        fresh = np.concatenate([[True], np.diff(old) != 0])
+        new = fresh | np.concatenate([[True], np.diff(follow) != 0])
+        at = np.arange(len(todo))
+        rank[todo] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(fresh, at, 0))
+        todo = todo[~(new & np.concatenate([new[1:], [True]]))]
         step *= 2
+    order[rank] = np.arange(n)
+    return order
+
+
+def search(parts: list[tuple[int, int, np.ndarray]], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences in a shard of parts (document, its first word's place, hashes of its words): documents, word places, lengths, windows."""
+    none = (np.zeros(0, np.int64),) * 4
+    sizes = np.array([len(h) for _, _, h in parts], np.int64)
+    if not sizes.sum() or not len(windows.start):
+        return none
+    vocab, symbols = np.unique(np.concatenate([h for _, _, h in parts]), return_inverse=True)
+    text = np.zeros(int(sizes.sum()) + len(parts), np.int64)
+    part = np.repeat(np.arange(len(parts)), sizes)
+    text[np.arange(len(part)) + part] = symbols.reshape(-1) + 1
+    # The benchmark's words in the shard's numbers; windows with a word that the shard lacks can't occur.
+    at = np.minimum(np.searchsorted(vocab, windows.words), len(vocab) - 1)
+    here = vocab[at] == windows.words
+    missing = np.concatenate([[0], np.cumsum(~here)])
+    able = np.flatnonzero(missing[windows.start + windows.length] == missing[windows.start])
+    if not len(able):
+        return none
+    index = FMIndex(text, len(vocab) + 1)
+    found, place_ = index.find(at + 1, windows.start[able], windows.length[able])
+    found = able[found]
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    part = np.searchsorted(starts, place_, "right") - 1
+    document, first = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+    return document[part], first[part] + place_ - starts[part], windows.length[found], found
 
 
 def occurrences(texts: list[str | None], windows: Windows) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
-    """For each text of a shard: its words, merged spans of hit words, and items with occurring windows."""
-    get, numbers, ends, total = windows.vocab.get, [], [], 0
-    counts = []
-    for text in texts:
-        w = words(text)
-        counts.append(len(w))
-        numbers.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
-        numbers.append(np.zeros(1, np.int32))
-        total += len(w) + 1
-        ends.append(total)
+    """For each text: its words, merged spans of hit words, and items with occurring windows."""
+    counts: list[int] = []
+    made: list[tuple[np.ndarray, ...]] = []
+    shard: list[tuple[int, int, np.ndarray]] = []
+    held, stride = 0, max(1, SHARD_WORDS - windows.width + 1)
+    for doc, text in enumerate(texts):
+        h = hashed(text)
+        counts.append(len(h))
+        for first in range(0, max(1, len(h) - windows.width + 1), stride):
+            part = h[first : first + SHARD_WORDS]
+            if shard and held + len(part) > SHARD_WORDS:
+                made.append(search(shard, windows))
+                shard, held = [], 0
+            shard.append((doc, first, part))
+            held += len(part)
+    made.append(search(shard, windows))
+    doc, at, length, window = (np.concatenate(x) for x in zip(*made))
+
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    order = np.lexsort((at, doc))
+    for d, lo, hi in zip(doc[order].tolist(), at[order].tolist(), (at + length)[order].tolist()):
+        mine = spans[d]
+        if mine and lo <= mine[-1][1]:
+            mine[-1] = (mine[-1][0], max(hi, mine[-1][1]))
+        else:
+            mine.append((lo, hi))
     found: list[list[str]] = [[] for _ in texts]
-    flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-    edge = np.diff(np.concatenate([[0], (flat > 0).view(np.int8), [0]]))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = stop - start >= max(1, windows.shortest)
-    start, stop = start[long], stop[long]
-    if not len(start) or not windows.by_length:
-        return counts, spans, found
-    # The runs with a terminator each: flat holds 0 right after every run.
-    lengths = stop - start + 1
-    place = np.repeat(start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-    index = FMIndex(flat[place].astype(np.int64), len(windows.vocab) + 1)
-    begins = np.concatenate([[0], ends[:-1]])
-    hit = np.zeros(len(flat) + 1, np.int64)
-    pairs = []
-    for length, (patterns, owner_at, owners) in windows.by_length.items():
-        pattern, at = index.find(patterns)
-        at = place[at]
-        np.add.at(hit, at, 1)
-        np.add.at(hit, at + length, -1)
-        doc = np.searchsorted(begins, at, "right") - 1
-        key = np.unique(doc * len(patterns) + pattern)
-        doc, pattern = key // len(patterns), key % len(patterns)
-        many = owner_at[pattern + 1] - owner_at[pattern]
-        own = np.repeat(owner_at[pattern] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.zeros(0, np.int64)
-        pairs.append(np.repeat(doc, many) * len(windows.items) + owners[own.astype(np.int64)])
-    for key in np.unique(np.concatenate(pairs)).tolist():
+    pairs = np.unique(doc * max(1, len(windows.start)) + window)
+    doc, window = pairs // max(1, len(windows.start)), pairs % max(1, len(windows.start))
+    many = windows.owner_at[window + 1] - windows.owner_at[window]
+    own = np.repeat(windows.owner_at[window] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    for key in np.unique(np.repeat(doc, many) * max(1, len(windows.items)) + windows.owner[own]).tolist():
         found[key // len(windows.items)].append(windows.items[key % len(windows.items)])
-    edge = np.diff(np.concatenate([[0], (np.cumsum(hit[:-1]) > 0).view(np.int8), [0]]))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    doc = np.searchsorted(begins, first, "right") - 1
-    for d, a, b in zip(doc.tolist(), (first - begins[doc]).tolist(), (last - begins[doc]).tolist()):
-        spans[d].append((a, b))
     return counts, spans, found
 
 
@@ -205,6 +242,16 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+def item_hashes(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, size, hashes) of every row: the item as a string, its text's bytes, its words' hashes."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias(TEXT))
+
+    def make():
+        return lambda texts: [[len((t or "").encode()) for t in texts], [hashed(t).tobytes() for t in texts]]
+
+    return map_rows(items, make, struct_of(item=T.StringType(), size=T.LongType(), hashes=T.BinaryType()), TEXT, ("item",))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The benchmark passages in every whole document.
 
@@ -213,26 +260,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     have no words; items without words have no windows; a null item id counts as ''; rows that repeat an item id are
     one item. Columns of docs that already have one of the new names are replaced.
 
-    The benchmark is read to the driver in blocks of about BLOCK_BYTES; each block is broadcast and makes one pass,
-    and a later pass merges its spans and items with what earlier ones have found.
+    The benchmark's words are hashed in tasks. A block of about BLOCK_BYTES of its text, eight bytes a word, is
+    broadcast at a time; a benchmark within one block takes one pass over the documents, a later block another one, which merges its spans and items
+    with what earlier ones have found.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
+    hashes = item_hashes(benchmark, item_col, item_text_col)
+    blocks = (benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0) // BLOCK_BYTES + 1
     new = [T.StructField("n_words", T.IntegerType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    df = docs.drop(*[f.name for f in new]).withColumns({"n_words": F.lit(0), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
+    mine, text = plain_names(docs), place(docs, text_col)
+    df = mine.withColumns({"n_words": F.lit(0), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        model = sc.broadcast(Windows([(r["item"], r["text"]) for r in part.collect()], window))
-        schema = T.StructType(df.schema.fields[:-3] + new)
+        part = hashes.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else hashes
+        model = sc.broadcast(Windows([(r["item"], np.frombuffer(r["hashes"], np.uint64)) for r in part.select("item", "hashes").collect()], window))
+        schema = T.StructType(mine.schema.fields + new)
         out = to_arrow_schema(schema)
 
         def run(batches: Iterator[pa.RecordBatch], model=model, out=out) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                counts, spans, found = occurrences(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), model.value)
+            for batch in (part for whole in batches for part in slices(whole, text)):
+                counts, spans, found = occurrences(batch.column(batch.schema.get_field_index(text)).to_pylist(), model.value)
                 n = batch.num_columns - 3
                 if blocks > 1:
                     old_spans, old_items = (batch.column(n + k).to_pylist() for k in (1, 2))
@@ -242,7 +290,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(k).cast(out.field(k).type) for k in range(n)] + made, schema=out)
 
         df = df.mapInArrow(run, schema)
-    return df
+    return restored(df, docs, *[f.name for f in new])
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with their own columns whatever their names."""
+    mine = plain_names(docs)
+    found = find_hits(mine, benchmark, id_col=place(docs, id_col), text_col=place(docs, text_col))
+    return restored(found.where(~contaminated()), docs)
 
 
 def n_hit() -> Column:

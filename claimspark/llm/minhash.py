@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, map_rows, narrow, struct_of
+from claimspark.llm.common import HASHES, ID, TEXT, map_rows, narrow, struct_of
 from claimspark.llm.fingerprints import FACTORS, mixed
 from claimspark.operators.components import components
 from claimspark.session import materialize, table
@@ -49,17 +49,6 @@ MULTIPLY = (_seeds.integers(0, 1 << 63, M, dtype=np.uint64) | np.uint64(1))[:, N
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class ByteHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-HASHES = ByteHashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Distinct 64-bit hashes of the text's shingles, ascending: A-Z lower-cased, words between ASCII white space; a
     shorter text is one shingle, a text without words none."""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, struct_of
+from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, place, plain_names, restored, struct_of
 from claimspark.session import materialize, table
 
 #: The most labelled documents that the model is fitted on, drawn by a hash of the id.
@@ -29,7 +29,7 @@ TREES, DEPTH, LASSO, SEED = 16, 4, 0.0005, 7
 THRESHOLD = 0.3
 
 STATISTICS = (
-    "log_words", "word_length", "longest_word", "line_words", "upper", "digit", "symbol", "punctuation", "bars", "space", "wide",
+    "log_words", "word_length", "log_longest_word", "line_words", "upper", "digit", "symbol", "punctuation", "bars", "space", "wide",
     "distinct_words", "repeated_words", "distinct_lines", "title_words",
 )
 
@@ -55,7 +55,7 @@ def statistics(text: str | None) -> list[float]:
     lengths = list(map(len, words))
     share = {k: float(counts[v].sum()) / n for k, v in CLASS.items()}
     return [
-        float(np.log1p(len(words))), sum(lengths) / w, float(min(200, max(lengths, default=0))), w / len(lines), *share.values(),
+        float(np.log1p(len(words))), sum(lengths) / w, float(np.log1p(max(lengths, default=0))), w / len(lines), *share.values(),
         len(set(words)) / w, sum(map(eq, words, words[1:])) / w, len(set(lines)) / len(lines), sum(map(str.istitle, words)) / w,
     ]
 
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     """docs: ID and TEXT. Rows whose id hashes to `remainder` are never learnt from."""
     sample = training_sample(docs, labels, label, modulus, remainder, most)
     rows = with_statistics(sample, TEXT, (ID, "label")).repartition(1).sortWithinPartitions(ID)  # bounded, and so the fit is repeatable
-    return fit(materialize(rows, "quality-sample").cache())
+    return fit(materialize(rows, "quality-sample"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,10 +163,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     Rows that repeat an id are scored each; a label without a document is ignored.
     """
     model = train(narrow(docs, id_col, text_col), labels)
-    docs = docs.drop("held_out", "score", "predicted", *[f"s_{s}" for s in STATISTICS])
-    scored = with_statistics(docs.withColumn(TEXT, F.col(text_col).cast("string")), TEXT, tuple(docs.columns))
-    score = model.score()
-    return scored.select(*docs.columns, held_out(id_col, 5, 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    mine, text = plain_names(docs), place(docs, text_col)
+    scored = with_statistics(mine.withColumn(TEXT, F.col(text).cast("string")), TEXT, tuple(mine.columns))
+    scored = scored.select(*mine.columns, held_out(place(docs, id_col), 5, 0).alias("held_out"), model.score().alias("score"))
+    return restored(scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), docs, "held_out", "score", "predicted")
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
@@ -174,6 +174,8 @@ def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are not rejected, with their own columns whatever their names."""
+    mine = plain_names(docs)
+    kept = classify(mine, labels, id_col=place(docs, id_col), text_col=place(docs, text_col)).where("predicted = 1")
+    return restored(kept, docs)

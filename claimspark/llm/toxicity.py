@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, slices, struct_of
+from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, place, plain_names, restored, slices, struct_of
 from claimspark.llm.quality import training_sample
 from claimspark.session import materialize, table
 
@@ -27,8 +27,6 @@ MAX_TRAIN = 16_000
 THRESHOLD = 0.7
 #: Features that mark toxic documents: the least documents, twice the log likelihood ratio (p is about 2e-5), log odds.
 LEAST_DOCS, LEAST_G, LEAST_ODDS = 4, 18.0, 1.5
-#: Most features kept, by G.
-MOST_FEATURES = 50_000
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Log costs of the channel: a letter stood for, a character meant although it could stand for a letter, a repetition dropped, a repetition meant.
@@ -43,11 +41,23 @@ LETTER = re.compile(r"[^\W\d_]|@", re.UNICODE)
 WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
 
 
+class Classes(dict):
+    """Characters as the language model sees them: from U+0530 on, all of a block of 256 are one, so that the scripts of many
+    thousand characters, which no substitute stands for, leave the table of trigrams small."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = found = code if code < 0x530 else 0xF0000 + (code >> 8)
+        return found
+
+
+CLASSES = Classes()
+
+
 def trigrams(words: list[str]) -> Counter:
     """Character trigrams of words, each with two marks before and one after it."""
     found: Counter = Counter()
     for w, n in Counter(words).items():
-        w = f"\x02\x02{w}\x03"
+        w = f"\x02\x02{w if w.isascii() else w.translate(CLASSES)}\x03"
         for i in range(len(w) - 2):
             found[w[i : i + 3]] += n
     return found
@@ -124,7 +134,8 @@ def decode(span: str, model: CharModel) -> str:
                 if not x:
                     to = context
                 elif x.isalpha():
-                    to, s = context[1] + x, s + model.logp(context, x)
+                    seen = x if x.isascii() else x.translate(CLASSES)
+                    to, s = context[1] + seen, s + model.logp(context, seen)
                 else:
                     to, s = start, s + ended(context, model)
                 if to not in new or s > new[to][0]:
@@ -196,13 +207,13 @@ class Model:
         self.restorer = Restorer(CharModel(counts))
 
     def evidence(self, text: str | None) -> tuple[float, float]:
-        """The strongest marking word's log odds and the sum of the three strongest."""
+        """The strongest marking word's log odds and the logarithm of one and the sum of all."""
         if not text:
             return 0.0, 0.0
         heads, odds = self.heads, self.odds
         words = {w for w in set(WORD.findall(self.restorer.restore(text))) if w[:4] in heads}
-        top = sorted((max((odds.get(f, 0.0) for f in features(w)), default=0.0) for w in words), reverse=True)[:3]
-        return (top[0] if top else 0.0), float(sum(top))
+        found = [max((odds.get(f, 0.0) for f in features(w)), default=0.0) for w in words]
+        return max(found, default=0.0), math.log1p(math.fsum(found))
 
 
 def with_evidence(docs: DataFrame, model: Model, text_col: str, keep: tuple[str, ...]) -> DataFrame:
@@ -215,7 +226,7 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str, keep: tuple[str,
 
         return run
 
-    schema = T.StructType([docs.schema[k] for k in keep] + struct_of(__first=T.DoubleType(), __three=T.DoubleType()).fields)
+    schema = T.StructType([docs.schema[k] for k in keep] + struct_of(__first=T.DoubleType(), __all=T.DoubleType()).fields)
     return map_rows(docs, make, schema, text_col, keep)
 
 
@@ -245,12 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN):
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((n + 0.5) / (clean + 1))
     marks = (
         found.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("n"))
-        .where(t >= LEAST_DOCS).select("feature", g.alias("g"), odds.alias("odds")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS))
-        .orderBy(F.desc("g"), "feature").limit(MOST_FEATURES)
+        .where(t >= LEAST_DOCS).select("feature", g.alias("g"), odds.alias("odds")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS))  # of the bounded sample
     )
     model = Model({r["feature"]: r["odds"] for r in marks.collect()}, counts)
-    rows = with_evidence(sample, model, TEXT, ("label", ID)).repartition(1).sortWithinPartitions(ID).select("label", "__first", "__three").cache()
-    rows = VectorAssembler(inputCols=["__first", "__three"], outputCol="features").transform(rows)
+    rows = with_evidence(sample, model, TEXT, ("label", ID)).repartition(1).sortWithinPartitions(ID).select("label", "__first", "__all")
+    rows = materialize(rows, "toxicity-evidence")
+    rows = VectorAssembler(inputCols=["__first", "__all"], outputCol="features").transform(rows)
     fit = LogisticRegression(labelCol="label", regParam=0.001, maxIter=100).fit(rows)
     return model, (float(fit.intercept), *map(float, fit.coefficients.toArray()))
 
@@ -264,11 +275,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     score's other inputs are the text only.
     Rows that repeat an id are scored each; a label without a document is ignored.
     """
-    model, (base, first, three) = train(narrow(docs, id_col, text_col), labels)
-    docs = docs.drop("held_out", "score", "predicted", "__first", "__three")
-    scored = with_evidence(docs.withColumn(TEXT, F.col(text_col).cast("string")), model, TEXT, tuple(docs.columns))
-    score = 1.0 / (1.0 + F.exp(-(F.lit(base) + F.lit(first) * F.col("__first") + F.lit(three) * F.col("__three"))))
-    return scored.select(*docs.columns, held_out(id_col, 3, 1).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    model, (base, first, every) = train(narrow(docs, id_col, text_col), labels)
+    mine, text = plain_names(docs), place(docs, text_col)
+    scored = with_evidence(mine.withColumn(TEXT, F.col(text).cast("string")), model, TEXT, tuple(mine.columns))
+    score = 1.0 / (1.0 + F.exp(-(F.lit(base) + F.lit(first) * F.col("__first") + F.lit(every) * F.col("__all"))))
+    scored = scored.select(*mine.columns, held_out(place(docs, id_col), 3, 1).alias("held_out"), score.alias("score"))
+    return restored(scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), docs, "held_out", "score", "predicted")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
