@@ -8,7 +8,6 @@ stage's docs. A stage decides on all that the one before has kept; all but the l
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimspark.llm import bpe, decontamination, minhash, pii, quality
 from claimspark.session import materialize, table
@@ -26,14 +25,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; the others stay as they are."""
-    found = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontamination.contaminated()).select(*docs.columns)
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars is counted anew where it is known."""
-    out = pii.pseudonymize(docs, pii.DEMO_KEY).drop("pii_kinds")
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.hide(docs, pii.DEMO_KEY)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
