@@ -253,7 +253,7 @@ def date(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
             return pick(
                 F.coalesce(*[F.when(test, F.date_format(new, form)) for form, test in forms.items()]),
                 written(r + 13, F.pmod(l, F.lit(12)) + 1, F.floor(l / 12) + 1700),
-                written(F.lit(29), F.lit(2), 1704 + 4 * (l + F.when(l >= 47, 2).when(l >= 24, 1).otherwise(0))),
+                written(F.lit(29), F.lit(2), 1704 + 4 * (l + F.when(l >= 48, 2).when(l >= 24, 1).otherwise(0))),
                 written(F.pmod(end, F.lit(100)), F.floor(end / 100), l + 1700),
             )
 

@@ -208,8 +208,6 @@ def test_bpe(docs, empty):
     for text, ids in zip(fuzz, ours.encode_many(fuzz)):
         want = theirs.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and ours.decode(ids) == theirs.decode(want, skip_special_tokens=False)
-    rows = rows_of(bpe.round_trip(docs, path).join(docs.select("doc_id", "text"), "doc_id"))
-    assert all(r["decoded"] in (r["text"] or "", "a repeated id", r["decoded"]) for r in rows)
     digests = rows_of(bpe.digests(bpe.round_trip(docs, path)))
     assert len(digests) == docs.count() and bpe.round_trip(empty, path).count() == 0
     none = next(d for d, t in zip(digests, rows_of(docs)) if t["text"] is None)
@@ -369,11 +367,14 @@ def test_phone_permutation_is_closed(spark):
     assert len({r["p"] for r in rows}) == len({r["v"] for r in rows})
 
 
-def test_feistel_permutes(spark):
-    pairs = spark.range(7 * 11).select((F.col("id") / 11).cast("long").alias("l"), (F.col("id") % 11).alias("r"))
-    made = pairs.select("l", "r", pii.feistel(F.col("l"), F.col("r"), 7, 11, "k", "test").alias("p"))
-    back = made.select("l", "r", "p", pii.feistel(F.col("p.l"), F.col("p.r"), 7, 11, "k", "test", True).alias("b")).collect()
-    assert len({tuple(x["p"]) for x in back}) == 77 and all(tuple(x["b"]) == (x["l"], x["r"]) for x in back)
+@pytest.mark.parametrize("a, b", [(7, 11), (1, 9), (30, 2)])
+def test_feistel_permutes(spark, a, b):
+    pairs = spark.range(a * b).select((F.col("id") / b).cast("long").alias("l"), (F.col("id") % b).alias("r"))
+    turned = lambda l, r, back: pii.feistel(l, r, a, b, "k", "test", back, lambda l, r: F.struct(l.alias("l"), r.alias("r")))  # noqa: E731, E741
+    made = pairs.select("l", "r", turned(F.col("l"), F.col("r"), False).alias("p"))
+    back = made.select("l", "r", "p", turned(F.col("p.l"), F.col("p.r"), True).alias("b")).collect()
+    assert len({tuple(x["p"]) for x in back}) == a * b and all(tuple(x["b"]) == (x["l"], x["r"]) for x in back)
+    assert all(x["p"]["l"] < a and x["p"]["r"] < b for x in back)
 
 
 # 10
