@@ -32,7 +32,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Log costs of the channel: a letter stood for, a character meant although it could stand for a letter, a repetition dropped, a repetition meant.
 SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = -0.7, -3.0, -0.3, -0.7
 
-ONE = r"(?:[^\W_]|[@$!|+(€])"
+SIGNS = "@$!|+(€"
+ONE = rf"(?:[^\W_]|[{SIGNS}])"
 #: Three or more characters set apart; what has no white space or separator in it; what makes the latter odd.
 APART = re.compile(rf"(?<!{ONE}){ONE}(?:[\s.,/\-_*]+{ONE}){{2,}}(?!{ONE})", re.UNICODE)
 TOKEN = re.compile(rf"{ONE}+", re.UNICODE)
@@ -114,6 +115,11 @@ def decode(span: str, model: CharModel) -> str:
     states: dict[str, tuple[float, tuple]] = {start: (0.0, ())}  # by the last two characters: score, reading as a linked list
     before = ""
     for c in span:
+        if len(states) == 1 and c.isalpha() and c != before:
+            # All paths so far share this letter's cost, so it decides nothing.
+            ((context, (_, path)),) = states.items()
+            states, before = {context[1] + (c if c.isascii() else c.translate(CLASSES)): (0.0, (path, c))}, c
+            continue
         options: list[tuple[str, float]] = []
         if c.isalpha():
             options.append((c, KEEP_REPEAT if c == before else 0.0))
@@ -163,18 +169,18 @@ def plain(span: str) -> bool:
 
 
 class Readings(dict):
-    """Readings of what stands between two spaces."""
+    """Readings of tokens that hold a substitute or a doubled letter."""
 
     def __init__(self, model: CharModel):
         super().__init__()
         self.model = model
 
-    def __missing__(self, piece: str) -> str:
-        found = TOKEN.sub(lambda m: m.group() if plain(m.group()) else decode(m.group(), self.model), piece)
-        if len(piece) < 64:
+    def __missing__(self, token: str) -> str:
+        found = token if plain(token) else decode(token, self.model)
+        if len(token) < 64:
             if len(self) > 100_000:
                 self.clear()
-            self[piece] = found
+            self[token] = found
         return found
 
 
@@ -190,7 +196,17 @@ class Restorer:
         return decode(span, self.model) if LETTER.search(span) or not plain(span) else span
 
     def restore(self, text: str) -> str:
-        return " ".join(map(self.readings.__getitem__, APART.sub(self.apart, text.lower()).split(" ")))
+        """The lower-cased text with the reading of every span that has a lattice; one pass, whatever a token's length."""
+        text = APART.sub(self.apart, text.lower())
+        parts, done, odd = [], 0, ODD.search(text)
+        while odd:
+            start = odd.start()
+            while start > done and (text[start - 1].isalnum() or text[start - 1] in SIGNS):
+                start -= 1
+            end = TOKEN.match(text, start).end()
+            parts += text[done:start], self.readings[text[start:end]]
+            done, odd = end, ODD.search(text, end)
+        return "".join(parts) + text[done:]
 
 
 def features(word: str) -> list[str]:
