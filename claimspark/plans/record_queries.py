@@ -193,8 +193,9 @@ def class_metrics(spark, d):
 
 
 def grouping_sets_metrics(spark, d):
-    judged(spark, d).createOrReplaceTempView("claimspark_judged")
-    return spark.sql("SELECT lang, source, count(*) AS n, round(avg(cast(y = p AS double)), 6) AS accuracy FROM claimspark_judged GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+    lang, source = F.col("lang"), F.col("source")
+    right = F.round(F.avg((F.col("y") == F.col("p")).cast("double")), 6)
+    return judged(spark, d).groupingSets([[lang, source], [lang], []], lang, source).agg(F.count(F.lit(1)).alias("n"), right.alias("accuracy"))
 
 
 def selective_error_coverage(spark, d):
@@ -278,12 +279,12 @@ QUERIES = {
 EV = """e AS (SELECT user_id AS claim, event_id AS seq, ts AS at, CASE event_type WHEN 'error' THEN 'withdraw' WHEN 'signup' THEN 'correct' ELSE 'admit' END AS action,
   'g' || (props->>'$.k')::INT % 7 AS grp, event_type AS status, (round(value * 100) - 2000) / 4096 AS log_evidence, value AS amount, (props->>'$.k')::INT AS k FROM events)"""
 JUDGED = """j AS (SELECT *, (score >= 0.5)::INT AS p FROM (SELECT doc_id, quality AS y, toxic, round(least(1.0, len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' '))), 6) AS score, source, lang FROM labels JOIN documents USING (doc_id)))"""
-ALIGNED = """a AS (SELECT g.doc_id, g.lang AS gold, coalesce(p.prediction, '__MISSING__') AS prediction FROM documents g LEFT JOIN (SELECT doc_id, ['en', 'fr', 'de', 'es'][length(text) % 4 + 1] AS prediction FROM documents WHERE doc_id % 2 = 0) p USING (doc_id))"""
+ALIGNED = """a AS (SELECT g.doc_id, g.lang AS gold, coalesce(p.prediction, '__MISSING__') AS prediction FROM documents g LEFT JOIN (SELECT doc_id, ['en', 'fr', 'de', 'es'][length(text) % 4 + 1] AS prediction FROM documents WHERE length(text) > 0) p USING (doc_id))"""
 LATEST = EV + ", l AS (SELECT claim, grp, max(seq) AS seq, arg_max(log_evidence, seq) AS log_evidence FROM e WHERE action = 'admit' GROUP BY claim, grp)"
 
 ORACLES = {
     "facts_verify_range_join": """WITH f AS (SELECT o_custkey AS company, date_trunc('quarter', o_orderdate)::DATE AS start, sum(round(o_totalprice * 100)::BIGINT) / 100 AS value FROM orders GROUP BY ALL),
-      c AS (SELECT *, year(start) || '-Q' || quarter(start) AS period, CASE WHEN company % 3 = 0 THEN round(value, -3) ELSE round(value * 1.1, -3) END AS stated FROM f WHERE company % 2 = 0)
+      c AS (SELECT *, year(start) || '-Q' || quarter(start) AS period, CASE WHEN company % 3 = 0 THEN round(value, -3) ELSE round(value * 1.1, -3) END AS stated FROM f)
       SELECT company || '-' || period AS claim, value AS filed, CASE WHEN abs(value - stated) <= 500 THEN 'supports' ELSE 'contradicts' END AS stance FROM c""",
     "outcome_within_24_months": """WITH c AS (SELECT o_custkey AS claim, min(o_orderdate)::DATE AS day FROM orders GROUP BY 1),
       h AS (SELECT claim, any_value(day) AS day, min(o_orderdate::DATE) FILTER (o_orderstatus = 'P' AND o_orderdate::DATE BETWEEN day AND (day + INTERVAL 24 MONTH)::DATE) AS filed FROM c JOIN orders ON o_custkey = claim GROUP BY claim)
@@ -300,7 +301,7 @@ ORACLES = {
     "parsed_numbers": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$ ' || format('{:,.2f}', p_retailprice) WHEN 1 THEN '(' || p_size || ')' WHEN 2 THEN p_size || '.5%' ELSE p_name END AS written,
       CASE p_partkey % 4 WHEN 0 THEN round(p_retailprice, 2) WHEN 1 THEN -p_size::DOUBLE WHEN 2 THEN p_size + 0.5 END AS value FROM part""",
     "evidence_hash": f"WITH {EV}, g AS (SELECT claim, grp, count(*) AS version, sum(CASE WHEN action = 'withdraw' THEN -1 ELSE 1 END) > 0 AS active FROM e GROUP BY claim, grp) SELECT claim, sha256(coalesce(string_agg(grp || ':' || version, '|' ORDER BY grp || ':' || version) FILTER (active), ''))[1:16] AS evidence_hash FROM g GROUP BY claim",
-    "scoring_units": f"""WITH RECURSIVE {EV}, x AS (SELECT 'k' || k AS a, 'k' || lag(k) OVER (PARTITION BY claim ORDER BY seq) AS b FROM e WHERE status = 'purchase' AND claim % 10 = k % 10),
+    "scoring_units": f"""WITH RECURSIVE {EV}, x AS (SELECT 'k' || k AS a, 'k' || lag(k) OVER (PARTITION BY claim ORDER BY seq) AS b FROM e WHERE status = 'purchase'),
       y AS (SELECT a, b FROM x WHERE b IS NOT NULL UNION SELECT b, a FROM x WHERE b IS NOT NULL), r(n, m) AS (SELECT a, a FROM y UNION SELECT r.n, y.b FROM r JOIN y ON y.a = r.m), l AS (SELECT n, min(m) AS unit FROM r GROUP BY n)
       SELECT unit, count(*) AS members, sha256(string_agg(n, '+' ORDER BY n)) AS key FROM l GROUP BY unit""",
     "accumulate_log_odds": f"WITH {LATEST}, a AS (SELECT claim, count(*) AS units, CASE WHEN count(*) = count(*) FILTER (abs(log_evidence) <= 5) THEN ln(0.2) - ln(0.8) + sum(log_evidence) END AS o FROM l GROUP BY claim) SELECT claim, units, round(o, 6) AS log_odds, round(1 / (1 + exp(-o)), 6) AS probability FROM a",

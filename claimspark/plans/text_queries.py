@@ -322,7 +322,7 @@ ORACLES = {
       u AS (SELECT id, unnest(range(len(p))) AS place, unnest(p) AS passage FROM p) SELECT id, place, length(passage) AS chars, md5(passage) AS digest FROM u""",
     "passage_offsets": f"""WITH {LINES}, o AS (SELECT doc, pos, text, (sum(length(text) + 1) OVER w - 1)::BIGINT AS "end", lag(pos) OVER v AS prev, lead(pos) OVER v AS next FROM lines
       WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY doc ORDER BY pos)) SELECT doc, pos, "end" - length(text) AS start, "end", prev, next FROM o""",
-    "provenance_groups": r"""SELECT 'grp-' || sha256(trim(regexp_replace(lower(text), '[^\pL\pN_]+', ' ', 'g')))[1:12] AS "group", count(*) AS members, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY 1""",
+    "provenance_groups": r"""SELECT 'grp-' || sha256(trim(regexp_replace(lower(text), '[^\pL\pN_]+', ' ', 'g')))[1:12] AS "group", count(*) AS members, min(doc_id) AS first FROM documents GROUP BY 1""",
     "hash_select_sample": "SELECT doc_id AS id, sha256('13|' || doc_id) AS key FROM documents WHERE sha256('13|' || doc_id) < '1999999999999999'",
     "leak_filter": "SELECT doc_id AS id, length(text) AS chars FROM documents WHERE NOT coalesce(regexp_matches(text, '(?i)worthless|password|licen[sc]e'), false)",
     "qa_boundary": f"WITH {CALLS} SELECT call, max(qa_start) AS qa_start, count(*) FILTER (segment = 'prepared') AS prepared, count(*) FILTER (segment = 'qa') AS qa, count(*) FILTER (segment = 'unknown') AS unknown FROM s GROUP BY call",
