@@ -71,7 +71,7 @@ def safe_program(tokens: Column, rows: Column) -> Column:
     """Whether an array of tokens is a program of the notation and nothing else: four tokens a step (operation, two arguments,
     bracket), then EOF; an argument is a number, a constant, an earlier step or, for a table operation, one of its `rows` and none."""
     steps = F.size(tokens) - 1
-    shape = (F.element_at(tokens, -1) == "EOF") & (steps % 4 == 0) & (steps > 0) & (F.size(tokens) <= 401)
+    shape = (F.get(tokens, steps) == "EOF") & (steps % 4 == 0) & (steps > 0) & (F.size(tokens) <= 401)
     at = lambda i: F.get(tokens, i)
 
     def argument(i: Column, step: Column) -> Column:

@@ -1,12 +1,15 @@
-"""Replaying an ordered trace of evidence events, claim by claim."""
+"""Replaying an ordered trace of evidence events, claim by claim, as windows and running totals."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimspark.operators.ledger import logit, sigmoid
+from claimspark.operators.running import running_totals
+
 STEPS = T.StructType(
     [
         T.StructField("claim", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()),
@@ -15,45 +18,30 @@ STEPS = T.StructType(
 )
 
 
-class Ledger:
-    """What one claim's events have come to: per observation its live items and log evidence."""
-
-    def __init__(self, prior: float, state: dict | None = None):
-        self.prior, self.groups = prior, dict(state or {})  # group -> [items, log evidence]
-
-    def apply(self, action: str, group: str, log_evidence: float) -> bool:
-        """admit, withdraw or correct; whether the active set or a score has changed."""
-        items, score = self.groups.get(group, (0, 0.0))
-        if action == "admit":
-            self.groups[group] = (items + 1, score if items else log_evidence)
-            return items == 0
-        if not items:
-            return False
-        if action == "withdraw":
-            self.groups[group] = (items - 1, score)
-            return items == 1
-        self.groups[group] = (items, log_evidence)
-        return log_evidence != score
-
-    @property
-    def active(self) -> int:
-        return sum(1 for items, _ in self.groups.values() if items)
-
-    def probability(self) -> float:
-        odds = math.log(self.prior) - math.log1p(-self.prior) + math.fsum(s for items, s in self.groups.values() if items)
-        return 1 / (1 + math.exp(-odds)) if odds >= 0 else math.exp(odds) / (1 + math.exp(odds))
+def effects(events: DataFrame) -> DataFrame:
+    """Each event of (claim, seq, action, group, log_evidence) with changed and what it adds to its claim: groups (1, 0 or -1) and odds.
+
+    admit adds an item to its group, withdraw takes one (of none, nothing), correct replaces the log evidence of a group that has items. A
+    group that has none counts nothing; the event that fills it again sets its log evidence. Windows spill, so a group of many events is
+    slow but fits.
+    """
+    order = W.partitionBy("claim", "group").orderBy("seq")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    step = F.when(F.col("action") == "admit", 1).when(F.col("action") == "withdraw", -1).otherwise(0)
+    run = events.withColumn("step", step).withColumn("total", F.sum("step").over(upto)).withColumn("items", F.col("total") - F.least(F.lit(0), F.min("total").over(upto)))
+    run = run.withColumn("had", F.coalesce(F.lag("items").over(order), F.lit(0)))
+    sets = ((F.col("step") == 1) & (F.col("had") == 0)) | ((F.col("step") == 0) & (F.col("had") > 0))
+    run = run.withColumn("score", F.last(F.when(sets, F.col("log_evidence")), ignorenulls=True).over(upto))
+    run = run.withColumn("odds_now", F.when(F.col("items") > 0, F.col("score")).otherwise(0.0)).withColumn("odds_before", F.coalesce(F.lag("odds_now").over(order), F.lit(0.0)))
+    emptied_or_filled = (F.col("items") > 0) != (F.col("had") > 0)
+    corrected = (F.col("step") == 0) & (F.col("had") > 0) & (F.col("odds_now") != F.col("odds_before"))
+    return run.select(
+        "claim", "seq", "action", "group", (emptied_or_filled | corrected).alias("changed"),
+        ((F.col("items") > 0).cast("long") - (F.col("had") > 0).cast("long")).alias("groups"), (F.col("odds_now") - F.col("odds_before")).alias("odds"),
+    )
 
 
 def replay(events: DataFrame, prior: float = 0.5) -> DataFrame:
-    """STEPS from (claim, seq, action, group, log_evidence): what each event did. A claim's events go to one task, in order."""
-
-    def fold(rows):
-        import pandas as pd
-
-        ledger, out = Ledger(prior), []
-        for r in rows.sort_values(["seq", "group"]).itertuples():
-            changed = ledger.apply(r.action, r.group, r.log_evidence)
-            out.append((r.claim, r.seq, r.action, ledger.active, changed, ledger.probability()))
-        return pd.DataFrame(out, columns=STEPS.names)
-
-    return events.select("claim", "seq", "action", "group", "log_evidence").groupBy("claim").applyInPandas(fold, STEPS)
+    """STEPS from (claim, seq, action, group, log_evidence): what each event did and what its claim has come to. Events of one seq go by group."""
+    out = running_totals(effects(events), "claim", ["seq", "group"], {"active": "groups", "log_odds": "odds"})
+    return out.select("claim", "seq", "action", F.col("active").cast("long").alias("active"), "changed", sigmoid(logit(F.lit(prior)) + F.col("log_odds")).alias("probability"))

@@ -1,7 +1,7 @@
 """Passages for claims: similarity joins, keyword and vector search, rank fusion.
 
-All token forms are equi-joins on tokens. Claims are the stated query set: their tokens are broadcast while few and
-shuffled otherwise. Ties go to the passage that comes first.
+Claims are the stated query set. While their tokens are few every task scores its passages against all of them and hands on its best
+(`matching`); beyond that, pairs come from an equi-join on tokens. Both give the same rows. Ties go to the passage that comes first.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.functions import text as X
+from claimspark.operators import matching
 from claimspark.operators.sizes import broadcast_if_small
 
 #: Passages that share this much vocabulary are the same reworded; a strength change below NOTICEABLE is none; rank fusion's k.
@@ -26,13 +27,23 @@ def overlaps(left: DataFrame, right: DataFrame, tokens) -> DataFrame:
     return r.join(broadcast_if_small(l), "token").groupBy("l", "r", "l_n", "r_n").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def containment(shared, l_n, r_n):
+    return shared / np.maximum(1, np.minimum(l_n, r_n))
+
+
+def candidates(left: DataFrame, right: DataFrame, tokens, score, k: int) -> DataFrame:
+    """(l, r, l_n, r_n, shared) of pairs that share a token, among them the k best of each l by score(shared, l_n, r_n)."""
+    index = matching.asked(left, tokens)
+    return overlaps(left, right, tokens) if index is None else matching.pairs(right, tokens, index, score, k, left.schema["id"].dataType)
+
+
 def best_match(current: DataFrame, prior: DataFrame, same: float = SAME) -> DataFrame:
     """For each current (id, text) the closest prior one: id, closest, closest_id, status added or carried_over.
 
     Closeness is the share of the smaller vocabulary that the other has too; without a shared word it is 0 and the id null.
     """
     score = F.col("shared") / F.least("l_n", "r_n")
-    best = overlaps(current, prior, X.passage_tokens).withColumn("score", score).groupBy("l").agg(F.max("score").alias("closest"), F.max_by("r", F.struct("score", -F.col("r"))).alias("closest_id"))
+    best = candidates(current, prior, X.passage_tokens, containment, 1).withColumn("score", score).groupBy("l").agg(F.max("score").alias("closest"), F.max_by("r", F.struct("score", -F.col("r"))).alias("closest_id"))
     out = current.select("id").join(best.withColumnRenamed("l", "id"), "id", "left")
     closest = F.coalesce("closest", F.lit(0.0))
     return out.select("id", F.round(closest, 4).alias("closest"), "closest_id", F.when(closest >= same, "carried_over").otherwise("added").alias("status"))
@@ -53,6 +64,10 @@ def follow(current: DataFrame, prior: DataFrame, lexicon: DataFrame, same: float
 
 def dropped(current: DataFrame, prior: DataFrame, same: float = SAME) -> DataFrame:
     """Prior passages without a counterpart among the current ones: id, similarity."""
+    index = matching.asked(current, X.passage_tokens)
+    if index is not None:
+        best = matching.nearest(prior, X.passage_tokens, index, containment)
+        return best.select("id", F.round("best", 4).alias("similarity")).where(F.col("similarity") < same)
     score = F.col("shared") / F.least("l_n", "r_n")
     best = overlaps(current, prior, X.passage_tokens).groupBy(F.col("r").alias("id")).agg(F.max(score).alias("best"))
     return prior.select("id").join(best, "id", "left").select("id", F.round(F.coalesce("best", F.lit(0.0)), 4).alias("similarity")).where(F.coalesce(F.col("similarity"), F.lit(0.0)) < same)
@@ -66,7 +81,7 @@ def top(scored: DataFrame, k: int, by: str = "query", item: str = "id", score: s
 
 def keyword_search(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """query, id, score (distinct query tokens present), rank."""
-    found = overlaps(queries, passages, X.index_tokens)
+    found = candidates(queries, passages, X.index_tokens, lambda shared, l_n, r_n: shared.astype(float), k)
     return top(found.select(F.col("l").alias("query"), F.col("r").alias("id"), F.col("shared").alias("score")), k)
 
 
@@ -74,22 +89,27 @@ def overlap_match(queries: DataFrame, passages: DataFrame, k: int, least_words:
     """query, id, score (shared tokens over the root of the product of both counts), rank; passages of few words are left out."""
     long = passages.where(F.size(F.split(F.trim("text"), r"\s+")) >= least_words)
     score = F.col("shared") / F.sqrt(F.col("l_n").cast("double") * F.col("r_n"))
-    found = overlaps(queries, long, X.match_tokens)
+    found = candidates(queries, long, X.match_tokens, lambda shared, l_n, r_n: np.round(shared / np.sqrt(l_n.astype(float) * r_n), 9), k)
     return top(found.select(F.col("l").alias("query"), F.col("r").alias("id"), F.round(score, 9).alias("score")), k)
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query, id, score, rank by BM25 over [a-z0-9]+ tokens."""
     tokens = X.found(F.lower("text"), "[a-z0-9]+")
-    asked = broadcast_if_small(queries.select(F.col("id").alias("query"), F.explode(F.array_distinct(tokens)).alias("token")))
     sized = passages.select("id", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    postings = sized.select("id", "length", F.explode("tokens").alias("token")).join(broadcast_if_small(asked.select("token").distinct()), "token", "left_semi")
-    postings = postings.groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # one row for each token of the queries
-    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(stats["mean"] or 1.0)))
-    scored = postings.join(broadcast_if_small(df), "token").withColumn("weight", weight).join(asked, "token").groupBy("query", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    mean = stats["mean"] or 1.0
+    index = matching.asked(queries, X.index_tokens)
+    wanted = broadcast_if_small(queries.select(F.explode(X.index_tokens("text")).alias("token")).distinct())
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))  # one row for each token of the queries
+    if index is not None:
+        weight = {r["token"]: r["w"] for r in df.select("token", idf.alias("w")).collect()}
+        return top(matching.weighted(sized.select("id", "tokens"), index, weight, k1, b, mean, k, queries.schema["id"].dataType), k)
+    asked = queries.select(F.col("id").alias("query"), F.explode(X.index_tokens("text")).alias("token"))
+    postings = sized.select("id", "length", F.explode("tokens").alias("token")).groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
+    scored = postings.join(df, "token").withColumn("weight", weight).join(asked, "token").groupBy("query", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return top(scored, k)
 
 

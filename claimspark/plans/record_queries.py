@@ -316,6 +316,12 @@ ORACLES = {
       q AS (SELECT *, m * o::INT * a / (c + 0.5) AS priority, sum(CASE WHEN NOT o THEN m ELSE 0 END) OVER (PARTITION BY p_brand) / sum(m) OVER (PARTITION BY p_brand) AS coverage FROM p)
       SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY priority DESC, p_partkey) AS place, p_partkey, round(priority, 6) AS priority, round(coverage, 6) AS coverage FROM q WHERE priority > 0 QUALIFY place <= 3""".replace("priority > 0", "q.priority > 0").replace("ORDER BY priority", "ORDER BY q.priority").replace("round(priority", "round(q.priority"),
     "withdrawals_final_state": f"WITH {EV} SELECT claim, count(DISTINCT grp) AS groups, count(*) AS items FROM e WHERE action = 'admit' AND NOT EXISTS (SELECT 1 FROM e w WHERE w.action = 'withdraw' AND w.claim = e.claim AND w.grp = e.grp) GROUP BY claim",
+    "replay_fold": f"""WITH {EV}, s AS (SELECT *, CASE action WHEN 'admit' THEN 1 WHEN 'withdraw' THEN -1 ELSE 0 END AS step FROM e), t AS (SELECT *, sum(step) OVER g AS total FROM s WINDOW g AS (PARTITION BY claim, grp ORDER BY seq)),
+      i AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY claim, grp ORDER BY seq)) AS items FROM t), h AS (SELECT *, coalesce(lag(items) OVER (PARTITION BY claim, grp ORDER BY seq), 0) AS had FROM i),
+      x AS (SELECT *, CASE WHEN items > 0 THEN last_value(CASE WHEN (step = 1 AND had = 0) OR (step = 0 AND had > 0) THEN log_evidence END IGNORE NULLS) OVER (PARTITION BY claim, grp ORDER BY seq) ELSE 0 END AS now FROM h),
+      y AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY claim, grp ORDER BY seq), 0) AS was FROM x),
+      z AS (SELECT claim, seq, action, ((items > 0) <> (had > 0)) OR (step = 0 AND had > 0 AND now <> was) AS changed, sum((items > 0)::INT - (had > 0)::INT) OVER (PARTITION BY claim ORDER BY seq)::BIGINT AS active, sum(now - was) OVER (PARTITION BY claim ORDER BY seq) AS o FROM y)
+      SELECT claim, seq, action, active, changed, round(CASE WHEN o >= 0 THEN 1 / (1 + exp(-o)) ELSE exp(o) / (1 + exp(o)) END, 9) AS probability FROM z""",
     "duplicate_event_noop": f"WITH {EV} SELECT claim, count(DISTINCT (grp, status)) AS observations FROM e GROUP BY claim",
     "precision_recall": f"WITH {JUDGED}, c AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y <> 1 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p <> 1) AS fn FROM j) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c",
     "brier_nll": f"WITH {JUDGED}, c AS (SELECT y, score, least(greatest(score, 1e-12), 1 - 1e-12) AS s FROM j) SELECT count(*) AS n, round(avg((score - y) ** 2), 6) AS brier, round(-avg(y * ln(s) + (1 - y) * ln(1 - s)), 6) AS nll FROM c",

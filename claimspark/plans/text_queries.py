@@ -103,7 +103,8 @@ def hedging_delta(spark, d):
     """A claim's strong words less the weak words of its closest passage."""
     best = retrieval.best_match(claims(spark, d), passages(spark, d)).where("closest_id is not null").select("id", "closest_id")
     own = X.densities(claims(spark, d), lexicon(spark), "id", "text").select("id", "Strong_Modal")
-    other = X.densities(passages(spark, d), lexicon(spark), "id", "text").select(F.col("id").alias("closest_id"), "Weak_Modal")
+    closest = best.select(F.col("closest_id").alias("id")).distinct()
+    other = X.densities(passages(spark, d).join(broadcast_if_small(closest), "id", "left_semi"), lexicon(spark), "id", "text").select(F.col("id").alias("closest_id"), "Weak_Modal")
     return best.join(own, "id").join(other, "closest_id").select("id", "closest_id", F.round(F.col("Strong_Modal") - F.col("Weak_Modal"), 6).alias("hedging"))
 
 

@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from claimspark.operators.replay import STEPS, Ledger
+from claimspark.operators.replay import STEPS
+
+
+class Ledger:
+    """What one claim's events have come to: per observation its live items and log evidence."""
+
+    def __init__(self, prior: float, state: dict | None = None):
+        self.prior, self.groups = prior, dict(state or {})  # group -> [items, log evidence]
+
+    def apply(self, action: str, group: str, log_evidence: float) -> bool:
+        """admit, withdraw or correct; whether the active set or a score has changed."""
+        items, score = self.groups.get(group, (0, 0.0))
+        if action == "admit":
+            self.groups[group] = (items + 1, score if items else log_evidence)
+            return items == 0
+        if not items:
+            return False
+        if action == "withdraw":
+            self.groups[group] = (items - 1, score)
+            return items == 1
+        self.groups[group] = (items, log_evidence)
+        return log_evidence != score
+
+    @property
+    def active(self) -> int:
+        return sum(1 for items, _ in self.groups.values() if items)
+
+    def probability(self) -> float:
+        odds = math.log(self.prior) - math.log1p(-self.prior) + math.fsum(s for items, s in self.groups.values() if items)
+        return 1 / (1 + math.exp(-odds)) if odds >= 0 else math.exp(odds) / (1 + math.exp(odds))
 
 
 def live_ledger(events: DataFrame, prior: float = 0.5) -> DataFrame:
