@@ -35,7 +35,10 @@ SWAP, KEEP_ODD, DROP_REPEAT, KEEP_REPEAT = -0.7, -3.0, -0.3, -0.7
 SIGNS = "@$!|+(€"
 ONE = rf"(?:[^\W_]|[{SIGNS}])"
 #: Three or more characters set apart; what has no white space or separator in it; what makes the latter odd.
-APART = re.compile(rf"(?<!{ONE}){ONE}(?:[\s.,/\-_*]+{ONE}){{2,}}(?!{ONE})", re.UNICODE)
+PART = r"[\s.,/\-_*]"
+APART = re.compile(rf"(?<!{ONE}){ONE}(?:{PART}+{ONE}){{2,}}(?!{ONE})", re.UNICODE)
+#: The second and third of such characters: where this is not found, there are none.
+SECOND = re.compile(rf"{PART}{ONE}{PART}+{ONE}(?!{ONE})", re.UNICODE)
 TOKEN = re.compile(rf"{ONE}+", re.UNICODE)
 ODD = re.compile(r"[0-9@$!|+(€]|([^\W\d_])\1", re.UNICODE)
 LETTER = re.compile(r"[^\W\d_]|@", re.UNICODE)
@@ -56,11 +59,13 @@ CLASSES = Classes()
 
 def trigrams(words: list[str]) -> Counter:
     """Character trigrams of words, each with two marks before and one after it."""
-    found: Counter = Counter()
+    by_count: dict[int, list[str]] = {}
     for w, n in Counter(words).items():
-        w = f"\x02\x02{w if w.isascii() else w.translate(CLASSES)}\x03"
-        for i in range(len(w) - 2):
-            found[w[i : i + 3]] += n
+        by_count.setdefault(n, []).append(f"\x02\x02{w if w.isascii() else w.translate(CLASSES)}\x03")
+    found: Counter = Counter()
+    for n, marked in by_count.items():
+        for gram, many in Counter([w[i : i + 3] for w in marked for i in range(len(w) - 2)]).items():
+            found[gram] += n * many
     return found
 
 
@@ -197,7 +202,9 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         """The lower-cased text with the reading of every span that has a lattice; one pass, whatever a token's length."""
-        text = APART.sub(self.apart, text.lower())
+        text = text.lower()
+        if SECOND.search(text):
+            text = APART.sub(self.apart, text)
         parts, done, odd = [], 0, ODD.search(text)
         while odd:
             start = odd.start()
