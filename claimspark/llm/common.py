@@ -25,6 +25,11 @@ def plain_names(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[f"__in{i}" for i in range(len(docs.columns))])
 
 
+def as_text(docs: DataFrame, column: str) -> DataFrame:
+    """docs whose column is a string; one that is already stays as it is."""
+    return docs if docs.schema[column].dataType == T.StringType() else docs.withColumn(column, F.col(column).cast("string"))
+
+
 def place(docs: DataFrame, column: str) -> str:
     """The name that plain_names(docs) gives a column."""
     return f"__in{[c.lower() for c in docs.columns].index(column.lower())}"
@@ -58,7 +63,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    df = df.select(*keep, text_col)
+    df = df.select(*keep) if text_col in keep else df.select(*keep, text_col)  # a kept text goes through once
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, place, plain_names, restored, struct_of
+from claimspark.llm.common import ID, TEXT, as_text, held_out, map_rows, narrow, place, plain_names, restored, struct_of
 from claimspark.session import materialize, table
 
 #: The most labelled documents that the model is fitted on, drawn by a hash of the id.
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     model = train(narrow(docs, id_col, text_col), labels)
     mine, text = plain_names(docs), place(docs, text_col)
-    scored = with_statistics(mine.withColumn(TEXT, F.col(text).cast("string")), TEXT, tuple(mine.columns))
+    scored = with_statistics(as_text(mine, text), text, tuple(mine.columns))
     scored = scored.select(*mine.columns, held_out(place(docs, id_col), 5, 0).alias("held_out"), model.score().alias("score"))
     return restored(scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), docs, "held_out", "score", "predicted")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, held_out, map_rows, narrow, place, plain_names, restored, slices, struct_of
+from claimspark.llm.common import ID, TEXT, as_text, held_out, map_rows, narrow, place, plain_names, restored, slices, struct_of
 from claimspark.llm.quality import training_sample
 from claimspark.session import materialize, table
 
@@ -300,7 +300,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """
     model, (base, first, every) = train(narrow(docs, id_col, text_col), labels)
     mine, text = plain_names(docs), place(docs, text_col)
-    scored = with_evidence(mine.withColumn(TEXT, F.col(text).cast("string")), model, TEXT, tuple(mine.columns))
+    scored = with_evidence(as_text(mine, text), model, text, tuple(mine.columns))
     score = 1.0 / (1.0 + F.exp(-(F.lit(base) + F.lit(first) * F.col("__first") + F.lit(every) * F.col("__all"))))
     scored = scored.select(*mine.columns, held_out(place(docs, id_col), 3, 1).alias("held_out"), score.alias("score"))
     return restored(scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), docs, "held_out", "score", "predicted")
