@@ -131,3 +131,10 @@ def packed(pieces: Column, limit: int = 800) -> Column:
         )
 
     return F.aggregate(pieces, F.array().cast("array<string>"), put)
+
+
+def passages(text: Column | str, limit: int = 800) -> Column:
+    """Plain text as passages: blocks between blank lines, a long one cut where a sentence ends and another begins, packed up to the limit."""
+    blocks = F.split(F.col(text) if isinstance(text, str) else text, r"\n\s*\n")
+    cut = lambda block: F.split(F.regexp_replace(squash(block), r"([.!?])\s+(?=[A-Z‘“\"(])", "$1\u0001"), "\u0001")
+    return F.filter(F.flatten(F.transform(blocks, lambda b: packed(cut(b), limit))), lambda p: p != "")

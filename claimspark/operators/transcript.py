@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 PREPARED, QA, UNKNOWN = "prepared", "qa", "unknown"
 #: Fixed value: a question boundary that leaves less than this share prepared is not believed.
 MIN_PREPARED_SHARE = 0.25
-
-
-def segments(sentences: DataFrame, marker: str) -> DataFrame:
+# Fixed value: wording that hands the call over to questions.
+QA_MARKER = (
+    r"(?i)question[- ]and[- ]answer"
+    r"|begin the question"
+    r"|open(?:ing)?\s+(?:up\s+)?the\s+lines?\s+(?:up\s+)?(?:for|to)\s+questions?"
+    r"|ready\s+(?:for|to\s+take)\s+(?:your\s+)?questions?"
+    r"|operator[,.]?\s+(?:do\s+we\s+have|are\s+there|any)\b[^.]{0,25}questions?"
+    r"|(?:first|next)\s+question\s+(?:comes|is|will\s+come)\s+from"
+    r"|question\s+comes\s+from\s+"
+    r"|turn\s+(?:it|the\s+call)\s+(?:back\s+)?(?:over\s+)?to\s+[^.]{0,30}questions?"
+)
+
+
+def segments(sentences: DataFrame, marker: str = QA_MARKER) -> DataFrame:
     """Adds qa_start (the index after the last line that matches `marker`; null if none, or too early) and segment."""
     call = W.partitionBy("call")
     start = F.max(F.when(F.col("text").rlike(marker), F.col("idx"))).over(call) + 1

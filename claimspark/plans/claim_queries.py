@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.functions import text as X
 from claimspark.functions import wording as V
-from claimspark.operators import answers, reconcile, sections, verification
-from claimspark.operators import scoring
+from claimspark.operators import answers, reconcile, scoring, sections, transcript, verification
 from claimspark.operators.components import components
 from claimspark.plans.record_queries import EV, evidence
 from claimspark.plans.text_queries import LINES, lines
@@ -263,10 +263,23 @@ def round_robin_parts(spark, d):
     return table(spark, d, "benchmark").select("item_id", place.alias("place")).select("item_id", (F.col("place") % 4).alias("part"), (F.col("place") / 4).cast("int").alias("at"))
 
 
+def plain_text_passages(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.posexplode(X.passages("text")).alias("place", "passage"))
+    return p.select("doc_id", "place", F.md5("passage").alias("digest"))
+
+
+def call_hand_over(spark, d):
+    """Where calls are handed over to questions: a turn in five gets the wording of one."""
+    said = ["We will now begin the question", "Operator, are there any questions", "the next question comes from Ann", "I turn it over to you for questions", "Thank you all", "ready to take your questions", "opening up the lines for questions"]
+    n = F.length("text")
+    s = table(spark, d, "conversations").select(F.col("conv_id").alias("call"), F.col("turn").alias("idx"), F.when(n % 5 == 0, pick(said, n % len(said))).otherwise("And so on.").alias("text"))
+    return transcript.segments(s).groupBy("call").agg(F.max("qa_start").alias("qa_start"), F.count_if(F.col("segment") == transcript.QA).alias("qa"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        verify_guards, checklist_families, report_headings, report_sections, risk_candidates, reconcile_groups, group_versions, upsert_outcomes, unit_versions,
+        plain_text_passages, call_hand_over, verify_guards, checklist_families, report_headings, report_sections, risk_candidates, reconcile_groups, group_versions, upsert_outcomes, unit_versions,
         question_answers, bayes_updates, review_decisions, answer_scores, strict_answers, prediction_summary, joint_label_scores, citation_recall, repeated_runs,
         cost_or_unknown, run_comparison, claim_to_turn, finding_of_claim, neutralized_tags, protected_retention, official_export, round_robin_parts,
     )
@@ -305,6 +318,8 @@ ANSWERS = """x AS (SELECT *, round(l_discount * 100)::INT::VARCHAR AS x, (l_line
 ALIGNED = "a AS (SELECT doc_id AS id, lang AS gold, CASE WHEN length(text) > 0 THEN ['en', 'fr', 'de', 'es'][length(text) % 4 + 1] ELSE '__MISSING__' END AS prediction FROM documents WHERE lang IS NOT NULL)"
 
 ORACLES = {
+    "call_hand_over": """WITH s AS (SELECT conv_id AS call, turn AS idx, length(text) % 5 = 0 AND length(text) % 7 <> 4 AS m FROM conversations), q AS (SELECT *, max(CASE WHEN m THEN idx END) OVER (PARTITION BY call) + 1 AS q, count(*) OVER (PARTITION BY call) AS n FROM s),
+      b AS (SELECT call, idx, CASE WHEN q >= 0.25 * n THEN q END AS b FROM q) SELECT call, max(b) AS qa_start, count(*) FILTER (idx >= b) AS qa FROM b GROUP BY call""",
     "verify_guards": f"""WITH {WORDED}, w AS (SELECT *, {sql_list([w[1] for w in WORDINGS])}[k + 1] AS metric FROM n),
       j AS (SELECT *, CASE WHEN k IN (4, 11) THEN 'future' WHEN k = 2 THEN 'company-defined measure' WHEN k = 3 THEN 'part of the company' WHEN k = 6 THEN 'unknown metric' WHEN k = 5 THEN 'rate of change' WHEN k = {NUMBERLESS} THEN 'no number' WHEN k = {PERIODLESS} THEN 'no period' END AS refused, h * 10000.0::DOUBLE AS stated FROM w),
       f AS (SELECT *, CASE WHEN k = 7 THEN 'NetIncomeLoss' WHEN k = 8 THEN NULL WHEN company % 2 = 0 THEN 'Revenues' ELSE '{LONG_TAG}' END AS tag FROM j),
