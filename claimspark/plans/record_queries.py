@@ -14,10 +14,14 @@ from claimspark.streaming import ledger as live
 
 
 def evidence(spark, d) -> DataFrame:
+    return as_evidence(table(spark, d, "events"))
+
+
+def as_evidence(events: DataFrame) -> DataFrame:
     """claim, seq, at, action, group, status, log_evidence, amount from events."""
     k = F.get_json_object("props", "$.k").cast("int")
     action = F.when(F.col("event_type") == "error", "withdraw").when(F.col("event_type") == "signup", "correct").otherwise("admit")
-    return table(spark, d, "events").select(
+    return events.select(
         F.col("user_id").alias("claim"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), action.alias("action"),
         F.concat(F.lit("g"), (k % 7).cast("string")).alias("group"), F.col("event_type").alias("status"), ((F.round(F.col("value") * 100) - 2000) / 4096).alias("log_evidence"), F.col("value").alias("amount"), k.alias("k"),
     )
@@ -260,6 +264,22 @@ def sliding_windows(spark, d):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+def stream_tumbling(spark, d):
+    """The tumbling windows of the events as a stream that is read to its end."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    rows = events.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    out = live.drained(live.tumbling(rows, "1 day"), "stream-tumbling")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "kind", "n", "total")
+
+
+def stream_ledger(spark, d):
+    """The replay of the events as a stream, each claim's ledger kept as state."""
+    columns = evidence(spark, d).columns
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    rows = as_evidence(events).select(*columns)
+    return live.drained(live.live_ledger(rows), "stream-ledger", "append").withColumn("probability", F.round("probability", 9))
+
+
 def session_windows(spark, d):
     out = live.sessions(evidence(spark, d).select("at", "claim"), "6 hours")
     return out.groupBy("claim").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
@@ -272,7 +292,7 @@ QUERIES = {
         scoring_units, accumulate_log_odds, latest_versions, assessment_history, verdict_gate, majority_vote, representative_per_group, question_priority_topk,
         withdrawals_final_state, replay_fold, duplicate_event_noop, precision_recall, brier_nll, align_predictions, class_metrics, grouping_sets_metrics,
         selective_error_coverage, reliability_bins, isotonic_calibration, experiment_scorecard, usage_rollup, dashboard_aggregates, temporal_replay, html_spans,
-        html_title_links, tumbling_windows, sliding_windows, session_windows,
+        html_title_links, tumbling_windows, sliding_windows, session_windows, stream_tumbling, stream_ledger,
     )
 }
 
@@ -344,3 +364,5 @@ ORACLES = {
     "session_windows": f"""WITH {EV}, g AS (SELECT claim, e.at AS t, CASE WHEN e.at - lag(e.at) OVER (PARTITION BY claim ORDER BY e.at, seq) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new, seq FROM e),
       s AS (SELECT claim, sum(new) OVER (PARTITION BY claim ORDER BY t, seq) AS s FROM g), c AS (SELECT claim, s, count(*) AS n FROM s GROUP BY claim, s) SELECT claim, count(*) AS sessions, max(n) AS longest FROM c GROUP BY claim""",
 }
+ORACLES["stream_tumbling"] = ORACLES["tumbling_windows"]
+ORACLES["stream_ledger"] = ORACLES["replay_fold"]

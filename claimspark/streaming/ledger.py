@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimspark.operators.replay import STEPS
+from claimspark.session import scratch_root
 
 
 class Ledger:
@@ -40,24 +42,56 @@ class Ledger:
         return 1 / (1 + math.exp(-odds)) if odds >= 0 else math.exp(odds) / (1 + math.exp(odds))
 
 
-def live_ledger(events: DataFrame, prior: float = 0.5) -> DataFrame:
-    """The rows of replay() from a stream, each claim's ledger kept as state between micro-batches; within a batch events go in order of seq."""
+def live_ledger(events: DataFrame, prior: float = 0.5, late: str | None = None) -> DataFrame:
+    """The rows of replay() from a stream of (claim, seq, action, group, log_evidence), each claim's ledger kept as state between micro-batches.
+
+    Without `late`, events are applied as they come, each micro-batch in order of seq. With it (events then have `at`, and seq follows it), an event
+    that is delivered twice within that time counts once, and events wait until the watermark has passed them, so that
+    late ones take their place and the rows are those of replay() whatever the order of arrival; what is later still is dropped. A claim's waiting
+    events are bounded by `late`.
+    """
+    if late:
+        events = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["claim", "seq"])
 
     def fold(key, batches, state: GroupState):
         import json
 
         import pandas as pd
 
-        ledger = Ledger(prior, {g: tuple(v) for g, v in json.loads(state.get[0]).items()} if state.exists else None)
-        rows = pd.concat(list(batches))
+        groups, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
+        ledger = Ledger(prior, {g: tuple(v) for g, v in groups.items()})
+        for rows in batches:
+            at = rows["at"].astype("int64") // 10**6 if late else [0] * len(rows)
+            waiting += [[int(t), int(r.seq), r.group, r.action, float(r.log_evidence)] for t, r in zip(at, rows.itertuples())]
+        passed = state.getCurrentWatermarkMs() * 1000 if late else 0
+        ready = sorted((w for w in waiting if w[0] <= passed), key=lambda w: w[1:3])
+        waiting = [w for w in waiting if w[0] > passed]
         out = []
-        for r in rows.sort_values(["seq", "group"]).itertuples():
-            changed = ledger.apply(r.action, r.group, r.log_evidence)
-            out.append((key[0], r.seq, r.action, ledger.active, changed, ledger.probability()))
-        state.update((json.dumps(ledger.groups),))
-        yield pd.DataFrame(out, columns=STEPS.names)
-
-    return events.groupBy("claim").applyInPandasWithState(fold, STEPS, "groups string", "append", GroupStateTimeout.NoTimeout)
+        for _, seq, group, action, log_evidence in ready:
+            changed = ledger.apply(action, group, log_evidence)
+            out.append((key[0], seq, action, ledger.active, changed, ledger.probability()))
+        state.update((json.dumps([ledger.groups, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, min(w[0] for w in waiting) // 1000 + 1))
+        if out:
+            yield pd.DataFrame(out, columns=STEPS.names)
+
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return events.groupBy("claim").applyInPandasWithState(fold, STEPS, "state string", "append", timeout)
+
+
+def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """What a stream has come to when all that is there has been read: its last complete table, or all its rows in append mode.
+
+    The table is written to the shared folder by the stream itself, each batch of rows in a place of its own, so a batch that is tried again
+    replaces what it has left, and a restart goes on from the stream's own checkpoint.
+    """
+    spark = stream.sparkSession
+    root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={i}")
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/progress").start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows").select(*stream.columns)
 
 
 def tumbling(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
