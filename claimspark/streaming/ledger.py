@@ -61,9 +61,9 @@ def live_ledger(events: DataFrame, prior: float = 0.5, late: str | None = None)
         groups, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
         ledger = Ledger(prior, {g: tuple(v) for g, v in groups.items()})
         for rows in batches:
-            at = rows["at"].astype("int64") // 10**6 if late else [0] * len(rows)
+            at = rows["at"].astype("datetime64[ms]").astype("int64") if late else [0] * len(rows)
             waiting += [[int(t), int(r.seq), r.group, r.action, float(r.log_evidence)] for t, r in zip(at, rows.itertuples())]
-        passed = state.getCurrentWatermarkMs() * 1000 if late else 0
+        passed = state.getCurrentWatermarkMs() if late else 0
         ready = sorted((w for w in waiting if w[0] <= passed), key=lambda w: w[1:3])
         waiting = [w for w in waiting if w[0] > passed]
         out = []
@@ -72,7 +72,7 @@ def live_ledger(events: DataFrame, prior: float = 0.5, late: str | None = None)
             out.append((key[0], seq, action, ledger.active, changed, ledger.probability()))
         state.update((json.dumps([ledger.groups, waiting]),))
         if waiting:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, min(w[0] for w in waiting) // 1000 + 1))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, min(w[0] for w in waiting)))
         if out:
             yield pd.DataFrame(out, columns=STEPS.names)
 

@@ -33,4 +33,5 @@ def test_late_and_repeated_events(spark, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert sorted(near(x) for x in out if x[0] != 99) == want
+    got = sorted(near(x) for x in out if x[0] != 99)
+    assert got == want
