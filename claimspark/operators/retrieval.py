@@ -169,6 +169,14 @@ def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id")))
 
 
+def hybrid(queries: DataFrame, passages: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+    """query, id, score, rank: the k best passages by words and the k nearest by vectors, fused by their ranks; with `keep` (id), both legs see only the
+    passages in it, such as those that a cutoff admits. A query without a vector has the words alone."""
+    if keep is not None:
+        passages, vectors = passages.join(keep, "id", "left_semi"), vectors.join(keep, "id", "left_semi")
+    return fuse([bm25(queries, passages, k), cosine_search(vectors, query_vectors, k)])
+
+
 def in_order_of_plan(rankings: list[DataFrame]) -> DataFrame:
     """query, id, place: the rankings one after another, each id where it comes first."""
     together = None
