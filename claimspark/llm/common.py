@@ -45,7 +45,7 @@ class ByteHashes(dict):
     """64-bit hashes of words; few enough are remembered at a time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -79,7 +79,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_col: str, rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a few rows and about `size` bytes of text each (one row at least), so that a worker holds little
     decoded text at a time."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_pylist()

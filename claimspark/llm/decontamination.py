@@ -30,7 +30,7 @@ SHARE = 20
 #: UTF-8 bytes of benchmark text in a block, whose word hashes are broadcast; each block of the benchmark is one pass over the documents.
 BLOCK_BYTES = 64 << 20
 #: Most words in a shard.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 17
 #: Every so many text positions a suffix position is kept.
 SAMPLE = 8
 #: Lower-cases A-Z and turns every byte that is in no word into a space.

@@ -40,8 +40,10 @@ PLAUSIBLE = 0.66
 SMALL, BLOCK = 12, 256
 #: Bands whose large buckets are searched first.
 FIRST_BANDS = 4
-#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+#: Up to so many ids or buckets (8 to 32 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Buckets of more nodes are joined by broadcast, so that no task gets one whole.
+HOT = 2_048
 
 _seeds = np.random.default_rng(20)
 XOR = _seeds.integers(0, 1 << 63, M, dtype=np.uint64)[:, None]
@@ -164,14 +166,23 @@ def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
 
 
+def by_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows joined with (bucket, size, …), a table. The buckets that hold many rows are few and broadcast; only the others' rows are shuffled by bucket."""
+    large = buckets.where(F.col("size") > HOT)
+    if large.select(F.lit(1)).limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return rows.join(buckets, "bucket")
+    others = rows.join(F.broadcast(large.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("size") <= HOT), "bucket")
+    return rows.join(F.broadcast(large), "bucket").unionByName(others)
+
+
 def links_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join groups, within the buckets of members (bucket, node, group, size), by blocks.
 
     A pair across groups has at least one node outside the bucket's largest group. So every node goes to a block of about BLOCK nodes and meets, block by
     block, only those outside; a cell is a block of nodes with a block of outside ones."""
-    counted = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max_by("group", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("outside"))
-    rows = members.join(largest, "bucket").withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "others": F.ceil(F.col("outside") / BLOCK).cast("int")})
+    counted = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    largest = counted.groupBy("bucket").agg(F.max_by("group", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("outside"), F.max("size").alias("size"))
+    rows = by_bucket(members.drop("size"), materialize(largest, "dedup-largest")).withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "others": F.ceil(F.col("outside") / BLOCK).cast("int")})
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     place = lambda i, j, side: F.struct(F.xxhash64("bucket", i, j).alias("cell"), F.lit(side).alias("side"))
     here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: place(at(F.col("blocks")), j, 0))
@@ -232,7 +243,7 @@ def groups_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     band = lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"))
     banded = nodes.select("node", "n", F.inline(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), band)))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(banded.join(shared, "bucket"), "dedup-members")
+    members = materialize(by_bucket(banded, materialize(shared, "dedup-buckets")), "dedup-members")
     sets = materialize(sets_of(docs, materialize(members.select("node").distinct(), "dedup-needed")), "dedup-sets")
 
     best = members.where("node <> first").groupBy(F.col("node").alias("b"), F.col("first").alias("a")).agg(F.count(F.lit(1)).alias("bands"))
@@ -260,8 +271,8 @@ def groups_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def still_open(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one group, with their group."""
     grouped = members.join(groups, "node", "left").select("bucket", "node", "n", "size", F.coalesce("label", "node").alias("group"))
-    open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
-    return materialize(grouped.join(open_, "bucket"), "dedup-open")
+    open_ = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("bucket", "size")
+    return materialize(by_bucket(grouped.drop("size"), materialize(open_, "dedup-open")), "dedup-open")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

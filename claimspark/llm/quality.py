@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import islice
 from operator import and_, eq
 
 import numpy as np
@@ -56,7 +57,7 @@ def statistics(text: str | None) -> list[float]:
     share = {k: float(counts[v].sum()) / n for k, v in CLASS.items()}
     return [
         float(np.log1p(len(words))), sum(lengths) / w, float(np.log1p(max(lengths, default=0))), w / len(lines), *share.values(),
-        len(set(words)) / w, sum(map(eq, words, words[1:])) / w, len(set(lines)) / len(lines), sum(map(str.istitle, words)) / w,
+        len(set(words)) / w, sum(map(eq, words, islice(words, 1, None))) / w, len(set(lines)) / len(lines), sum(map(str.istitle, words)) / w,
     ]
 
 
