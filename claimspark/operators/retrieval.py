@@ -115,7 +115,8 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int, k1: float = 1.2, b: fl
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """query, id, score (cosine), rank among all other vectors. vectors, queries: (id, v); queries go in blocks of bounded size,
-    each broadcast once, and every batch of vectors returns its own k best for each query, of equals the least ids."""
+    each broadcast once, and every batch of vectors returns its own k best for each query, of equals the least ids. A task holds at most
+    matching.CELLS scores at a time."""
     spark = vectors.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // block))
@@ -132,9 +133,8 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
             import pandas as pd
 
             ids, q = shared.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
+            rows = max(1, matching.CELLS // max(1, len(ids)))
+            for batch in (whole.iloc[at : at + rows] for whole in batches for at in range(0, len(whole) if len(ids) else 0, rows)):
                 batch = batch.sort_values("id")
                 own = batch["id"].to_numpy()
                 s = q @ unit(np.stack(batch["v"].to_numpy()).astype(float)).T
