@@ -31,7 +31,7 @@ from claimspark.llm.common import ID, TEXT, map_rows, narrow, struct_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Most chunks that a worker remembers, twice over; older ones go first, which changes no result.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Above every merge's rank.
 NEVER = 1 << 60
 
