@@ -103,3 +103,22 @@ def bayes_factor(prior: Column, factor: Column) -> Column:
     """The probability after a factor; null where either is out of its range."""
     odds = F.log(prior) - F.log1p(-prior) + F.log(factor)
     return F.when((prior > 0) & (prior < 1) & (factor > 0), F.when(odds >= 0, 1 / (1 + F.exp(-odds))).otherwise(F.exp(odds) / (1 + F.exp(odds))))
+
+
+def after_withdrawal(items: DataFrame, withdrawn: DataFrame, reads: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of items (claim, id, span, group), of calculations and of questions when the withdrawn (claim, id) go.
+
+    reads: (claim, calculation, span, group), what each calculation rests on: one goes if any of its groups has no item left, or a span it cites was withdrawn and no
+    admitted item cites it any more. questions: (claim, question, status, id), one row for each item that an answer rests on: a
+    question whose items are all gone is open again; one without items stays.
+    """
+    gone = withdrawn.select("claim", "id").distinct()
+    left = items.join(gone, ["claim", "id"], "left_anti")
+    uncited = items.join(gone, ["claim", "id"], "left_semi").select("claim", "span").distinct().join(left.select("claim", "span").distinct(), ["claim", "span"], "left_anti")
+    active = left.select("claim", "group").distinct().withColumn("active", F.lit(True))
+    broken = reads.join(active, ["claim", "group"], "left").join(uncited.withColumn("uncited", F.lit(True)), ["claim", "span"], "left")
+    broken = broken.where(F.col("active").isNull() | F.col("uncited")).select("claim", "calculation").distinct()
+    calculations = reads.select("claim", "calculation").distinct().join(broken, ["claim", "calculation"], "left_anti")
+    rest = questions.join(gone.withColumn("gone", F.lit(True)), ["claim", "id"], "left")
+    rest = rest.groupBy("claim", "question").agg(F.max("status").alias("status"), F.count("id").alias("had"), F.count_if(F.col("id").isNotNull() & F.col("gone").isNull()).alias("has"))
+    return left, calculations, rest.select("claim", "question", F.when((F.col("had") > 0) & (F.col("has") == 0), "open").otherwise(F.col("status")).alias("status"))

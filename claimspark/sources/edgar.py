@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 RECENT = ("form", "accessionNumber", "filingDate", "reportDate", "primaryDocument", "items")
 SUBMISSIONS = "cik string, filings struct<recent: struct<" + ", ".join(f"{c}: array<string>" for c in RECENT) + ">>"
+OLDER = ", ".join(f"{c} array<string>" for c in RECENT)
 FACTS = "cik string, facts map<string, map<string, struct<units: map<string, array<struct<start: string, end: string, val: double, accn: string>>>>>>"
 TICKERS = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"
 
@@ -23,9 +24,17 @@ def padded(cik: Column | str) -> Column:
 
 def filings(submissions: DataFrame) -> DataFrame:
     """One row for each filing: cik, form, accession, filed, report (null where empty), document, items (array), url."""
-    r = "filings.recent."
-    zipped = F.arrays_zip(*[F.col(r + c).alias(c) for c in RECENT])
-    rows = submissions.select(F.col("cik"), F.explode(zipped).alias("f"))
+    return block_rows(submissions.select("cik", "filings.recent.*"))
+
+
+def older_filings(blocks: DataFrame) -> DataFrame:
+    """The rows of `filings` from the further files that a company with many filings has; the company's number is in the file's name."""
+    name = F.regexp_extract(F.input_file_name(), r"CIK(\d{10})-submissions", 1)
+    return block_rows(blocks.select(name.alias("cik"), *RECENT))
+
+
+def block_rows(blocks: DataFrame) -> DataFrame:
+    rows = blocks.select("cik", F.explode(F.arrays_zip(*RECENT)).alias("f"))
     number = F.regexp_replace("cik", r"^0+", "")
     folder = F.regexp_replace("f.accessionNumber", "-", "")
     return rows.select(
@@ -57,6 +66,14 @@ def facts(company_facts: DataFrame) -> DataFrame:
     return rows.select(padded("cik").alias("company"), "taxonomy", "tag", "unit", day("start").alias("start"), day("end").alias("end"), F.col("r.val").alias("value"), F.col("r.accn").alias("accession"))
 
 
+def of_tag(filed: DataFrame, tag: str, taxonomy: str = "us-gaap", unit: str = "USD") -> DataFrame:
+    """The facts of one tag, taxonomy and unit with rank, the period that ends last first."""
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("company").orderBy(F.desc("end"), F.desc("accession")))
+    return filed.where((F.col("tag") == tag) & (F.col("taxonomy") == taxonomy) & (F.col("unit") == unit)).withColumn("rank", rank)
+
+
 def companies(spark: SparkSession, path: str) -> DataFrame:
     """ticker (upper case), cik; of rows that repeat a ticker the first by position."""
     text = spark.read.text(path, wholetext=True)

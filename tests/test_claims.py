@@ -117,6 +117,24 @@ def test_versions_and_upserts(spark):
     assert [r["outcome"] for r in got] == ["applied", "repeat", "conflict", "applied", "stale", "invalid", "invalid", "invalid", "invalid", "repeat"]
 
 
+def test_what_a_withdrawal_takes_along(spark):
+    items = spark.createDataFrame([(1, 1, "s1", "g"), (1, 2, "s2", "g"), (1, 3, "s3", "h"), (1, 4, "s2", "i")], "claim int, id int, span string, group string")
+    reads = spark.createDataFrame([(1, "a", "s1", "g"), (1, "b", "s2", "g"), (1, "c", "s3", "h"), (1, "d", "s2", "i"), (1, "d", "s3", "h")], "claim int, calculation string, span string, group string")
+    questions = spark.createDataFrame([(1, "q", "answered", 1), (1, "q", "answered", 2), (1, "r", "answered", 3), (1, "t", "unanswerable", None)], "claim int, question string, status string, id int")
+    gone = spark.createDataFrame([(1, 1), (1, 3)], "claim int, id int")
+    left, kept, asked = reconcile.after_withdrawal(items, gone, reads, questions)
+    assert sorted(r["id"] for r in left.collect()) == [2, 4]
+    assert sorted(r["calculation"] for r in kept.collect()) == ["b"]
+    assert {r["question"]: r["status"] for r in asked.collect()} == {"q": "answered", "r": "open", "t": "unanswerable"}
+
+
+def test_year_of_a_period(spark):
+    from claimspark.functions.numbers import year_of
+
+    df = spark.createDataFrame([("FY2024",), ("2023 to 2024",), ("soon",), (None,)], "p string")
+    assert [r[0] for r in df.select(year_of(F.col("p"))).collect()] == [2024, None, None, None]
+
+
 def test_answers(spark):
     cases = [("12.5%", "0.125", 0.125, True, True), ("1,250", "1250", 1250.0, True, True), ("about 3", "3", None, False, True), ("YES", "yes", None, True, False), ("no", "yes", None, False, False), ("-4", "4", -4.0, False, True), ("1e400", "1", None, False, False), (".5", "0.5", 0.5, True, True), ("12.5", "0.125", 12.5, False, True), ("94", "0.94", 94.0, False, True), (None, "1", None, False, False), ("", "1", None, False, False)]
     df = spark.createDataFrame([c[:2] for c in cases], "a string, g string")

@@ -25,8 +25,8 @@ def test_parse_number(spark, written, value):
 @pytest.mark.parametrize(
     "claim, number, kind",
     [
-        ("cut by at least 40% this year", "40", "ge"), ("costs below $5", "5", "lt"), ("up to 5 sites", "5", "le"), ("raised $100 million or more", "100", "ge"),
-        ("over the past year revenue rose 12%", "12", "plain"), ("between 40% and 45%", "45", "range"), ("fell by more than about 40%", "40", "gt"),
+        ("saved at least 15% of water", "15", "ge"), ("a fee under €9", "9", "lt"), ("up to 12 depots", "12", "le"), ("$70 million or higher", "70", "ge"), ("9 tonnes or fewer", "9", "le"),
+        ("over the winter orders fell 8%", "8", "plain"), ("between 18 and 22 days", "22", "range"), ("more than roughly 33 units", "33", "gt"), ("no less than US$ 4", "4", "ge"), ("From May on. It was 6", "6", "plain"),
     ],
 )
 def test_bounds(spark, claim, number, kind):
@@ -35,7 +35,7 @@ def test_bounds(spark, claim, number, kind):
 
 def test_relation(spark):
     said = lambda result, number, kind="plain": one(spark, N.relation(F.lit(float(result)), F.lit(float(number)), N.half_step(F.lit(number)), F.lit(kind)))
-    assert said(-39.6, "40") == "agrees" and said(-39.6, "40.0") == "disagrees" and said(60, "40", "ge") == "agrees" and said(38, "40", "ge") == "disagrees" and said(42, "45", "range") == "none"
+    assert said(-24.7, "25") == "agrees" and said(-24.7, "25.0") == "disagrees" and said(31, "25", "ge") == "agrees" and said(24, "25", "ge") == "disagrees" and said(27, "30", "range") == "none"
 
 
 def test_periods(spark):
@@ -47,7 +47,7 @@ def test_periods(spark):
 
 
 def test_text_measures(spark):
-    assert one(spark, X.puffery_density(F.lit("an industry-leading and strongest request"))) == pytest.approx(60.0)
+    assert one(spark, X.puffery_density(F.lit("a world-class and brightest conquest"))) == pytest.approx(60.0)
     assert one(spark, X.puffery_density(F.lit(""))) == 0.0
     assert one(spark, X.family_key(F.lit("Observation A."))) == "grp-02dc50ff6e0b"
     assert one(spark, X.packed(X.sentences(F.lit("One. Two. Three.")), 9)) == ["One. Two.", "Three."]
@@ -115,9 +115,9 @@ def test_headings_climb(spark):
 
 
 def test_verify(spark):
-    facts = spark.createDataFrame([("c", "Revenues", "2015-01-01", "2015-03-31", 76_080_000.0), ("c", "Revenues", "2014-04-01", "2015-03-31", 1.0)], "company string, tag string, start string, end string, value double")
+    facts = spark.createDataFrame([("c", "Revenues", "2015-01-01", "2015-03-31", 43_120_000.0), ("c", "Revenues", "2014-04-01", "2015-03-31", 1.0)], "company string, tag string, start string, end string, value double")
     facts = facts.withColumns({"start": F.col("start").cast("date"), "end": F.col("end").cast("date")})
-    claims = spark.createDataFrame([("a", "c", "2015-Q1", 76.1e6, 5e4, ["Net", "Revenues"]), ("b", "c", "2015-Q1", 71e6, 5e4, ["Revenues"]), ("d", "c", "2013-Q1", 76.1e6, 5e4, ["Revenues"])], "claim string, company string, period string, stated double, step double, tags array<string>")
+    claims = spark.createDataFrame([("a", "c", "2015-Q1", 43.1e6, 5e4, ["Net", "Revenues"]), ("b", "c", "2015-Q1", 41e6, 5e4, ["Revenues"]), ("d", "c", "2013-Q1", 43.1e6, 5e4, ["Revenues"])], "claim string, company string, period string, stated double, step double, tags array<string>")
     assert {r["claim"]: r["stance"] for r in verification.verify(claims, facts).collect()} == {"a": "supports", "b": "contradicts", "d": "not_found"}
 
 
@@ -125,9 +125,9 @@ def test_programs(spark):
     value = lambda n, v, u="": {"name": n, "value": v, "unit": u}
     step = lambda op, *a: {"op": op, "args": list(a[:-1]), "out": a[-1]}
     run = lambda inputs, steps: {o: (v and float(v), u, e) for o, v, u, e in program.run_program(inputs, steps)}
-    got = run([value("a", "10", "kg/unit"), value("n", "1000", "units"), value("b", "6", "kg/unit"), value("m", "2000", "units")], [step("multiply", "a", "n", "x"), step("multiply", "b", "m", "y"), step("pct_change", "x", "y", "p"), step("reduction", "a", "b", "r")])
-    assert got["x"][:2] == (10000.0, "kg") and got["y"][0] == 12000.0 and got["p"][:2] == (20.0, "%") and got["r"][0] == 40.0
-    assert run([value("a", "58"), value("b", "200")], [step("share", "a", "b", "s")])["s"][0] == 29.0
+    got = run([value("a", "4", "kg/unit"), value("n", "500", "units"), value("b", "3", "kg/unit"), value("m", "1000", "units")], [step("multiply", "a", "n", "x"), step("multiply", "b", "m", "y"), step("pct_change", "x", "y", "p"), step("reduction", "a", "b", "r")])
+    assert got["x"][:2] == (2000.0, "kg") and got["y"][0] == 3000.0 and got["p"][:2] == (50.0, "%") and got["r"][0] == 25.0
+    assert run([value("a", "18"), value("b", "72")], [step("share", "a", "b", "s")])["s"][0] == 25.0
     assert run([value("a", "1", "kg"), value("b", "2", "m")], [step("add", "a", "b", "s")])["s"][2]
     assert run([value("a", "1"), value("b", "0")], [step("divide", "a", "b", "s")])["s"][2] and run([value("a", "1"), value("b", "2")], [step("eval", "a", "b", "s")])["s"][2]
     assert run([value("a", "1211143"), value("b", "308.10")], [step("multiply", "a", "b", "x"), step("divide", "x", "const_1000000", "y")])["y"][0] == pytest.approx(373.1531583)

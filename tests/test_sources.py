@@ -9,10 +9,10 @@ from claimspark.sources import calls, edgar, records
 
 def test_filings(spark, tmp_path):
     recent = {"form": ["10-K", "8-K", "10-K"], "accessionNumber": ["0001-24-000001", "0001-24-000002", "0001-23-000009"], "filingDate": ["2024-02-01", "2024-03-01", "2023-02-01"], "reportDate": ["2023-12-31", "", "2022-12-31"], "primaryDocument": ["a.htm", "b.htm", "c.htm"], "items": ["", "4.02, 9.01", ""]}
-    (tmp_path / "s.json").write_text(json.dumps({"cik": "320193", "filings": {"recent": recent, "files": []}}))
+    (tmp_path / "s.json").write_text(json.dumps({"cik": "1234567", "filings": {"recent": recent, "files": []}}))
     filed = edgar.filings(edgar.documents(spark, str(tmp_path / "s.json"), edgar.SUBMISSIONS))
     first = edgar.of_form(filed, "10-K", 1).first()
-    assert first["url"] == "https://www.sec.gov/Archives/edgar/data/320193/000124000001/a.htm" and first["cik"] == "0000320193"
+    assert first["url"] == "https://www.sec.gov/Archives/edgar/data/1234567/000124000001/a.htm" and first["cik"] == "0001234567"
     assert filed.where("form = '8-K'").first()["report"] is None
     assert [str(r["filed"]) for r in edgar.events(filed, "4.02").collect()] == ["2024-03-01"] and edgar.events(filed, "4.0").count() == 0
 
@@ -26,6 +26,16 @@ def test_facts_and_tickers(spark, tmp_path):
     assert [tuple(r) for r in edgar.companies(spark, str(tmp_path / "t.json")).collect()] == [("ABC", "0000000007")]
 
 
+def test_older_filings_and_newest_facts(spark, tmp_path):
+    block = {"form": ["8-K"], "accessionNumber": ["0009-20-000001"], "filingDate": ["2020-05-01"], "reportDate": ["2020-04-30"], "primaryDocument": ["b.htm"], "items": ["4.02, 9.01"]}
+    (tmp_path / "CIK0000000012-submissions-001.json").write_text(json.dumps(block))
+    row = edgar.older_filings(edgar.documents(spark, str(tmp_path / "*.json"), edgar.OLDER)).first()
+    assert (row["cik"], row["form"], row["items"], row["url"]) == ("0000000012", "8-K", ["4.02", "9.01"], "https://www.sec.gov/Archives/edgar/data/12/000920000001/b.htm")
+    rows = [("1", "us-gaap", "Assets", u, None, e, v, "x") for u, e, v in (("USD", "2020-01-01", 1.0), ("USD", "2021-01-01", 2.0), ("EUR", "2022-01-01", 3.0))]
+    filed = spark.createDataFrame(rows, "company string, taxonomy string, tag string, unit string, start date, end string, value double, accession string")
+    assert [r["value"] for r in edgar.of_tag(filed, "Assets").orderBy("rank").collect()] == [2.0, 1.0]
+
+
 def make_call(root, name, lines, rows, people=None):
     (root / "calls" / name).mkdir(parents=True)
     (root / "calls" / name / "text.txt").write_text("\n".join(lines))
