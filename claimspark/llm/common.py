@@ -100,3 +100,25 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 def struct_of(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+#: A key of more rows than this, and of more than one in so many of all rows, counts as hot.
+HOT_ROWS, HOT_SHARE = 10_000, 10_000
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """rows joined with totals, which has one row for each of the keys (nulls are equal), of `size` of the n rows.
+
+    Hot keys are at most HOT_SHARE, whatever n is, so their totals are broadcast and their rows stay where they are; the
+    others meet by a shuffle, in which no key has more rows than HOT_ROWS or n / HOT_SHARE.
+    """
+    most = max(HOT_ROWS, n // HOT_SHARE)
+    there = totals.toDF(*[f"__t_{c}" for c in totals.columns])
+    same = lambda other: [F.col(k).eqNullSafe(other[f"__t_{k}"]) for k in keys]
+    hot, cold = there.where(F.col(f"__t_{size}") > most), there.where(F.col(f"__t_{size}") <= most)
+    new = [F.col(f"__t_{c}").alias(c) for c in totals.columns if c not in keys]
+    if hot.isEmpty():
+        return rows.join(cold, same(cold)).select(*rows.columns, *new)
+    warm = rows.join(F.broadcast(hot), same(hot)).select(*rows.columns, *new)
+    rest = rows.join(F.broadcast(hot.select(*[f"__t_{k}" for k in keys])), same(hot), "left_anti")
+    return warm.unionByName(rest.join(cold, same(cold)).select(*rows.columns, *new))

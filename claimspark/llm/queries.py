@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from claimspark.llm.bpe import op5_bpe
 from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
+from claimspark.llm.exact import OP13_SQL, op13_exact_dedup
 from claimspark.llm.fingerprints import op6_fingerprints
 from claimspark.llm.language import op4_language_id
 from claimspark.llm.minhash import OP7_SQL, op7_minhash_dedup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": OP1_SQL,
     "op3_decontamination": OP3_SQL,
     "op7_minhash_dedup": OP7_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
