@@ -13,6 +13,7 @@ from claimspark.llm.quality import op2_quality_classifier
 from claimspark.llm.sharding import OP1_SQL, op1_sharding
 from claimspark.llm.token_counts import op10_token_counts
 from claimspark.llm.toxicity import op8_toxicity
+from claimspark.llm.vectors import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": OP1_SQL,
     "op3_decontamination": OP3_SQL,
     "op7_minhash_dedup": OP7_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
