@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimspark.llm.bpe import op5_bpe
+from claimspark.llm.conversations import OP12_SQL, op12_conversation_repair
 from claimspark.llm.decontamination import OP3_SQL, op3_decontamination
 from claimspark.llm.exact import OP13_SQL, op13_exact_dedup
 from claimspark.llm.fingerprints import op6_fingerprints
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
@@ -34,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_minhash_dedup": OP7_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
