@@ -110,7 +110,7 @@ def summary(rows: DataFrame) -> DataFrame:
     equals the one that comes first by id; a missing prediction is wrong and counts in n."""
     per = class_metrics(rows).join(rows.select(F.col("gold").alias("label")).distinct(), "label", "left_semi").agg(F.avg("f1").alias("macro_f1"))
     gold = rows.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    floor = gold.agg(F.max(F.struct("n", -F.col("first"), "gold")).alias("f")).select(F.col("f.n").alias("most"), F.col("f.gold").alias("floor_label"))
+    floor = gold.agg(F.min(F.struct((-F.col("n")).alias("less"), "first", "gold")).alias("f")).select((-F.col("f.less")).alias("most"), F.col("f.gold").alias("floor_label"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("prediction")).alias("hits"), F.count_if(F.col("prediction") != MISSING).alias("made"))
     parts = total.unionByName(per, True).unionByName(floor, True)  # one row each
     one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])

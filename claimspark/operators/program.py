@@ -1,92 +1,155 @@
-"""Restricted arithmetic over source-linked figures, exact to 28 digits."""
+"""Restricted arithmetic over source-linked figures, as one fold over the steps of a program.
+
+A figure carries its unit, its period and whom and what it covers. A step refuses figures that don't go together and the program ends there. Values are
+doubles, each result rounded to 15 significant digits, so that decimal figures stay decimal.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal, InvalidOperation
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Scale factors that a program may name.
-CONSTANTS = {f"const_{n}": Decimal(n) for n in (1, 2, 100, 1000, 1000000, 1000000000)}
-OPERATIONS = ("add", "sum", "subtract", "multiply", "divide", "pct_change", "share", "reduction", "compare")
-RESULT = T.StructType([T.StructField("id", T.StringType()), T.StructField("out", T.StringType()), T.StructField("value", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("error", T.StringType())])
-
-
-class Refused(Exception):
-    pass
-
-
-def unit_of(op: str, a: str, b: str) -> str:
-    """The unit of a result; refuses units that don't go together."""
-    if op in ("pct_change", "share", "reduction"):
-        if a and b and a != b:
-            raise Refused(f"units differ: {a}, {b}")
-        return "%"
-    if op == "multiply":
-        for rate, amount in ((a, b), (b, a)):
-            top, _, below = rate.partition("/")
-            if below and below.strip().rstrip("s") == amount.strip().rstrip("s"):
-                return top.strip()
-        if a and b and ("/" in a or "/" in b):
-            raise Refused(f"units differ: {a}, {b}")
-        return f"{a}*{b}" if a and b else a or b
-    if op == "divide":
-        return a if not b else "ratio" if a == b else f"{a}/{b}"
-    if a and b and a != b:
-        raise Refused(f"units differ: {a}, {b}")
-    return a or b
-
-
-def apply(op: str, args: list[Decimal]) -> Decimal:
-    a, b = args[0], args[1]
-    if op in ("add", "sum"):
-        return sum(args, Decimal(0))
-    if op in ("subtract", "compare"):
-        return a - b
-    if op == "multiply":
-        return a * b
-    base = {"divide": b, "share": b, "pct_change": a, "reduction": a}.get(op)
-    if base is None:
-        raise Refused(f"no such operation: {op}")
-    if base == 0 or (op == "reduction" and base < 0):
-        raise Refused(f"{op} of a base of {base}")
-    return {"divide": lambda: a / b, "share": lambda: a / b * 100, "pct_change": lambda: (b - a) / a * 100, "reduction": lambda: (1 - b / a) * 100}[op]()
-
-
-def run_program(inputs: list[dict], steps: list[dict]) -> list[tuple[str, str | None, str | None, str | None]]:
-    """(out, value, unit, error) for each step up to the first refusal. A figure that has a constant's name hides it."""
-    values = dict(CONSTANTS)
-    units = dict.fromkeys(CONSTANTS, "")
-    out = []
-    for step in steps:
-        try:
-            if not out:
-                for i in inputs:
-                    values[i["name"]], units[i["name"]] = Decimal(i["value"]), i.get("unit") or ""
-            args = list(step["args"])
-            if len(args) < 2 or any(a not in values for a in args):
-                raise Refused(f"unknown or too few arguments: {args}")
-            unit = units[args[0]]
-            for a in args[1:]:
-                unit = unit_of(step["op"], unit, units[a]) if step["op"] in OPERATIONS else unit
-            values[step["out"]], units[step["out"]] = apply(step["op"], [values[a] for a in args]), unit
-            out.append((step["out"], format(values[step["out"]], "f"), unit, None))
-        except (Refused, InvalidOperation) as e:
-            out.append((step["out"], None, None, str(e) or "not a number"))
-            break
-    return out
-
+from claimspark.functions.numbers import year_of
 
-def execute(programs: DataFrame) -> DataFrame:
-    """RESULT rows of (id, inputs: array of (name, value, unit), steps: array of (op, args, out)), all strings."""
+#: Scale factors that a program may name.
+CONSTANTS = {f"const_{n}": n for n in (1, 10, 100, 1000, 1000000, 1000000000)}
+#: Operations by what their figures must have in common, and all there are.
+ONE_UNIT = ("add", "subtract", "sum", "compare", "pct_change", "reduction", "share")
+ONE_SCOPE = ("compare", "pct_change", "reduction")
+OPERATIONS = (*ONE_UNIT, "multiply", "divide")
+ABOUT = ("unit", "period", "population", "boundary")
+FIGURE = "struct<name:string,value:double,unit:string,period:string,population:string,boundary:string>"
+STATE = f"struct<figures:array<{FIGURE}>,results:array<struct<out:string,value:double,unit:string,period:string,error:string>>,ended:boolean>"
+RESULT = T.StructType([T.StructField("id", T.StringType()), T.StructField("out", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("period", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def exact(x: Column) -> Column:
+    """A double rounded to 15 significant digits."""
+    return F.format_string("%.14e", x).try_cast("double")
+
+
+def words(unit: Column) -> Column:
+    """The distinct words of a unit, without an s at their end."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(unit), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.regexp_replace(w, "s+$", "")))
+
+
+def cancelled(rate: Column, other: Column) -> Column:
+    """What is over the bar of a rate, if all words under its last bar are in the other unit; else null."""
+    below = F.substring_index(rate, "/", -1)
+    over = F.trim(F.substring(rate, F.lit(1), F.length(rate) - F.length(below) - 1))
+    return F.when(rate.contains("/") & (F.size(words(below)) > 0) & (F.size(F.array_except(words(below), words(other))) == 0), over)
+
+
+def product_unit(a: Column, b: Column) -> Column:
+    """The unit of a product; null where a rate meets a unit that doesn't cancel."""
+    plain = F.when((a == "") | (b == ""), F.concat(a, b)).when(~a.contains("/") & ~b.contains("/"), F.concat(a, F.lit("*"), b))
+    return F.coalesce(cancelled(a, b), cancelled(b, a), plain)
+
+
+def common(values: Column) -> Column:
+    """The one value of an array's non-empty ones; '' for none or several."""
+    return F.when(F.size(values) == 1, F.get(values, 0)).otherwise("")
+
+
+def stepped(state: Column, step: Column) -> Column:
+    """The state after a step."""
+    last = lambda name: F.try_element_at(F.filter(state["figures"], lambda f: f["name"] == name), F.lit(-1))  # noqa: E731  a later figure hides an earlier one
+    args = F.coalesce(step["args"], F.array().cast("array<string>"))
+    return F.when(state["ended"], state).otherwise(bound_to(F.transform(args, last), lambda got: applied(state, step, args, got)))
+
+
+def applied(state: Column, step: Column, args: Column, got: Column) -> Column:
+    op, out = step["op"], step["out"]
+    distinct = lambda name: F.array_distinct(F.filter(F.transform(got, lambda g: g[name]), lambda x: x != ""))
+    covers = F.array_distinct(F.transform(F.filter(got, lambda g: (g["population"] != "") | (g["boundary"] != "")), lambda g: F.struct(g["population"], g["boundary"])))
+    return bound_to(
+        F.struct(distinct("unit").alias("units"), covers.alias("scopes"), common(distinct("period")).alias("period")),
+        lambda has: recorded(state, out, has, judged(op, out, args, got, has)),
+    )
+
+
+def judged(op: Column, out: Column, args: Column, got: Column, has: Column) -> Column:
+    """(value, unit, error) of a step: one of the last two is null."""
+    x, y = F.get(got, 0), F.get(got, 1)
+    a, b = x["value"], y["value"]
+    period = lambda i, g: F.when(F.get(args, i) == out, has["period"]).otherwise(g["period"])  # noqa: E731  a step that renames a figure has dated it already
+    first, second = period(0, x), period(1, y)
+    value = (
+        F.when(op.isin("add", "sum"), F.aggregate(got, F.lit(0.0), lambda s, g: s + g["value"]))
+        .when(op.isin("subtract", "compare"), a - b)
+        .when(op == "multiply", a * b)
+        .when((op == "divide") & (b != 0), a / b)
+        .when((op == "share") & (b != 0), a / b * 100)
+        .when((op == "pct_change") & (a != 0), (b - a) / a * 100)
+        .when((op == "reduction") & (a > 0), (1 - b / a) * 100)
+    )
+    quotient = F.when(y["unit"] == "", x["unit"]).when(x["unit"] == y["unit"], "ratio").otherwise(F.concat(x["unit"], F.lit("/"), y["unit"]))
+    unit = F.when(op.isin("pct_change", "share", "reduction"), "%").when(op == "multiply", product_unit(x["unit"], y["unit"])).when(op == "divide", quotient).otherwise(F.coalesce(F.get(has["units"], 0), F.lit("")))
+
+    def settled(v: Column) -> Column:
+        """v: the value and the unit."""
+        error = (
+            F.when(~op.isin(*OPERATIONS) | op.isNull(), "operation")
+            .when((F.size(got) < 2) | F.exists(got, lambda g: g.isNull()), "arguments")
+            .when(F.exists(got, lambda g: g["value"].isNull()), "number")
+            .when(op.isin(*ONE_UNIT) & (F.size(has["units"]) > 1), "units")
+            .when(op.isin(*ONE_SCOPE) & (F.size(has["scopes"]) > 1), "scope")
+            .when(op.isin("pct_change", "reduction") & (year_of(first) > year_of(second)), "order")
+            .when((op == "multiply") & (first != "") & (second != "") & (first != second), "periods")
+            .when((op == "multiply") & v["unit"].isNull(), "units")
+            .when(v["value"].isNull(), F.when(op == "reduction", "base").otherwise("zero"))
+            .when(F.isnan(v["value"]) | (F.abs(v["value"]) == float("inf")), "number")
+        )
+        return F.struct(v["value"], v["unit"], error.alias("error"))
+
+    return bound_to(F.struct(value.alias("value"), unit.alias("unit")), settled)
+
+
+def recorded(state: Column, out: Column, has: Column, made: Column) -> Column:
+    """The state with a step's figure, or its refusal."""
+
+    def kept(m: Column) -> Column:
+        fine = m["error"].isNull()
+        scope = F.when(F.size(has["scopes"]) == 1, F.get(has["scopes"], 0))
+        value = F.when(fine, exact(m["value"]))
+        figure = F.struct(out.alias("name"), value.alias("value"), m["unit"].alias("unit"), has["period"].alias("period"), F.coalesce(scope["population"], F.lit("")).alias("population"), F.coalesce(scope["boundary"], F.lit("")).alias("boundary"))
+        result = F.struct(out.alias("out"), value.alias("value"), F.when(fine, m["unit"]).alias("unit"), F.when(fine, F.nullif(has["period"], F.lit(""))).alias("period"), m["error"].alias("error"))
+        figures = F.when(fine, F.concat(state["figures"], F.array(figure))).otherwise(state["figures"])
+        return F.struct(figures.alias("figures"), F.concat(state["results"], F.array(result)).alias("results"), (~fine).alias("ended")).cast(STATE)
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    return bound_to(made, kept)
+
+
+def results(inputs: Column, steps: Column, given: tuple[str, ...] = ("name", "value", *ABOUT)) -> Column:
+    """An array of (out, value, unit, period, error) for each step up to the first refusal.
+
+    inputs: array of (name, value as decimal text, unit, period, population, boundary), of which `given` are there; steps: array of (op, args, out). Of
+    inputs of one name the last counts, and it hides a constant of that name. Nulls count as not stated. A refusal is
+    named operation, arguments (unknown or fewer than two), number (not one, or not finite), units, scope (another population or boundary), order (the later
+    year first), periods (a product of two), zero (no change from it, no share of it, no division by it) or base (a reduction from zero or below).
+    """
+    blank = F.lit("")
+    constants = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"), *[blank.alias(c) for c in ABOUT]) for k, v in CONSTANTS.items()])
+    about = lambda i: [(F.coalesce(i[c], blank) if c in given else blank).alias(c) for c in ABOUT]
+    read = F.transform(F.coalesce(inputs, F.array().cast(inputs_type(given))), lambda i: F.struct(i["name"].alias("name"), F.trim(i["value"]).try_cast("double").alias("value"), *about(i)))
+    begin = F.struct(F.concat(constants, read).alias("figures"), F.array().alias("results"), F.lit(False).alias("ended")).cast(STATE)
+    return F.aggregate(F.coalesce(steps, F.array().cast("array<struct<op:string,args:array<string>,out:string>>")), begin, stepped, lambda s: s["results"])
+
+
+def inputs_type(given: tuple[str, ...]) -> str:
+    return "array<struct<" + ",".join(f"{c}:string" for c in given) + ">>"
 
-        for batch in batches:
-            rows = [(i, *r) for i, inputs, steps in zip(batch["id"], batch["inputs"], batch["steps"]) for r in run_program(list(inputs), list(steps))]
-            yield pd.DataFrame(rows, columns=RESULT.names)
 
-    return programs.select("id", "inputs", "steps").mapInPandas(run, RESULT)
+def execute(programs: DataFrame) -> DataFrame:
+    """RESULT rows of (id, inputs, steps), one for each step up to the first refusal; see `results`. Inputs may lack what they don't state. A program without steps has no row."""
+    given = tuple(programs.schema["inputs"].dataType.elementType.names)
+    rows = programs.select(F.col("id").cast("string").alias("id"), F.explode(results(F.col("inputs").cast(inputs_type(given)), F.col("steps"), given)).alias("r"))
+    return rows.select("id", "r.*").select(*RESULT.names)

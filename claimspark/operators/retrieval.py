@@ -40,11 +40,12 @@ def candidates(left: DataFrame, right: DataFrame, tokens, score, k: int) -> Data
 def best_match(current: DataFrame, prior: DataFrame, same: float = SAME) -> DataFrame:
     """For each current (id, text) the closest prior one: id, closest, closest_id, status added or carried_over.
 
-    Closeness is the share of the smaller vocabulary that the other has too; without a shared word it is 0 and the id null.
+    Closeness is the share of the smaller vocabulary that the other has too, of equals the least id; without a shared word it is 0 and the id null.
     """
     score = F.col("shared") / F.least("l_n", "r_n")
-    best = candidates(current, prior, X.passage_tokens, containment, 1).withColumn("score", score).groupBy("l").agg(F.max("score").alias("closest"), F.max_by("r", F.struct("score", -F.col("r"))).alias("closest_id"))
-    out = current.select("id").join(best.withColumnRenamed("l", "id"), "id", "left")
+    found = candidates(current, prior, X.passage_tokens, containment, 1).groupBy("l").agg(F.min(F.struct((-score).alias("less"), "r")).alias("b"))
+    best = found.select(F.col("l").alias("id"), (-F.col("b.less")).alias("closest"), F.col("b.r").alias("closest_id"))
+    out = current.select("id").join(best, "id", "left")
     closest = F.coalesce("closest", F.lit(0.0))
     return out.select("id", F.round(closest, 4).alias("closest"), "closest_id", F.when(closest >= same, "carried_over").otherwise("added").alias("status"))
 

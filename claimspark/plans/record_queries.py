@@ -73,13 +73,13 @@ def calculations(spark, d):
 
 
 def claim_relation_bounds(spark, d):
-    """Claims made from parts: a bound or plain wording beside a price, tested against the size."""
+    """Claims made from parts: a bound or plain wording beside a number, tested against the size, which every fourth part writes as a fall."""
     wording = F.array(*[F.lit(w) for w in ("at least", "less than", "up to", "exactly", "between 1 and", "more than")])
     p = table(spark, d, "part").select("p_partkey", "p_size", F.element_at(wording, (F.col("p_partkey") % 6 + 1).cast("int")).alias("w"), (F.col("p_partkey") % 50 + 1).cast("string").alias("number"))
     claim = F.concat_ws(" ", F.lit("the size is"), "w", "number", F.when(F.col("p_partkey") % 11 == 0, "units or more").otherwise("units"))
     p = p.withColumn("claim", claim)
     kind = N.bound(F.col("claim"), F.col("number"))
-    return p.select("p_partkey", "claim", kind.alias("bound"), N.relation(F.col("p_size").cast("double"), F.col("number").cast("double"), N.half_step(F.col("number")), kind).alias("relation"))
+    return p.select("p_partkey", "claim", kind.alias("bound"), N.relation(F.when(F.col("p_partkey") % 4 == 0, -F.col("p_size")).otherwise(F.col("p_size")).cast("double"), F.col("number").cast("double"), N.half_step(F.col("number")), kind).alias("relation"))
 
 
 def parsed_numbers(spark, d):
@@ -314,10 +314,10 @@ ORACLES = {
       b AS (SELECT a.nation, a.year, a.v AS a, n.v AS b FROM y a JOIN y n ON n.nation = a.nation AND n.year = a.year + 1)
       SELECT nation, year, op, round(CASE op WHEN 'subtract' THEN a - b WHEN 'compare' THEN a - b WHEN 'add' THEN a + b WHEN 'multiply' THEN a * b / 1e9 WHEN 'divide' THEN a / b WHEN 'share' THEN a / b * 100 WHEN 'pct_change' THEN (b - a) / a * 100 ELSE (1 - b / a) * 100 END, 4) AS result
       FROM b, (SELECT unnest(['subtract', 'multiply', 'divide', 'pct_change', 'share', 'reduction', 'compare', 'add']) AS op)""",
-    "claim_relation_bounds": """WITH p AS (SELECT p_partkey, p_size, ['at least', 'less than', 'up to', 'exactly', 'between 1 and', 'more than'][p_partkey % 6 + 1] AS w, p_partkey % 50 + 1 AS number FROM part),
+    "claim_relation_bounds": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN -p_size ELSE p_size END AS p_size, ['at least', 'less than', 'up to', 'exactly', 'between 1 and', 'more than'][p_partkey % 6 + 1] AS w, p_partkey % 50 + 1 AS number FROM part),
       c AS (SELECT *, concat_ws(' ', 'the size is', w, number, CASE WHEN p_partkey % 11 = 0 THEN 'units or more' ELSE 'units' END) AS claim,
         CASE WHEN w = 'between 1 and' AND number <> 1 THEN 'range' WHEN w = 'at least' THEN 'ge' WHEN w = 'less than' THEN 'lt' WHEN w = 'up to' THEN 'le' WHEN w = 'more than' THEN 'gt' WHEN p_partkey % 11 = 0 THEN 'ge' ELSE 'plain' END AS bound FROM p)
-      SELECT p_partkey, claim, CASE WHEN w = 'between 1 and' AND number = 1 THEN 'range' ELSE bound END AS bound, CASE WHEN bound = 'range' OR w = 'between 1 and' THEN 'none' WHEN CASE bound WHEN 'ge' THEN p_size >= number - 0.5 WHEN 'gt' THEN p_size > number - 0.5 WHEN 'le' THEN p_size <= number + 0.5 WHEN 'lt' THEN p_size < number + 0.5 ELSE abs(p_size - number) <= 0.5 END THEN 'agrees' ELSE 'disagrees' END AS relation FROM c""",
+      SELECT p_partkey, claim, CASE WHEN w = 'between 1 and' AND number = 1 THEN 'range' ELSE bound END AS bound, CASE WHEN bound = 'range' OR w = 'between 1 and' THEN 'none' WHEN p_size < 0 AND (bound <> 'plain' OR abs(-p_size - number) <= 0.5) THEN 'none' WHEN CASE bound WHEN 'ge' THEN p_size >= number - 0.5 WHEN 'gt' THEN p_size > number - 0.5 WHEN 'le' THEN p_size <= number + 0.5 WHEN 'lt' THEN p_size < number + 0.5 ELSE abs(p_size - number) <= 0.5 END THEN 'agrees' ELSE 'disagrees' END AS relation FROM c""",
     "parsed_numbers": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$ ' || format('{:,.2f}', p_retailprice) WHEN 1 THEN '(' || p_size || ')' WHEN 2 THEN p_size || '.5%' ELSE p_name END AS written,
       CASE p_partkey % 4 WHEN 0 THEN round(p_retailprice, 2) WHEN 1 THEN -p_size::DOUBLE WHEN 2 THEN p_size + 0.5 END AS value FROM part""",
     "evidence_hash": f"WITH {EV}, g AS (SELECT claim, grp, count(*) AS version, sum(CASE WHEN action = 'withdraw' THEN -1 ELSE 1 END) > 0 AS active FROM e GROUP BY claim, grp) SELECT claim, sha256(coalesce(string_agg(grp || ':' || version, '|' ORDER BY grp || ':' || version) FILTER (active), ''))[1:16] AS evidence_hash FROM g GROUP BY claim",

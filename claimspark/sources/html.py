@@ -21,7 +21,8 @@ from claimspark.session import materialize
 BLOCKS = {"p", "li", "blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "div", "caption", "td", "th", "tr", "table", "ul", "ol", "article", "section", "body", "nav", "header", "footer"}
 HIDDEN = {"script", "style", "noscript", "template", "iframe", "head"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0+(?:\.0*)?(?:px|r?em|pt|%)?\s*(?:!|;|$)", re.I)
+# Fixed value: styles that hide a node; a font size of 0 in any unit does, one of 0.9em doesn't.
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?![\d.]*[1-9])", re.I)
 SUPERSCRIPT = re.compile("[²³¹⁰-⁹]+")
 NOTHING = re.compile("[\u200b-\u200f\u2060\ufeff\U000e0000-\U000e007f]")
 SPAN_OF_CELL = re.compile(r"[1-9]\d?")

@@ -131,8 +131,8 @@ def test_what_a_withdrawal_takes_along(spark):
 def test_year_of_a_period(spark):
     from claimspark.functions.numbers import year_of
 
-    df = spark.createDataFrame([("FY2024",), ("2023 to 2024",), ("soon",), (None,)], "p string")
-    assert [r[0] for r in df.select(year_of(F.col("p"))).collect()] == [2024, None, None, None]
+    df = spark.createDataFrame([("FY2024",), ("2023 to 2024",), ("soon",), (None,), ("FY2019 Q1",), ("the year of 1999.",)], "p string")
+    assert [r[0] for r in df.select(year_of(F.col("p"))).collect()] == [2024, None, None, None, None, 1999]
 
 
 def test_answers(spark):
