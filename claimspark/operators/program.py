@@ -6,13 +6,11 @@ doubles, each result rounded to 15 significant digits, so that decimal figures s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.functions.numbers import year_of
+from claimspark.functions.numbers import bound_to, year_of
 
 #: Scale factors that a program may name.
 CONSTANTS = {f"const_{n}": n for n in (1, 10, 100, 1000, 1000000, 1000000000)}
@@ -26,11 +24,6 @@ STATE = f"struct<figures:array<{FIGURE}>,results:array<struct<out:string,value:d
 RESULT = T.StructType([T.StructField("id", T.StringType()), T.StructField("out", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("period", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), in which value is worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def exact(x: Column) -> Column:
     """A double rounded to 15 significant digits."""
     return F.format_string("%.14e", x).try_cast("double")

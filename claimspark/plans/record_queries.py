@@ -87,17 +87,29 @@ def parsed_numbers(spark, d):
     return table(spark, d, "part").select("p_partkey", written.alias("written")).select("p_partkey", "written", N.parse_number("written").cast("double").alias("value"))
 
 
+PROGRAMS = [
+    [("share", ["a", "b"], "s"), ("pct_change", ["a", "b"], "g"), ("divide", ["b", "n"], "each")],
+    [("multiply", ["rate", "amount"], "x"), ("divide", ["x", "const_1000000"], "m"), ("add", ["m", "const_1", "const_10"], "k"), ("multiply", ["rate", "n"], "never")],
+    [("add", ["a", "b"], "x"), ("reduction", ["b", "a"], "r"), ("subtract", ["r", "const_100"], "x"), ("compare", ["x", "a"], "c")],
+    [("multiply", ["a", "const_1"], "x"), ("multiply", ["b", "const_1"], "y"), ("compare", ["x", "y"], "d"), ("divide", ["d", "amount"], "q"), ("multiply", ["x", "y"], "p"), ("sum", ["q", "const_7"], "z")],
+]
+
+
 def program_execute(spark, d):
-    """One program for each order of a nation-wide sample of customers: the share and growth of its lines, with a refusal where there is none."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("top"), F.min("l_extendedprice").alias("low"), F.count(F.lit(1)).alias("n"))
-    value = lambda name, c, u: F.struct(F.lit(name).alias("name"), c.cast("string").alias("value"), F.lit(u).alias("unit"))
+    """A program for each order, of four kinds by its key: figures are the prices of its cheapest and its dearest line, of the years in which they were shipped and of
+    lines returned or not, the lines but one, and a rate for the units."""
+    line = lambda f: f(F.struct("l_extendedprice", "l_linenumber", F.year("l_shipdate").cast("string").alias("year"), "l_returnflag"))
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(line(F.min).alias("lo"), line(F.max).alias("hi"), (F.count(F.lit(1)) - 1).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("units"))
+
+    def figure(name, value, unit, period=None, population=None):
+        null = F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), (null if period is None else period).alias("period"), (null if population is None else population).alias("population"))
+
+    price = lambda name, c: figure(name, F.col(f"{c}.l_extendedprice"), "USD", F.col(f"{c}.year"), F.col(f"{c}.l_returnflag"))
+    inputs = [price("a", "lo"), price("b", "hi"), figure("n", F.col("n"), "lines"), figure("rate", F.lit("0.25"), "USD/unit"), figure("amount", F.col("units"), "units sold")]
     step = lambda op, args, out: F.struct(F.lit(op).alias("op"), F.array(*[F.lit(a) for a in args]).alias("args"), F.lit(out).alias("out"))
-    programs = lines.select(
-        F.col("l_orderkey").cast("string").alias("id"),
-        F.array(value("a", F.col("low"), "USD"), value("b", F.col("top"), "USD"), value("n", F.col("n") - 1, "")).alias("inputs"),
-        F.array(step("share", ["a", "b"], "s"), step("pct_change", ["a", "b"], "g"), step("divide", ["b", "n"], "each")).alias("steps"),
-    )
-    return program.execute(programs)
+    steps = F.element_at(F.array(*[F.array(*[step(*x) for x in p]) for p in PROGRAMS]), (F.col("l_orderkey") % len(PROGRAMS) + 1).cast("int"))
+    return program.execute(o.select(F.col("l_orderkey").alias("id"), F.array(*inputs).alias("inputs"), steps.alias("steps")))
 
 
 def evidence_hash(spark, d):
@@ -366,3 +378,48 @@ ORACLES = {
 }
 ORACLES["stream_tumbling"] = ORACLES["tumbling_windows"]
 ORACLES["stream_ledger"] = ORACLES["replay_fold"]
+
+#: Programs, step by step by recursion. A figure is (name, value, unit, period, population); `got` are a step's arguments.
+PROGRAM_SQL = """WITH RECURSIVE o AS (
+  SELECT l_orderkey AS id, min({'v': l_extendedprice, 'n': l_linenumber, 'y': year(l_shipdate), 'f': l_returnflag}) AS lo, max({'v': l_extendedprice, 'n': l_linenumber, 'y': year(l_shipdate), 'f': l_returnflag}) AS hi,
+         count(*) - 1 AS n, sum(l_quantity::BIGINT) AS units FROM lineitem GROUP BY 1
+), prog AS (
+  SELECT id::VARCHAR AS id, [(SELECTED)][id % 4 + 1] AS steps,
+    list_transform([1, 10, 100, 1000, 1000000, 1000000000], lambda c: {'name': 'const_' || c, 'value': c::DOUBLE, 'unit': '', 'period': '', 'population': ''})
+    || [{'name': 'a', 'value': lo.v::DOUBLE, 'unit': 'USD', 'period': lo.y::VARCHAR, 'population': lo.f}, {'name': 'b', 'value': hi.v::DOUBLE, 'unit': 'USD', 'period': hi.y::VARCHAR, 'population': hi.f},
+        {'name': 'n', 'value': n::DOUBLE, 'unit': 'lines', 'period': '', 'population': ''}, {'name': 'rate', 'value': 0.25::DOUBLE, 'unit': 'USD/unit', 'period': '', 'population': ''},
+        {'name': 'amount', 'value': units::DOUBLE, 'unit': 'units sold', 'period': '', 'population': ''}] AS figs
+  FROM o
+), run(id, k, steps, figs, out, value, unit, period, error) AS (
+  SELECT id, 0, steps, figs, NULL::VARCHAR, NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM prog
+  UNION ALL
+  SELECT id, k + 1, steps, CASE WHEN e IS NULL THEN list_append(figs, {'name': o, 'value': v, 'unit': u, 'period': p, 'population': s}) ELSE figs END,
+         o, CASE WHEN e IS NULL THEN v END, CASE WHEN e IS NULL THEN u END, CASE WHEN e IS NULL THEN nullif(p, '') END, e
+  FROM (
+    SELECT *, CASE WHEN len(got) < 2 OR len(list_filter(got, lambda g: g IS NULL)) > 0 THEN 'arguments'
+      WHEN op IN ('add', 'subtract', 'sum', 'compare', 'pct_change', 'reduction', 'share') AND len(us) > 1 THEN 'units'
+      WHEN op IN ('compare', 'pct_change', 'reduction') AND len(ss) > 1 THEN 'scope'
+      WHEN op IN ('pct_change', 'reduction') AND x.period <> '' AND y.period <> '' AND x.period > y.period THEN 'order'
+      WHEN op = 'multiply' AND x.period <> '' AND y.period <> '' AND x.period <> y.period THEN 'periods'
+      WHEN u IS NULL THEN 'units' WHEN raw IS NULL THEN CASE WHEN op = 'reduction' THEN 'base' ELSE 'zero' END END AS e, printf('%.14e', raw)::DOUBLE AS v
+    FROM (
+      SELECT *, CASE WHEN len(ps) = 1 THEN ps[1] ELSE '' END AS p, CASE WHEN len(ss) = 1 THEN ss[1] ELSE '' END AS s,
+        CASE op WHEN 'divide' THEN CASE WHEN y.unit = '' THEN x.unit WHEN x.unit = y.unit THEN 'ratio' ELSE x.unit || '/' || y.unit END WHEN 'multiply' THEN
+            CASE WHEN x.unit = 'USD/unit' AND y.unit = 'units sold' THEN 'USD' WHEN x.unit = '' OR y.unit = '' THEN x.unit || y.unit WHEN NOT contains(x.unit || y.unit, '/') THEN x.unit || '*' || y.unit END
+          WHEN 'share' THEN '%' WHEN 'pct_change' THEN '%' WHEN 'reduction' THEN '%' ELSE coalesce(us[1], '') END AS u,
+        CASE op WHEN 'add' THEN list_sum(list_transform(got, lambda g: g.value)) WHEN 'sum' THEN list_sum(list_transform(got, lambda g: g.value)) WHEN 'subtract' THEN x.value - y.value WHEN 'compare' THEN x.value - y.value
+          WHEN 'multiply' THEN x.value * y.value WHEN 'divide' THEN CASE WHEN y.value <> 0 THEN x.value / y.value END WHEN 'share' THEN CASE WHEN y.value <> 0 THEN x.value / y.value * 100 END
+          WHEN 'pct_change' THEN CASE WHEN x.value <> 0 THEN (y.value - x.value) / x.value * 100 END ELSE CASE WHEN x.value > 0 THEN (1 - y.value / x.value) * 100 END END AS raw
+      FROM (
+        SELECT *, got[1] AS x, got[2] AS y, list_distinct(list_filter(list_transform(got, lambda g: g.unit), lambda t: t <> '')) AS us, list_distinct(list_filter(list_transform(got, lambda g: g.population), lambda t: t <> '')) AS ss,
+               list_distinct(list_filter(list_transform(got, lambda g: g.period), lambda t: t <> '')) AS ps
+        FROM (
+          SELECT id, k, steps, figs, steps[k + 1].op AS op, steps[k + 1].out AS o, list_transform(steps[k + 1].args, lambda a: list_filter(figs, lambda f: f.name = a)[-1]) AS got
+          FROM run WHERE error IS NULL AND k < len(steps)
+        )
+      )
+    )
+  )
+)
+SELECT id, out, value, unit, period, error FROM run WHERE k > 0""".replace("(SELECTED)", ", ".join("[" + ", ".join(f"{{'op': '{op}', 'args': {args}, 'out': '{out}'}}" for op, args, out in p) + "]" for p in PROGRAMS))
+ORACLES["program_execute"] = PROGRAM_SQL
