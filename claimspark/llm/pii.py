@@ -7,10 +7,10 @@ is a permutation whatever the two moduli are, so no value has to be walked back
 
 | kind | check | permuted |
 |-|-|-|
-| card | 13 to 19 digits, perhaps grouped, the first from 2 to 6, with a Luhn check digit | all digits but the first and last; the check digit is renewed |
-| iban | two letters, two digits, 11 to 30 letters or digits, perhaps in groups of four; the remainder by 97 | the digits of the account; the check digits are renewed |
+| card | 13 to 19 digits, perhaps grouped, the first from 2 to 6, with a Luhn check digit, wherever they are in a run of groups | all digits but the first and last; the check digit is renewed |
+| iban | two letters, two digits and the country's number of letters or digits, or 11 to 30 in groups of four; the remainder by 97 | the digits of the account; the check digits are renewed |
 | phone | North American: three, three and four digits, perhaps after a 1 and in brackets, or +1 and ten digits | all three; an issued number (area and exchange begin with 2 to 9) stays one |
-| world_phone | + and 8 to 15 digits, perhaps parted, that do not begin with 0 or 1 | all digits after the first three |
+| world_phone | + or 00 and 8 to 15 digits, perhaps parted, that do not begin with 0 or 1 | all digits after the first three |
 | ip | four numbers up to 255 without leading zeros | all four |
 | ipv6 | eight groups, or fewer about one ::, three at least and one of them a number | all groups after the first |
 | ssn | three, two and four digits in the issued ranges | all three |
@@ -19,6 +19,10 @@ is a permutation whatever the two moduli are, so no value has to be walked back
 Mail addresses, access keys and assigned secrets have no number to permute: their secret part is replaced by as many
 characters of a keyed digest, so that equal values stay equal too. A bare run of ten digits has no check and stays.
 
+Groups of digits beside a card number (its expiry, its code, a count before it) don't hide it: from each group of a run on, every length is tried, 16 digits
+first, as most numbers have. A run with such neighbours can by chance, one in ten for each other reading, be read otherwise after the change; it is then
+hidden all the same but doesn't turn back.
+
 No pattern repeats a group without bound in a way that Java's matcher recurses on (possessive repeats), and each alternative starts with a
 test of one character, so a text of any length and alphabet takes one linear scan.
 """
@@ -37,18 +41,40 @@ ROUNDS = 8
 #: The key of the registered query; a deployment passes its own.
 DEMO_KEY = "demonstration key, not a secret"
 
+#: The number of characters of a bank account's number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21,
+    "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24,
+    "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20, "YE": 30,
+}
+#: Lengths of card numbers in the order in which they are tried.
+CARD_LENGTHS = (16, 15, 14, 19, 18, 17, 13)
+#: A group of digits of a run, and one that begins a run of 13 digits at least.
+GROUP_ON = r"\d{3,19}+(?!\w)"
+GROUP = r"(?=(?:[ -]?\d){13})" + GROUP_ON
+
+
+def _of_countries() -> str:
+    """One alternative for each length, so that words behind an account's number are not taken for part of it."""
+    lengths = sorted(set(IBAN_LENGTHS.values()))
+    return "|".join(rf"(?:{'|'.join(c for c, n in IBAN_LENGTHS.items() if n == length)})\d{{2}}(?: ?[A-Z0-9]){{{length - 4}}}(?![A-Za-z0-9])" for length in lengths)
+
+
 KINDS: dict[str, str] = {
     "email": r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)++",
     "secret": r"(?i:password|passwd|token|secret|api_?key)\s*+[=:]\s*+\"?[A-Za-z0-9+/_-]{6,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{_of_countries()}|[A-Z]{{2}}\d{{2}}(?:(?: (?![A-Z]{{2}}\d{{2}}))?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:.])",
     "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10})(?![\w-])",
-    "world_phone": r"(?<![\w+])\+[2-9](?:[ .-]?\(?\d\)?){7,14}(?![\w-])",
+    "world_phone": r"(?<![\w+])(?:\+|00)[2-9](?:[ .-]?\(?\d\)?){7,14}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:0|[1-9]\d{0,2})\.){3}(?:0|[1-9]\d{0,2})(?!\w|\.\d)",
-    "date": r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-])",
+    "date": r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!(?!T\d\d:)[\w/-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])[2-6](?:[ -]?\d){12,18}(?![\w-])",
+    "card": rf"(?<![\w.]){GROUP}(?:[ -](?!\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|\d{{4}}-\d\d-\d\d|\d{{3}}-\d\d-\d{{4}}){GROUP_ON})*+(?:[ -]\d{{1,2}}(?!\w))?+|(?<![\w.-])[2-6](?:(?:[ -](?!{GROUP}))?\d){{12,18}}(?![\w-])",
 }
 #: The characters that a kind can begin with; others fail after one test.
 BEGINS = {
@@ -132,14 +158,54 @@ def permuted_digits(digits: Column, kind: str, key: str, reverse: bool, use: Cal
     return feistel(part(F.lit(1), a), part(a + 1, b), power(a), power(b), key, F.concat(F.lit(kind), F.length(digits).cast("string")), reverse, joined)
 
 
-def card(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
+def card(value: Column, key: str, reverse: bool) -> Column:
+    """A number that is known to be one."""
     digits = digits_of(value)
-    valid = F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits, 1), F.lit(10)) == 0)
 
     def renewed(inner: Column) -> Column:
         return bind(F.concat(F.substring(digits, 1, 1), inner), lambda new: refilled(value, F.concat(new, F.pmod(10 - F.pmod(luhn_sum(new, 2), F.lit(10)), F.lit(10)).cast("string"))))
 
-    return valid, permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), "card", key, reverse, renewed)
+    return permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), "card", key, reverse, renewed)
+
+
+def cards(run: Column, key: str, reverse: bool) -> Column:
+    """A struct (text, n) of a run of groups of digits: its n card numbers replaced, from the left.
+
+    Each group begins at most one number, found by itself; numbers are then taken from left to right. A block of text is handed on whole, so a run
+    of any length takes time in proportion.
+    """
+    groups = F.regexp_extract_all(run, F.lit("([ -]?[0-9]+)"), F.lit(1))
+    few = F.when(F.length(run) <= 40, 19).otherwise(6)  # groups of three digits at least, but for short runs
+
+    def found(t: Column, i: Column) -> Column:
+        """(length, groups) of the number that begins with group i, both 0 without."""
+        part = F.slice(t, i + 1, few)
+        ends = F.transform(F.sequence(F.lit(1), F.size(part)), lambda k: F.length(digits_of(F.array_join(F.slice(part, F.lit(1), k), ""))))
+        none = F.struct(F.lit(0).alias("length"), F.lit(0).alias("groups"))
+
+        def tried(x: Column) -> Column:
+            fits = lambda n: F.array_contains(x["ends"], n) & (F.pmod(luhn_sum(F.substring(x["digits"], F.lit(1), n), 1), F.lit(10)) == 0)
+            return bind(F.get(F.filter(F.array(*[F.lit(n) for n in CARD_LENGTHS]), fits), 0), lambda n: F.when(n.isNull(), none).otherwise(F.struct(n.alias("length"), F.array_position(x["ends"], n).cast("int").alias("groups"))))
+
+        begins = F.get(t, i).rlike("^[ -]?[2-6]")
+        return F.when(begins, bind(F.struct(ends.alias("ends"), digits_of(F.array_join(part, "")).alias("digits")), tried)).otherwise(none)
+
+    def take(t: Column, numbers: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            here = F.get(numbers, i)["groups"]
+            free = i >= s["next"]
+            new = F.when(free & (here > 0), card(F.array_join(F.slice(t, i + 1, here), ""), key, reverse)).when(free, F.get(t, i)).otherwise("")
+            return bind(F.concat(s["block"], new), lambda block: F.struct(
+                F.when(F.length(block) > 400, F.concat(s["done"], F.array(block))).otherwise(s["done"]).alias("done"), F.when(F.length(block) > 400, "").otherwise(block).alias("block"),
+                F.when(free & (here > 0), i + here).otherwise(s["next"]).alias("next"), (s["n"] + F.when(free & (here > 0), 1).otherwise(0)).alias("n"),
+            ))
+
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("block"), F.lit(0).alias("next"), F.lit(0).alias("n"))
+        end = lambda s: F.struct(F.concat(F.array_join(s["done"], ""), s["block"]).alias("text"), s["n"].alias("n"))
+        any_ = F.exists(numbers, lambda x: x["groups"] > 0)
+        return F.when(any_, F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), start, step, end)).otherwise(F.struct(run.alias("text"), F.lit(0).alias("n")))
+
+    return bind(groups, lambda t: bind(F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: found(t, i)), lambda numbers: take(t, numbers)))
 
 
 def world_phone(value: Column, key: str, reverse: bool) -> tuple[Column, Column]:
@@ -285,19 +351,23 @@ def access_key(value: Column, key: str) -> Column:
     return F.concat(F.substring(value, 1, 4), F.upper(digest_like(F.substring(value, 5, 16), key, "access_key")))
 
 
-PERMUTED: dict[str, Callable] = {"iban": iban, "ipv6": ipv6, "phone": phone, "world_phone": world_phone, "ip": ip, "date": date, "ssn": ssn, "card": card}
+PERMUTED: dict[str, Callable] = {"iban": iban, "ipv6": ipv6, "phone": phone, "world_phone": world_phone, "ip": ip, "date": date, "ssn": ssn}
 
 
 def replacement(value: Column, key: str, reverse: bool = False) -> Column:
-    """A struct (kind, text) for a match of PATTERN: kind is null and text the value itself if its check fails."""
-    found = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"))
+    """A struct (kind, text, n) for a match of PATTERN: kind is null and text the value itself if its check fails; n is how many values of the kind it holds."""
+    found = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"), F.lit(0).alias("n"))
     for kind in reversed(KINDS):
+        test, is_kind = value.rlike(f"^(?:{KINDS[kind]})$"), F.lit(kind).alias("kind")
+        if kind == "card":
+            run = bind(cards(value, key, reverse), lambda x: F.struct(F.when(x["n"] > 0, F.lit("card")).alias("kind"), x["text"].alias("text"), x["n"].alias("n")))
+            found = F.when(test, run).otherwise(found)
+            continue
         if kind in PERMUTED:
             valid, new = PERMUTED[kind](value, key, reverse)
         else:
             valid, new = F.lit(not reverse), {"email": email, "secret": secret, "access_key": access_key}[kind](value, key)
-        test = value.rlike(f"^(?:{KINDS[kind]})$") & valid
-        found = F.when(test, F.struct(F.lit(kind).alias("kind"), F.coalesce(new, value).alias("text"))).otherwise(found)
+        found = F.when(test & valid, F.struct(is_kind, F.coalesce(new, value).alias("text"), F.lit(1).alias("n"))).otherwise(found)
     return found
 
 
@@ -314,9 +384,10 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text", reverse:
     between = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(between, F.transform(F.col("made"), lambda m: m["text"]), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
     changed = F.exists("made", lambda m: m["kind"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,text:string>>")
+    kinds = F.flatten(F.transform(F.filter("made", lambda m: m["kind"].isNotNull()), lambda m: F.array_repeat(m["kind"], m["n"])))
+    none = F.array().cast("array<struct<kind:string,text:string,n:int>>")
     found = mine.withColumn("made", F.when(text.rlike(PATTERN), made).otherwise(none))
-    return restored(found.withColumn(at, F.when(changed, joined).otherwise(text)).withColumn("pii_kinds", F.filter(F.transform("made", lambda m: m["kind"]), lambda k: k.isNotNull())), docs, "pii_kinds")
+    return restored(found.withColumn(at, F.when(changed, joined).otherwise(text)).withColumn("pii_kinds", kinds), docs, "pii_kinds")
 
 
 def hide(docs: DataFrame, key: str, *, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
