@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from claimspark.functions import text as X
 from claimspark.functions.wording import plain_text
 from claimspark.operators.scoring import MISSING, class_metrics, ratio
+from claimspark.operators.substring import longest_run
 
 #: How near an answer must be, how near a key number, units whose number is a share of 1, the share of a claim that a quote must cover.
 NEAR, KEY_NEAR, RATIO_UNITS, COVERED = 0.02, 0.05, ("ratio", "fraction", "share", "proportion"), 0.6
@@ -176,21 +177,6 @@ def run_comparison(runs: DataFrame) -> DataFrame:
     return out.select("claim", F.when(F.col("orders") > 0, F.col("any")).alias("order_changes_status"), F.when((F.col("orders") > 0) & (F.col("scores") > 1), F.col("range")).alias("order_score_range"), "changed")
 
 
-def longest_run(quote: str, wanted: str) -> int:
-    """The length of the longest run of characters in both, by the ends of common runs, one row of `wanted` at a time."""
-    import numpy as np
-
-    if not quote or not wanted:
-        return 0
-    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (quote, wanted))
-    best, row = 0, np.zeros(len(a) + 1, np.int32)
-    for c in b:
-        new = np.zeros_like(row)
-        new[1:] = np.where(a == c, row[:-1] + 1, 0)
-        best, row = max(best, int(new.max())), new
-    return best
-
-
 @F.pandas_udf(T.DoubleType())
 def covered(quote, wanted):
     """The share of the wanted text that the quote has as one run of characters."""
@@ -202,8 +188,8 @@ def covered(quote, wanted):
 def finding_of_claim(findings: DataFrame, claims: DataFrame) -> DataFrame:
     """case, finding, covered: the finding of (case, finding, quote) whose quote covers most of the claim text of (case, wanted), if that is enough; of equals the first."""
     both = findings.join(claims, "case").withColumn("covered", covered(plain_text(F.col("quote")), plain_text(F.col("wanted"))))
-    best = both.groupBy("case").agg(F.max(F.struct("covered", (-F.col("finding")).alias("order"))).alias("b"))
-    return best.where(F.col("b.covered") >= COVERED).select("case", (-F.col("b.order")).alias("finding"), F.round("b.covered", 6).alias("covered"))
+    best = both.groupBy("case").agg(F.min(F.struct((-F.col("covered")).alias("less"), "finding")).alias("b"))
+    return best.where(F.col("b.less") <= -COVERED).select("case", F.col("b.finding").alias("finding"), F.round(-F.col("b.less"), 6).alias("covered"))
 
 
 def unverified(summary_text: Column, allowed: Column) -> Column:

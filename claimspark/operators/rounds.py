@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import text as X
 from claimspark.functions.wording import plain_text
+from claimspark.operators.substring import first_holder
 
 #: Questions of a round, confidence from which a sentence that is no claim is left out, the highest score of one unit, characters of what a finding rests on, characters from which background is compressed, kinds of spans that may hold claims.
 ROUND, EXCLUDE, MOST_LOG_EVIDENCE, RESTS_ON, BACKGROUND, CLAIM_KINDS = 3, 0.8, 5.0, 120, 1200, ("paragraph", "heading", "caption")
@@ -72,9 +73,8 @@ def context(passages: DataFrame) -> DataFrame:
 
 def span_of_claim(claims: DataFrame, spans: DataFrame) -> DataFrame:
     """claim, pos of claims (claim, doc, text): the first span (doc, pos, text) of its document that holds it, case and white space aside; null if none does."""
-    said = claims.select("claim", "doc", plain_text(F.col("text")).alias("said")).where("said <> ''")
-    hit = spans.select("doc", "pos", plain_text(F.col("text")).alias("held")).join(said, "doc").where(F.col("held").contains(F.col("said")))
-    return claims.select("claim").join(hit.groupBy("claim").agg(F.min("pos").alias("pos")), "claim", "left")
+    plain = lambda df, *names: df.select(*names, plain_text(F.col("text")).alias("text"))
+    return first_holder(plain(claims, "claim", "doc"), plain(spans, "doc", "pos"))
 
 
 def wiring(inputs: Column, steps: Column, output: Column, expected: Column) -> Column:

@@ -10,6 +10,7 @@ from claimspark.functions import text as X
 from claimspark.functions import wording as V
 from claimspark.operators import answers, reconcile, scoring, sections, transcript, verification
 from claimspark.operators.components import components
+from claimspark.operators.substring import first_holder
 from claimspark.plans.record_queries import EV, evidence
 from claimspark.plans.text_queries import LINES, lines
 from claimspark.session import table
@@ -218,19 +219,25 @@ def run_comparison(spark, d):
     return answers.run_comparison(runs).withColumn("order_score_range", F.round("order_score_range", 6))
 
 
+def middle(text):
+    """A claim made of a text: its middle half."""
+    n = F.length(text)
+    return F.substring(text, F.floor(n / 4).cast("int") + 1, F.greatest(F.lit(1), F.floor(n / 2).cast("int")))
+
+
 def claim_to_turn(spark, d):
-    """Pieces of the turns of a call as claims: the first turn that holds each."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    asked = t.where("length(text) > 30").select("conv_id", F.col("turn").alias("claim"), F.substring("text", 5, 20).alias("piece"))
-    hit = t.join(asked, "conv_id").where(F.col("text").contains(F.col("piece")))
-    return hit.groupBy("conv_id", "claim").agg(F.min("turn").alias("turn"))
+    """The middle half of every turn as a claim: the first turn of the call that holds it."""
+    t = table(spark, d, "conversations")
+    claims = t.select(F.struct("conv_id", "turn").alias("claim"), F.col("conv_id").alias("doc"), middle(F.col("text")).alias("text"))
+    found = first_holder(claims, t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), "text"))
+    return found.where("pos is not null").select("claim.conv_id", F.col("claim.turn").alias("claim"), F.col("pos").alias("turn"))
 
 
 def finding_of_claim(spark, d):
     """Calls as cases: the claim is the first turn's second half and some more, the other turns' texts and the first turn itself are the findings' quotes."""
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("case"), F.col("turn").alias("finding"), F.substring("text", 1, 400).alias("quote"))
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("case"), F.col("turn").alias("finding"), F.col("text").alias("quote"))
     half = F.floor(F.length("quote") / 2).cast("int")
-    wanted = t.where("finding = 0").select("case", F.concat(F.substring(F.col("quote"), half, F.length("quote")), F.lit(" and on")).alias("wanted"))
+    wanted = t.where("finding = 0").select("case", F.concat(F.substring(F.col("quote"), half + 1, F.length("quote")), F.lit(" and on")).alias("wanted"))
     return answers.finding_of_claim(t, wanted)
 
 
@@ -241,11 +248,11 @@ def neutralized_tags(spark, d):
 
 
 def protected_retention(spark, d):
-    """Calls as contexts: how many of the turns' beginnings the last turn's text and the first one's hold."""
+    """Calls as contexts: how many of the turns a text that leaves out every third one still holds, whole."""
     t = table(spark, d, "conversations")
     by = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    text = F.concat_ws("  ", F.element_at("t", 1)["text"], F.element_at("t", -1)["text"])
-    return by.select("conv_id", F.round(V.retention(F.transform("t", lambda x: F.substring(x["text"], 1, 40)), text), 6).alias("kept"))
+    text = F.array_join(F.transform(F.filter("t", lambda x: x["turn"] % 3 < 2), lambda x: x["text"]), "  ")
+    return by.select("conv_id", F.round(V.retention(F.transform("t", lambda x: x["text"]), text), 6).alias("kept"))
 
 
 def official_export(spark, d):
@@ -370,10 +377,14 @@ ORACLES = {
     "run_comparison": f"""WITH {EV}, r AS (SELECT claim, CASE status WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS run, max(k) AS k, max(CASE WHEN k % 5 <> 0 THEN k / 100 END) AS score FROM e GROUP BY ALL HAVING max(k) > 20),
       b AS (SELECT r.*, x.k % 2 <> r.k % 2 AS differs FROM r JOIN r x ON x.claim = r.claim AND x.run = 0)
       SELECT claim, bool_or(differs) FILTER (run IN (1, 2)) AS order_changes_status, CASE WHEN count(*) FILTER (run IN (1, 2)) > 0 AND count(score) FILTER (run < 3) > 1 THEN round(max(score) FILTER (run < 3) - min(score) FILTER (run < 3), 6) END AS order_score_range, count(*) FILTER (run > 2 AND differs) AS changed FROM b GROUP BY claim""",
-    "claim_to_turn": "WITH a AS (SELECT conv_id, turn AS claim, substring(text, 5, 20) AS piece FROM conversations WHERE length(text) > 30) SELECT conv_id, claim, min(turn) AS turn FROM a JOIN conversations USING (conv_id) WHERE contains(text, piece) GROUP BY ALL",
+    "claim_to_turn": "WITH a AS (SELECT conv_id, turn AS claim, substring(text, length(text) // 4 + 1, greatest(1, length(text) // 2)) AS piece FROM conversations) SELECT conv_id, claim, min(turn) AS turn FROM a JOIN conversations USING (conv_id) WHERE piece <> '' AND contains(text, piece) GROUP BY ALL",
+    "finding_of_claim": r"""WITH t AS (SELECT conv_id AS c, turn AS finding, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q, CASE WHEN turn = 0 THEN trim(regexp_replace(lower(substring(text, length(text) // 2 + 1) || ' and on'), '\s+', ' ', 'g')) END AS w FROM conversations),
+      b AS (SELECT c, unnest(range(len(a))) AS i, unnest(a) AS ch, len(a) AS n FROM (SELECT c, string_split(w, '') AS a FROM t WHERE w <> '')), f AS (SELECT c, finding, unnest(range(len(a))) AS j, unnest(a) AS ch FROM (SELECT c, finding, string_split(q, '') AS a FROM t)),
+      m AS (SELECT c, finding, i - j AS d, i, n, i - row_number() OVER (PARTITION BY c, finding, i - j ORDER BY i) AS run FROM f JOIN b USING (c, ch)), r AS (SELECT c, finding, n, d, run, count(*) AS k FROM m GROUP BY ALL),
+      s AS (SELECT c, finding, max(k) / any_value(n) AS covered FROM r GROUP BY c, finding) SELECT c AS "case", finding, round(covered, 6) AS covered FROM s WHERE covered >= 0.6 QUALIFY row_number() OVER (PARTITION BY c ORDER BY covered DESC, finding) = 1""",
     "neutralized_tags": "WITH s AS (SELECT page_id, regexp_replace(html, '<(/?script)', '&lt;\\1', 'gi') AS safe FROM pages) SELECT page_id, len(regexp_extract_all(safe, '&lt;/?script')) + 1 AS pieces, md5(safe) AS digest, contains(lower(safe), '<script') AS left FROM s".replace("AS left", 'AS "left"'),
-    "protected_retention": r"""WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, t, trim(regexp_replace(concat_ws('  ', t[1], t[-1]), '\s+', ' ', 'g')) AS h FROM t)
-      SELECT conv_id, round(len(list_filter(t, lambda x: contains(h, trim(regexp_replace(substring(x, 1, 40), '\s+', ' ', 'g'))))) / len(t), 6) AS kept FROM s""",
+    "protected_retention": r"""WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS t, trim(regexp_replace(coalesce(string_agg(text, '  ' ORDER BY turn) FILTER (turn % 3 < 2), ''), '\s+', ' ', 'g')) AS h FROM conversations GROUP BY conv_id)
+      SELECT conv_id, round(len(list_filter(t, lambda x: contains(h, trim(regexp_replace(x, '\s+', ' ', 'g'))))) / len(t), 6) AS kept FROM t""",
     "official_export": "SELECT doc_id, CASE quality WHEN 1 THEN 'Supported' WHEN 0 THEN 'Conflicting Evidence/Cherrypicking' ELSE 'Not Enough Evidence' END AS label, quality IS NULL AS placeholder FROM documents LEFT JOIN labels USING (doc_id)",
     "round_robin_parts": 'SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) % 4 AS part, (row_number() OVER (ORDER BY item_id) - 1) // 4 AS "at" FROM benchmark',
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimspark.operators import preparation, replay, retrieval, rounds
-from claimspark.plans.claim_queries import pick
+from claimspark.plans.claim_queries import middle, pick
 from claimspark.plans.record_queries import EV, evidence
 from claimspark.plans.text_queries import claims, lines, passages, vectors
 from claimspark.session import table
@@ -53,8 +53,9 @@ def context_build(spark, d):
 
 
 def span_of_claim(spark, d):
+    """The middle half of every line as a claim."""
     spans = lines(spark, d)
-    said = spans.where("length(text) > 40 and pos % 4 = 1").select(F.concat_ws("-", "doc", "pos").alias("claim"), "doc", F.concat(F.lit(" "), F.substring(F.col("text"), 8, 24), F.lit("\t")).alias("text"))
+    said = spans.select(F.concat_ws("-", "doc", "pos").alias("claim"), "doc", F.concat(F.lit(" "), middle(F.col("text")), F.lit("\t")).alias("text"))
     return rounds.span_of_claim(said, spans)
 
 
@@ -100,7 +101,7 @@ LEAKING = ["Fact-check: ", "it was rated as mostly false. ", "Debunked! ", "", "
 
 def searchable_snippets(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("example"), F.concat(F.lit("claim "), (F.col("item_id") % 40).cast("string"), F.lit(" ")).alias("claim"))
-    found = table(spark, d, "documents").select(F.concat(F.lit(" claim "), (F.col("doc_id") % 40).cast("string")).alias("claim"), F.col("doc_id").alias("rank"), F.concat(pick(LEAKING, F.col("doc_id") % len(LEAKING)), F.substring("text", 1, 80)).alias("text"))
+    found = table(spark, d, "documents").select(F.concat(F.lit(" claim "), (F.col("doc_id") % 40).cast("string")).alias("claim"), F.col("doc_id").alias("rank"), F.concat(pick(LEAKING, F.col("doc_id") % len(LEAKING)), "text").alias("text"))
     return preparation.searchable_snippets(asked, found, 3).withColumn("text", F.md5("text"))
 
 
@@ -145,7 +146,7 @@ ORACLES = {
       SELECT claim, place, dense_rank() OVER (PARTITION BY claim ORDER BY r) - 1 AS "group" FROM f""",
     "context_build": r"""WITH c AS (SELECT conv_id AS claim, string_agg(text, chr(10) || chr(10) ORDER BY turn % 3 <> 0, turn) AS x, string_agg(text, chr(10) || chr(10)) FILTER (turn % 3 <> 0) AS b FROM conversations GROUP BY conv_id) SELECT claim, md5(x) AS digest, coalesce(length(b), 0) >= 1200 AS compress FROM c""",
     "span_of_claim": r"""WITH l AS (SELECT doc_id AS doc, unnest(range(len(a))) AS pos, unnest(a) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
-      n AS (SELECT doc, pos, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS held FROM l), c AS (SELECT doc || '-' || pos AS claim, doc, trim(regexp_replace(lower(substring(text, 8, 24)), '\s+', ' ', 'g')) AS said FROM l WHERE length(text) > 40 AND pos % 4 = 1)
+      n AS (SELECT doc, pos, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS held FROM l), c AS (SELECT doc || '-' || pos AS claim, doc, trim(regexp_replace(lower(substring(text, length(text) // 4 + 1, greatest(1, length(text) // 2))), '\s+', ' ', 'g')) AS said FROM l)
       SELECT claim, min(n.pos) FILTER (said <> '' AND contains(held, said)) AS pos FROM c LEFT JOIN n USING (doc) GROUP BY claim""",
     "wiring_keys": """WITH l AS (SELECT 's' || (l_suppkey % 5) AS source, l_orderkey % 3 AS v, l_linenumber AS n FROM lineitem) SELECT source, count(*) AS programs, count(DISTINCT (v, n)) AS calculations FROM l GROUP BY source""",
     "usable_scores": f"""WITH {EV}, s AS (SELECT claim || '/' || grp AS unit, k % 3 AS context, seq, k FROM e), c AS (SELECT unit, max(context) AS context FROM s GROUP BY unit), t AS (SELECT claim || '/' || grp AS unit, seq FROM e WHERE status <> 'view')
@@ -166,7 +167,7 @@ ORACLES = {
     "dataset_chunks": """WITH l AS (SELECT l_orderkey AS example, list(DISTINCT (l_linenumber, l_partkey)) AS r FROM lineitem GROUP BY ALL), s AS (SELECT example, list_sort(r) AS r FROM l)
       SELECT o_orderkey AS example, 'text_' || i AS chunk, 'text' AS kind, [o_orderstatus, o_orderpriority, 'customer ' || o_custkey][i + 1] AS text FROM orders, range(3) t(i)
       UNION ALL SELECT o_orderkey, 'table_' || (i - 1), 'table_row', r[i][1] || ' | ' || r[i][2] FROM orders JOIN s ON example = o_orderkey, unnest(range(1, len(r) + 1)) t(i)""",
-    "searchable_snippets": f"""WITH s AS (SELECT doc_id % 40 AS c, doc_id AS rank, {'[' + ', '.join("'" + x + "'" for x in LEAKING) + ']'}[doc_id % {len(LEAKING)} + 1] || substring(text, 1, 80) AS text FROM documents), k AS (SELECT * FROM s WHERE trim(text) <> '' AND NOT regexp_matches(text, '{LEAK_SQL}', 'i'))
+    "searchable_snippets": f"""WITH s AS (SELECT doc_id % 40 AS c, doc_id AS rank, {'[' + ', '.join("'" + x + "'" for x in LEAKING) + ']'}[doc_id % {len(LEAKING)} + 1] || text AS text FROM documents), k AS (SELECT * FROM s WHERE trim(text) <> '' AND NOT regexp_matches(text, '{LEAK_SQL}', 'i'))
       SELECT item_id AS example, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS place, md5(k.text) AS text FROM benchmark JOIN k ON c = item_id % 40 QUALIFY place <= 3""",
     "document_snapshots": """WITH d AS (SELECT text, doc_id, lang, 'doc-' || sha256(text)[1:16] AS document FROM documents WHERE text IS NOT NULL) SELECT document, any_value(length(text)) AS chars, coalesce(max(doc_id) FILTER (lang = 'fr'), min(doc_id)) AS retrieved FROM d GROUP BY document""",
     "alignment_errors": """WITH i AS (SELECT doc_id, 1 + (doc_id % 90 = 7)::INT AS i FROM documents), r AS (SELECT doc_id, count(*) AS r FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id + 1000000 FROM labels) GROUP BY doc_id)
