@@ -95,8 +95,11 @@ def risk_candidates(spark, d):
 
 
 def items(spark, d) -> DataFrame:
+    return as_items(evidence(spark, d))
+
+
+def as_items(e: DataFrame) -> DataFrame:
     """Events as items: the observation is the span, every eleventh wording is another's, clicks repeat the span ten before."""
-    e = evidence(spark, d)
     quote = F.concat(F.lit("Finding no. "), (F.col("k") % 11 * 10 + F.col("k") % 3).cast("string"), F.when(F.col("k") % 2 == 0, "!").otherwise(""))
     return e.select("claim", F.col("seq").alias("id"), F.concat(F.lit("s"), "k").alias("span"), F.when(F.col("status") == "purchase", "claim").otherwise("question").alias("target"), quote.alias("quote"), F.when((F.col("status") == "click") & (F.col("k") >= 10), F.concat(F.lit("s"), (F.col("k") - 10).cast("string"))).alias("repeats"))
 

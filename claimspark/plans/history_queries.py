@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.operators import merges
-from claimspark.plans.record_queries import EV, evidence
+from claimspark.plans import claim_queries
+from claimspark.plans.claim_queries import as_items
+from claimspark.plans.record_queries import EV, as_evidence, evidence
+from claimspark.session import table
+from claimspark.streaming import groups
+from claimspark.streaming.ledger import drained
 
 #: Observations of a claim.
 GROUPS = 7
@@ -41,7 +46,14 @@ def lineage_after_merges(spark, d):
     return out.groupBy("claim", "calculation").agg(F.array_join(F.array_sort(F.collect_list("group")), "+").alias("lineage"))
 
 
-QUERIES = {f.__name__: f for f in (merge_history, group_at_version, lineage_after_merges)}
+def stream_groups(spark, d):
+    """The items of reconcile_groups as a stream, the last that is sent of each."""
+    stored = table(spark, d, "events")
+    arriving = as_items(as_evidence(spark.readStream.schema(stored.schema).parquet(f"{d}/events.parquet*")))
+    return groups.latest(drained(groups.live_groups(arriving), "stream-groups", "append"))
+
+
+QUERIES = {f.__name__: f for f in (merge_history, group_at_version, lineage_after_merges, stream_groups)}
 
 #: All groups of a claim as lists by number, changed event by event; -1 is a group that hasn't been merged.
 MERGED = f"""{EV}, x AS (
@@ -80,3 +92,4 @@ ORACLES = {
     "lineage_after_merges": f"""WITH RECURSIVE {MERGED}, asked AS (SELECT DISTINCT claim, 'g' || g AS g, 4611686018427387904 AS upto FROM x){HELD}
       SELECT claim, calculation, string_agg(h, '+' ORDER BY h) AS lineage FROM (SELECT DISTINCT claim, seq // 10 AS calculation, h FROM x JOIN held USING (claim) WHERE held.g = 'g' || x.g) GROUP BY ALL""",
 }
+ORACLES["stream_groups"] = claim_queries.ORACLES["reconcile_groups"]
