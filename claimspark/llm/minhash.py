@@ -38,6 +38,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 1
 #: Pairs whose likeliest similarity is below this are confirmed after the others.
 PLAUSIBLE = 0.66
 SMALL, BLOCK = 12, 256
+#: Shingles of a block of nodes, a longer set aside.
+WEIGHT = 300_000
 #: Bands whose large buckets are searched first.
 FIRST_BANDS = 4
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -152,7 +154,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         if not len(u):
             return pd.Series([], dtype=float)
         read = lambda x: np.frombuffer(b"".join(x), "<u2").reshape(len(x), M).astype(np.int32)
-        return pd.Series(likeliest(read(u), read(v), n_u.to_numpy(float), n_v.to_numpy(float)))
+        few = [slice(at, at + 512) for at in range(0, len(u), 512)]
+        return pd.Series(np.concatenate([likeliest(read(u[s]), read(v[s]), n_u[s].to_numpy(float), n_v[s].to_numpy(float)) for s in few]))
 
     return both.select("a", "b", (estimate("a_registers", "b_registers", "a_n", "b_n") >= PLAUSIBLE).alias("plausible"))
 
@@ -168,10 +171,14 @@ def links_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join groups, within the buckets of members (bucket, node, group, size), by blocks.
 
     A pair across groups has at least one node outside the bucket's largest group. So every node goes to a block of about BLOCK nodes and meets, block by
-    block, only those outside; a cell is a block of nodes with a block of outside ones."""
-    counted = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("bucket").agg(F.max_by("group", "n").alias("largest"), (F.sum("n") - F.max("n")).alias("outside"))
-    rows = members.join(largest, "bucket").withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int"), "others": F.ceil(F.col("outside") / BLOCK).cast("int")})
+    block, only those outside; a cell is a block of nodes with a block of outside ones. Blocks have few nodes and few shingles, so a cell of long documents takes no more memory."""
+    counted = members.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("weight"))
+    top = F.struct("nodes", "group")
+    largest = counted.groupBy("bucket").agg(
+        F.max_by("group", top).alias("largest"), (F.sum("nodes") - F.max("nodes")).alias("outside"), F.sum("weight").alias("weight"), (F.sum("weight") - F.max_by("weight", top)).alias("outside_weight"),
+    )
+    blocks = lambda nodes, weight: F.greatest(F.ceil(F.col(nodes) / BLOCK), F.ceil(F.col(weight) / WEIGHT)).cast("int")
+    rows = members.join(largest, "bucket").withColumns({"blocks": blocks("size", "weight"), "others": blocks("outside", "outside_weight")})
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     place = lambda i, j, side: F.struct(F.xxhash64("bucket", i, j).alias("cell"), F.lit(side).alias("side"))
     here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: place(at(F.col("blocks")), j, 0))

@@ -273,10 +273,11 @@ def groups_by_force(pairs):
     return {i: (len(s), label[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize("small, block", [(12, 256), (1, 4)])
-def test_near_duplicates(spark, docs, empty, monkeypatch, small, block):
+@pytest.mark.parametrize("small, block, weight", [(12, 256, 300_000), (1, 4, 300_000), (1, 256, 300)])
+def test_near_duplicates(spark, docs, empty, monkeypatch, small, block, weight):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "WEIGHT", weight)
     r = random.Random(11)
     base = [f"w{r.randrange(400)}" for _ in range(120)]
     chain = [list(base)]
