@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.operators.calibration import LEAST, LEAST_CLASS, curve
+
 MISSING = "__MISSING__"
 
 
@@ -64,14 +66,6 @@ def selective(rows: DataFrame, accept: Column) -> DataFrame:
     return out.select("attempted", "accepted", ratio(F.col("accepted"), F.col("attempted")).alias("coverage"), "error")
 
 
-def isotonic(rows: DataFrame, least: int = 30, least_class: int = 5) -> DataFrame:
+def isotonic(rows: DataFrame, least: int = LEAST, least_class: int = LEAST_CLASS) -> DataFrame:
     """(boundary, value) of a monotone calibration of (y, score); refuses too few outcomes or too few of a class."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).first()
-    ones = n["ones"] or 0
-    if n["n"] < least or ones < least_class or n["n"] - ones < least_class:
-        raise ValueError("too few outcomes to calibrate on")
-    model = IsotonicRegression(featuresCol="score", labelCol="y").fit(rows.select(F.col("score").cast("double"), F.col("y").cast("double")))
-    pairs = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
-    return rows.sparkSession.createDataFrame(pairs, "boundary double, value double")
+    return curve(rows, least, least_class).select("boundary", "value")

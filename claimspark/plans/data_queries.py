@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimspark.operators import preparation, replay, retrieval, rounds
+from claimspark.plans import text_queries
 from claimspark.plans.claim_queries import middle, pick
 from claimspark.plans.record_queries import EV, evidence
 from claimspark.plans.text_queries import claims, lines, passages, vectors
@@ -179,3 +180,6 @@ ORACLES = {
       r AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS passage, o_custkey % 25 AS example, o_orderkey % 40 AS document FROM orders)
       SELECT r."row", passage, r.example, r.document, coalesce(c_custkey, only_one) AS native FROM r LEFT JOIN customer ON c_custkey = passage LEFT JOIN k ON k.example = r.example AND k.document = r.document AND n = 1""".replace("AS row,", 'AS "row",'),
 }
+#: Both legs as they are, then the sum over their ranks.
+ORACLES["hybrid_topk"] = f"""WITH b AS ({text_queries.ORACLES["bm25_topk"]}), n AS ({text_queries.ORACLES["cosine_topk"]}), u AS (SELECT query, id, rank FROM b UNION ALL SELECT query, id, rank FROM n),
+  f AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 12) AS score FROM u GROUP BY query, id) SELECT query, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY f.score DESC, id) AS rank FROM f"""

@@ -224,7 +224,7 @@ def reliability_bins(spark, d):
 
 
 def isotonic_calibration(spark, d):
-    return scoring.isotonic(judged(spark, d))
+    return scoring.isotonic(judged(spark, d)).select(*[F.round(c, 9).alias(c) for c in ("boundary", "value")])
 
 
 def experiment_scorecard(spark, d):
