@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimspark.operators import asof, calibration
-from claimspark.plans.record_queries import JUDGED, judged
+from claimspark.operators import asof, calibration, traces
+from claimspark.plans.record_queries import EV, JUDGED, evidence, judged
 from claimspark.plans.text_queries import claims
 from claimspark.session import table
 
@@ -36,15 +36,60 @@ def calibrated_scores(spark, d):
     return calibration.probabilities(docs, calibration.curve(judged(spark, d))).select("doc_id", "score", F.round("probability", 6).alias("probability"))
 
 
-QUERIES = {f.__name__: f for f in (asof_bm25, later_documents, calibrated_curve, calibrated_scores)}
+def record_tables(spark, d):
+    """Suppliers as findings on claims of their own, nations as documents and analyses, lines as evidence, parts as questions, events as calls."""
+    t = lambda name: table(spark, d, name)
+    findings = t("supplier").select(F.col("s_suppkey").alias("finding"), F.col("s_suppkey").alias("claim"), F.col("s_nationkey").alias("analysis"), (F.col("s_nationkey") + F.col("s_suppkey") % 2 * 10).alias("document"), F.when(F.col("s_acctbal") > 0, "supported").otherwise("mixed").alias("status"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("t"), F.col("s_suppkey").cast("string"))).alias("created"))
+    claims_ = t("supplier").where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("claim"), F.col("s_name").alias("text"))
+    n = F.col("n_nationkey")
+    documents = t("nation").select(n.alias("document"), F.when(n % 4 != 0, F.concat(F.lit("http://"), "n_name")).alias("url"), F.when(n % 3 == 0, F.col("n_name")).alias("heading"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("retrieved"))
+    pieces = t("lineitem").select(F.col("l_suppkey").alias("claim"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), (F.col("l_partkey") % 30).alias("document"), F.col("l_returnflag").alias("quote"))
+    asked = t("part").select((F.col("p_partkey") % 40 + 1).alias("claim"), F.col("p_partkey").alias("question"), (F.col("p_size") % 3).cast("double").alias("materiality"), F.when(F.col("p_partkey") % 7 < 3, "answered").otherwise("open").alias("status"))
+    e = evidence(spark, d)
+    calls = e.select((F.col("claim") % 25).alias("analysis"), F.col("seq").alias("place"), (F.col("k") * 10).cast("long").alias("tokens_in"), F.col("k").cast("long").alias("tokens_out"), F.col("k").cast("long").alias("latency"), F.when(F.col("status") == "error", "timeout").alias("error"))
+    return findings, claims_, documents, pieces, asked, calls
+
+
+def finding_heads(spark, d):
+    return traces.heads(*record_tables(spark, d)).withColumn("coverage", F.round("coverage", 9))
+
+
+def finding_parts(spark, d):
+    findings, _, documents, pieces, asked, calls = record_tables(spark, d)
+    out = traces.parts(findings, documents, pieces, asked, calls)
+    url = F.count_if(F.get_json_object("body", "$.source_url").isNotNull())
+    return out.groupBy("finding", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), url.alias("with_url"))
+
+
+def trace_export(spark, d):
+    """Events that aren't clicks as a state's items, clicks as its calculations, in rounds by their number."""
+    e = evidence(spark, d)
+    items = e.where("status <> 'click'").select("claim", (F.col("k") % 4).alias("round"), F.col("seq").alias("place"), F.concat(F.lit("e"), F.col("seq").cast("string")).alias("id"), "group", "log_evidence")
+    sums = e.where("status = 'click'").select("claim", (F.col("k") % 3).alias("round"), F.col("seq").alias("place"), F.concat(F.lit("n"), F.col("seq").cast("string")).alias("id"))
+    return traces.exported(items, sums)
+
+
+QUERIES = {f.__name__: f for f in (asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
 
 DATED = "p AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 17 <> 0 THEN DATE '1995-01-01' + (doc_id * 37 % 3000)::INT END AS day FROM documents), c AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in CUTOFFS) + "]) AS cutoff)"
 #: The greatest over all beginnings of the least over all ends of the mean between them.
 CURVE = f"""{JUDGED}, g AS (SELECT score, sum(y) AS y, count(*) AS n, row_number() OVER (ORDER BY score) AS i FROM j WHERE y IS NOT NULL AND score IS NOT NULL GROUP BY score), s AS (SELECT *, sum(y) OVER w AS sy, sum(n) OVER w AS sn FROM g WINDOW w AS (ORDER BY i)),
   m AS (SELECT a.i AS a, b.i AS b, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS mean FROM s a JOIN s b ON a.i <= b.i), e AS (SELECT x.i, x.score, x.n, a, min(mean) AS least FROM s x JOIN m ON m.a <= x.i AND m.b >= x.i GROUP BY ALL),
   v AS (SELECT i, score, n, round(max(least), 12) AS value FROM e GROUP BY i, score, n), t AS (SELECT value, min(score) AS lo, max(score) AS hi, sum(n)::BIGINT AS n FROM v GROUP BY value), u AS (SELECT DISTINCT unnest([lo, hi]) AS boundary, value, n FROM t)"""
+RECORDS = f"""{EV}, f AS (SELECT s_suppkey AS finding, s_suppkey AS claim, s_nationkey AS analysis, s_nationkey + s_suppkey % 2 * 10 AS document, CASE WHEN s_acctbal > 0 THEN 'supported' ELSE 'mixed' END AS status, CASE WHEN s_suppkey % 5 <> 0 THEN 't' || s_suppkey END AS created, s_name FROM supplier),
+  d AS (SELECT n_nationkey AS document, CASE WHEN n_nationkey % 4 <> 0 THEN 'http://' || n_name END AS url, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS heading, 'r' || n_regionkey AS retrieved FROM nation),
+  q AS (SELECT p_partkey % 40 + 1 AS claim, p_partkey AS question, p_size % 3 AS m, p_partkey % 7 < 3 AS a FROM part)"""
 
 ORACLES = {
+    "finding_heads": f"""WITH {RECORDS}, v AS (SELECT claim, coalesce(sum(m) FILTER (a) / nullif(sum(m), 0), 0) AS coverage, count(*) AS asked FROM q GROUP BY claim), l AS (SELECT l_suppkey AS claim, count(*) AS evidence FROM lineitem GROUP BY 1),
+      u AS (SELECT claim % 25 AS analysis, count(*) AS calls, sum(k * 11)::BIGINT AS tokens, sum(k)::BIGINT AS latency, count(*) FILTER (status = 'error') AS errors FROM e GROUP BY 1)
+      SELECT finding, claim, analysis, document, status, CASE WHEN claim % 6 <> 0 THEN s_name ELSE '' END AS text, url, coalesce(heading, url, 'Pasted text') AS title, coalesce(created, retrieved) AS created, round(coalesce(coverage, 0), 9) AS coverage,
+        coalesce(evidence, 0) AS evidence, coalesce(asked, 0) AS asked, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, coalesce(latency, 0) AS latency, coalesce(errors, 0) AS errors
+      FROM f LEFT JOIN d USING (document) LEFT JOIN v USING (claim) LEFT JOIN l USING (claim) LEFT JOIN u USING (analysis)""",
+    "finding_parts": f"""WITH {RECORDS}, p AS (SELECT finding, 'evidence' AS part, l_orderkey * 10 + l_linenumber AS place, url FROM f JOIN lineitem ON l_suppkey = claim LEFT JOIN d ON d.document = l_partkey % 30 UNION ALL SELECT finding, 'questions', question, NULL FROM f JOIN q USING (claim)
+      UNION ALL SELECT finding, 'calls', seq, NULL FROM f JOIN e ON e.claim % 25 = analysis) SELECT finding, part, count(*) AS n, min(place) AS first, max(place) AS last, count(url) AS with_url FROM p GROUP BY ALL""",
+    "trace_export": f"""WITH {EV}, t AS (SELECT claim, k % 4 AS round, 0 AS kind, seq AS place, 'e' || seq AS id, grp, log_evidence FROM e WHERE status <> 'click' UNION ALL SELECT claim, k % 3, 1, seq, 'n' || seq, NULL, NULL FROM e WHERE status = 'click')
+      SELECT claim, row_number() OVER (PARTITION BY claim ORDER BY round, kind, place, id) AS seq, CASE kind WHEN 0 THEN 'admit' ELSE 'calculate' END AS action, id, grp AS "group", log_evidence FROM t""",
     "asof_bm25": f"""WITH {DATED}, d AS (SELECT cutoff, id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM p JOIN c ON day <= cutoff::DATE), stats AS (SELECT cutoff, count(*) AS n, avg(len(t)) AS mean FROM d GROUP BY cutoff),
       q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), tf AS (SELECT cutoff, id, any_value(n) AS length, token, count(*) AS tf FROM (SELECT cutoff, id, len(t) AS n, unnest(t) AS token FROM d) SEMI JOIN q USING (token) GROUP BY cutoff, id, token),
       df AS (SELECT cutoff, token, count(*) AS df FROM tf GROUP BY cutoff, token),
