@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimspark.operators import asof, calibration, traces
+from claimspark.operators import asof, calibration, comparison, traces
+from claimspark.plans.claim_queries import pick
 from claimspark.plans.record_queries import EV, JUDGED, evidence, judged
-from claimspark.plans.text_queries import claims
+from claimspark.plans.text_queries import claims, lines
 from claimspark.session import table
 
 CUTOFFS = ["1996-01-01", "1998-01-01", "2000-01-01", "2002-01-01"]
@@ -69,7 +70,26 @@ def trace_export(spark, d):
     return traces.exported(items, sums)
 
 
-QUERIES = {f.__name__: f for f in (asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
+def compared(spark, d):
+    """Documents as cases: every third line is an arm's output, the next the other arm's, the third a passage. Keys and computed figures are made from lengths."""
+    l = lines(spark, d).select(F.col("doc").alias("case"), F.col("pos") % 3, "text").toDF("case", "part", "text")  # noqa: E741
+    outputs = l.where("part < 2").select("case", pick(["first", "second"], F.col("part")).alias("arm"), "text")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("case"), F.length("text").alias("n"))
+    keys = docs.select("case", F.explode(F.array((F.col("n") % 100).cast("string"), F.concat((F.col("case") % 50).cast("string"), F.lit(".5")), F.concat((F.col("case") % 7).cast("string"), F.lit(".04")))).alias("number"))
+    computed = docs.select("case", pick(["first", "second"], F.col("case") % 2).alias("arm"), F.format_string("0.%02d", (F.col("n") % 100).cast("int")).alias("value"), pick(["ratio", "t"], F.col("case") % 3 % 2).alias("unit"))
+    return keys, outputs, computed, l.where("part = 2").select("case", "text")
+
+
+def key_numbers_reached(spark, d):
+    return comparison.key_numbers(*compared(spark, d))
+
+
+def unverified_numbers(spark, d):
+    keys, outputs, _, passages = compared(spark, d)
+    return comparison.unverified(outputs, passages, keys).withColumn("number", F.col("number").cast("double"))
+
+
+QUERIES = {f.__name__: f for f in (key_numbers_reached, unverified_numbers, asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
 
 DATED = "p AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 17 <> 0 THEN DATE '1995-01-01' + (doc_id * 37 % 3000)::INT END AS day FROM documents), c AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in CUTOFFS) + "]) AS cutoff)"
 #: The greatest over all beginnings of the least over all ends of the mean between them.
@@ -79,8 +99,17 @@ CURVE = f"""{JUDGED}, g AS (SELECT score, sum(y) AS y, count(*) AS n, row_number
 RECORDS = f"""{EV}, f AS (SELECT s_suppkey AS finding, s_suppkey AS claim, s_nationkey AS analysis, s_nationkey + s_suppkey % 2 * 10 AS document, CASE WHEN s_acctbal > 0 THEN 'supported' ELSE 'mixed' END AS status, CASE WHEN s_suppkey % 5 <> 0 THEN 't' || s_suppkey END AS created, s_name FROM supplier),
   d AS (SELECT n_nationkey AS document, CASE WHEN n_nationkey % 4 <> 0 THEN 'http://' || n_name END AS url, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS heading, 'r' || n_regionkey AS retrieved FROM nation),
   q AS (SELECT p_partkey % 40 + 1 AS claim, p_partkey AS question, p_size % 3 AS m, p_partkey % 7 < 3 AS a FROM part)"""
+NEAR = "abs(abs(x.n) - abs(o.n)) <= 0.05"
+COMPARED = r"""l AS (SELECT doc_id AS c, unnest(range(len(a))) % 3 AS part, unnest(a) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)), w AS (SELECT c, part, unnest(regexp_extract_all(text, '\d[\d,]*\.?\d*')) AS t FROM l),
+  n AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT c, part, try_cast(regexp_replace(replace(t, ',', ''), '\.$', '') AS DECIMAL(30, 8)) AS n FROM w) WHERE n IS NOT NULL), k AS (SELECT DISTINCT doc_id AS c, unnest([(length(text) % 100)::DECIMAL(30, 8), (doc_id % 50) + 0.5, (doc_id % 7) + 0.04])::DECIMAL(30, 8) AS n FROM documents WHERE text IS NOT NULL),
+  m AS (SELECT doc_id AS c, doc_id % 2 AS part, unnest(CASE WHEN doc_id % 3 % 2 = 0 THEN [(length(text) % 100) / 100, length(text) % 100] ELSE [(length(text) % 100) / 100] END)::DECIMAL(30, 8) AS n FROM documents WHERE text IS NOT NULL)"""
 
 ORACLES = {
+    "key_numbers_reached": f"""WITH {COMPARED}, a AS (SELECT DISTINCT c, part FROM l WHERE part < 2), x AS (SELECT a.c, a.part, k.n FROM a JOIN k USING (c)),
+      f AS (SELECT x.c, x.part, EXISTS (SELECT 1 FROM m o WHERE o.c = x.c AND o.part = x.part AND {NEAR}) OR (EXISTS (SELECT 1 FROM n o WHERE o.c = x.c AND o.part = x.part AND {NEAR}) AND NOT EXISTS (SELECT 1 FROM n o WHERE o.c = x.c AND o.part = 2 AND {NEAR})) AS found FROM x)
+      SELECT a.c AS "case", CASE a.part WHEN 0 THEN 'first' ELSE 'second' END AS arm, count(found) AS key_numbers, count(*) FILTER (found) AS found FROM a LEFT JOIN f ON f.c = a.c AND f.part = a.part GROUP BY ALL""",
+    "unverified_numbers": f"""WITH {COMPARED}, o AS (SELECT c, n FROM n WHERE part = 2 UNION SELECT c, unnest([n, n / 100])::DECIMAL(30, 8) FROM k)
+      SELECT c AS "case", CASE part WHEN 0 THEN 'first' ELSE 'second' END AS arm, n::DOUBLE AS number FROM n x WHERE part < 2 AND NOT EXISTS (SELECT 1 FROM o WHERE o.c = x.c AND {NEAR})""",
     "finding_heads": f"""WITH {RECORDS}, v AS (SELECT claim, coalesce(sum(m) FILTER (a) / nullif(sum(m), 0), 0) AS coverage, count(*) AS asked FROM q GROUP BY claim), l AS (SELECT l_suppkey AS claim, count(*) AS evidence FROM lineitem GROUP BY 1),
       u AS (SELECT claim % 25 AS analysis, count(*) AS calls, sum(k * 11)::BIGINT AS tokens, sum(k)::BIGINT AS latency, count(*) FILTER (status = 'error') AS errors FROM e GROUP BY 1)
       SELECT finding, claim, analysis, document, status, CASE WHEN claim % 6 <> 0 THEN s_name ELSE '' END AS text, url, coalesce(heading, url, 'Pasted text') AS title, coalesce(created, retrieved) AS created, round(coalesce(coverage, 0), 9) AS coverage,
