@@ -380,6 +380,10 @@ ORACLES = {
     "run_comparison": f"""WITH {EV}, r AS (SELECT claim, CASE status WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS run, max(k) AS k, max(CASE WHEN k % 5 <> 0 THEN k / 100 END) AS score FROM e GROUP BY ALL HAVING max(k) > 20),
       b AS (SELECT r.*, x.k % 2 <> r.k % 2 AS differs FROM r JOIN r x ON x.claim = r.claim AND x.run = 0)
       SELECT claim, bool_or(differs) FILTER (run IN (1, 2)) AS order_changes_status, CASE WHEN count(*) FILTER (run IN (1, 2)) > 0 AND count(score) FILTER (run < 3) > 1 THEN round(max(score) FILTER (run < 3) - min(score) FILTER (run < 3), 6) END AS order_score_range, count(*) FILTER (run > 2 AND differs) AS changed FROM b GROUP BY claim""",
+    "plain_text_passages": r"""WITH b AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS b, unnest(range(len(regexp_split_to_array(text, '\n\s*\n')))) AS n FROM documents),
+      s AS (SELECT doc_id, n, string_split(regexp_replace(trim(regexp_replace(b, '\s+', ' ', 'g')), '([.!?])\s+([A-Z‘“"(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM b),
+      p AS (SELECT doc_id, n, list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) > 800 THEN list_concat(a, x) ELSE list_append(a[:-2], a[-1] || ' ' || x[1]) END) AS p FROM s),
+      u AS (SELECT doc_id, n, unnest(range(len(p))) AS k, unnest(p) AS passage FROM p) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS place, md5(passage) AS digest FROM u WHERE passage <> ''""",
     "claim_to_turn": "WITH a AS (SELECT conv_id, turn AS claim, substring(text, length(text) // 4 + 1, greatest(1, length(text) // 2)) AS piece FROM conversations) SELECT conv_id, claim, min(turn) AS turn FROM a JOIN conversations USING (conv_id) WHERE piece <> '' AND contains(text, piece) GROUP BY ALL",
     "finding_of_claim": r"""WITH t AS (SELECT conv_id AS c, turn AS finding, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q, CASE WHEN turn = 0 THEN trim(regexp_replace(lower(substring(text, length(text) // 2 + 1) || ' and on'), '\s+', ' ', 'g')) END AS w FROM conversations),
       b AS (SELECT c, unnest(range(len(a))) AS i, unnest(a) AS ch, len(a) AS n FROM (SELECT c, string_split(w, '') AS a FROM t WHERE w <> '')), f AS (SELECT c, finding, unnest(range(len(a))) AS j, unnest(a) AS ch FROM (SELECT c, finding, string_split(q, '') AS a FROM t)),

@@ -9,6 +9,7 @@ from claimspark.plans.claim_queries import pick
 from claimspark.plans.record_queries import EV, JUDGED, evidence, judged
 from claimspark.plans.text_queries import claims, lines
 from claimspark.session import table
+from claimspark.sources import documents
 
 CUTOFFS = ["1996-01-01", "1998-01-01", "2000-01-01", "2002-01-01"]
 
@@ -89,7 +90,22 @@ def unverified_numbers(spark, d):
     return comparison.unverified(outputs, passages, keys).withColumn("number", F.col("number").cast("double"))
 
 
-QUERIES = {f.__name__: f for f in (key_numbers_reached, unverified_numbers, asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
+def arrivals(spark, d):
+    """Documents' bytes as arrivals, and those of one language as what is stored of an older and of this parser."""
+    docs = table(spark, d, "documents").where("text is not null").select(
+        F.encode("text", "UTF-8").alias("content"), pick([None, "text/plain", "text/html"], F.col("doc_id") % 3).alias("media_type"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("url"),
+        F.when(F.col("doc_id") % 5 == 0, F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 500).cast("int"))).alias("published"), F.lit(None).cast("date").alias("admissible"), F.col("doc_id").alias("retrieved"), "lang",
+    )
+    held = docs.where("lang = 'fr'").withColumns({"document": documents.document_id(F.col("content")), "sha256": F.sha2("content", 256)})
+    held = held.groupBy("document", "sha256").agg(*[F.min_by(c, "retrieved").alias(c) for c in ("media_type", "url", "published", "admissible")], F.min("retrieved").alias("retrieved"))
+    return docs.drop("lang"), held.withColumn("parser", F.when(F.col("retrieved") % 2 == 0, "old").otherwise(documents.PARSER))
+
+
+def admitted_snapshots(spark, d):
+    return documents.admitted(*arrivals(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (admitted_snapshots, key_numbers_reached, unverified_numbers, asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
 
 DATED = "p AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 17 <> 0 THEN DATE '1995-01-01' + (doc_id * 37 % 3000)::INT END AS day FROM documents), c AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in CUTOFFS) + "]) AS cutoff)"
 #: The greatest over all beginnings of the least over all ends of the mean between them.
@@ -105,6 +121,12 @@ COMPARED = r"""l AS (SELECT doc_id AS c, unnest(range(len(a))) % 3 AS part, unne
   m AS (SELECT doc_id AS c, doc_id % 2 AS part, unnest(CASE WHEN doc_id % 3 % 2 = 0 THEN [(length(text) % 100) / 100, length(text) % 100] ELSE [(length(text) % 100) / 100] END)::DECIMAL(30, 8) AS n FROM documents WHERE text IS NOT NULL)"""
 
 ORACLES = {
+    "admitted_snapshots": f"""WITH a AS (SELECT 'doc-' || sha256(text)[1:16] AS document, sha256(text) AS sha256, [NULL, 'text/plain', 'text/html'][doc_id % 3 + 1] AS media_type, CASE WHEN doc_id % 4 = 0 THEN 'u' || doc_id END AS url,
+        CASE WHEN doc_id % 5 = 0 THEN DATE '2000-01-01' + (doc_id % 500)::INT END AS published, doc_id AS retrieved, lang FROM documents WHERE text IS NOT NULL),
+      s AS (SELECT document, arg_min_null(media_type, retrieved) AS media_type, arg_min_null(url, retrieved) AS url, arg_min_null(published, retrieved) AS published, min(retrieved) AS r FROM a WHERE lang = 'fr' GROUP BY document),
+      n AS (SELECT document, any_value(sha256) AS sha256, arg_min(media_type, retrieved) FILTER (media_type IS NOT NULL) AS media_type, arg_min(url, retrieved) FILTER (url IS NOT NULL) AS url, arg_min(published, retrieved) FILTER (published IS NOT NULL) AS published, max(retrieved) AS retrieved FROM a GROUP BY document)
+      SELECT document, sha256, coalesce(s.media_type, n.media_type) AS media_type, coalesce(s.url, n.url) AS url, coalesce(s.published, n.published) AS published, coalesce(s.published, n.published) AS admissible, retrieved, '{documents.PARSER}' AS parser,
+        s.r IS NOT NULL AND s.r % 2 = 0 AS stale FROM n LEFT JOIN s USING (document)""",
     "key_numbers_reached": f"""WITH {COMPARED}, a AS (SELECT DISTINCT c, part FROM l WHERE part < 2), x AS (SELECT a.c, a.part, k.n FROM a JOIN k USING (c)),
       f AS (SELECT x.c, x.part, EXISTS (SELECT 1 FROM m o WHERE o.c = x.c AND o.part = x.part AND {NEAR}) OR (EXISTS (SELECT 1 FROM n o WHERE o.c = x.c AND o.part = x.part AND {NEAR}) AND NOT EXISTS (SELECT 1 FROM n o WHERE o.c = x.c AND o.part = 2 AND {NEAR})) AS found FROM x)
       SELECT a.c AS "case", CASE a.part WHEN 0 THEN 'first' ELSE 'second' END AS arm, count(found) AS key_numbers, count(*) FILTER (found) AS found FROM a LEFT JOIN f ON f.c = a.c AND f.part = a.part GROUP BY ALL""",

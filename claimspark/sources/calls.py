@@ -32,3 +32,9 @@ def read_calls(spark: SparkSession, root: str, labels: str | None = None) -> Dat
     named = lines_of(spark, f"{labels}/*/text.csv").where("idx > 0").select("call", (F.col("idx") - 1).alias("idx"), F.nullif(F.trim(F.element_at(F.split("line", ","), 1)), F.lit("")).alias("speaker"))
     fits = text.groupBy("call").count().join(named.groupBy("call").agg(F.count(F.lit(1)).alias("labels")), "call").where("count = labels").select("call")
     return out.join(named.join(fits, "call", "left_semi"), ["call", "idx"], "left").select("call", "idx", "text", "speaker", "features")
+
+
+def listing(spark, root: str):
+    """call: the folders under root that hold a transcript (text.txt), in order of their names. Only names are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "text.txt").load(root)
+    return found.select(F.regexp_extract("path", r"([^/]+)/text\.txt$", 1).alias("call")).distinct().orderBy("call")
