@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import ID, TEXT, map_rows, narrow, struct_of
+from claimspark.llm.common import ID, REMEMBERED, TEXT, map_rows, narrow, struct_of
 
 #: The pre-tokenizer's pattern and the code points with the property White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,6 +93,10 @@ class Tokenizer:
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        REMEMBERED.append(self.forget)
+
+    def forget(self) -> None:
+        self.seen, self.older = {}, {}
 
     def merge_equal(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of fragments of one length, all at once: each round joins in every fragment
@@ -250,6 +254,7 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
             ids = tok.encode_many(texts)
             return [pa.array(ids, pa.binary()), pa.array([tok.decode(i) for i in ids], pa.string())]
 
+        run.forget = tok.forget
         return run
 
     df = narrow(docs, id_col, text_col)

@@ -45,29 +45,37 @@ class ByteHashes(dict):
     """64-bit hashes of words; few enough are remembered at a time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
 
 
 HASHES = ByteHashes()
+#: Functions that clear what an operator remembers in a worker from task to task.
+REMEMBERED: list[Callable[[], None]] = []
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]]], schema: T.StructType, text_col: str = TEXT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One output row for each input row, by Arrow batches.
+    """One output row for each input row, by Arrow batches of few rows (see small_batches).
 
     `make` is called once in each task and returns a function from a list of texts (None for
-    null) to the new columns. The `keep` columns of df are passed through unchanged. `schema` has the
+    null) to the new columns; what other operators remember in the worker goes first, all
+    but what the function's attribute `forget` would clear. The `keep` columns of df are passed through unchanged. `schema` has the
     kept columns first, then the new ones.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     df = df.select(*keep) if text_col in keep else df.select(*keep, text_col)  # a kept text goes through once
     out = to_arrow_schema(schema)
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
+        HASHES.clear()
+        for forget in REMEMBERED:  # a worker that is used again holds nothing of an earlier operator
+            if forget != getattr(fn, "forget", None):
+                forget()
         for batch in batches:
             for part in slices(batch, text_col):
                 cols = fn(part.column(part.schema.get_field_index(text_col)).to_pylist())
@@ -79,6 +87,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]
     return df.mapInArrow(run, schema)
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the rows of the session's Arrow batches to BATCH_ROWS, so that neither side of a Python task holds more than a few MB of texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, text_col: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a few rows and about `size` bytes of text each (one row at least), so that a worker holds little
     decoded text at a time."""

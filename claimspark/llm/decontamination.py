@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import HASHES, ID, TEXT, map_rows, narrow, place, plain_names, restored, slices, struct_of
+from claimspark.llm.common import HASHES, ID, TEXT, map_rows, narrow, place, plain_names, restored, slices, small_batches, struct_of
 from claimspark.session import table
 
 WINDOW = 13
@@ -271,6 +271,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     blocks = (benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0) // BLOCK_BYTES + 1
     new = [T.StructField("n_words", T.IntegerType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
     mine, text = plain_names(docs), place(docs, text_col)
+    small_batches(docs)
     df = mine.withColumns({"n_words": F.lit(0), "hit_spans": F.array().cast(SPANS), "hit_items": F.array().cast("array<string>")})
     for block in range(blocks):
         part = hashes.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else hashes
