@@ -56,6 +56,14 @@ HASHES = ByteHashes()
 REMEMBERED: list[Callable[[], None]] = []
 
 
+def forget_others(own: Callable[[], None] | None) -> None:
+    """A worker that is used again holds nothing of an earlier operator. A function of the module, so that it acts on the worker's own."""
+    HASHES.clear()
+    for forget in REMEMBERED:
+        if forget != own:
+            forget()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]]], schema: T.StructType, text_col: str = TEXT, keep: tuple[str, ...] = ()) -> DataFrame:
     """One output row for each input row, by Arrow batches of few rows (see small_batches).
 
@@ -72,10 +80,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, dict], list[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        HASHES.clear()
-        for forget in REMEMBERED:  # a worker that is used again holds nothing of an earlier operator
-            if forget != getattr(fn, "forget", None):
-                forget()
+        forget_others(getattr(fn, "forget", None))
         for batch in batches:
             for part in slices(batch, text_col):
                 cols = fn(part.column(part.schema.get_field_index(text_col)).to_pylist())
