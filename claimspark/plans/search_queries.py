@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimspark.operators import asof, calibration, comparison, traces
-from claimspark.plans.claim_queries import pick
+from claimspark.operators import asof, calibration, comparison, gates, traces
+from claimspark.plans.claim_queries import as_items, pick
 from claimspark.plans.record_queries import EV, JUDGED, evidence, judged
 from claimspark.plans.text_queries import claims, lines
 from claimspark.session import table
@@ -105,7 +105,32 @@ def admitted_snapshots(spark, d):
     return documents.admitted(*arrivals(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (admitted_snapshots, key_numbers_reached, unverified_numbers, asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
+def paired_references(spark, d):
+    """Orders as paired references of both modes, in every state of review."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    r = o.select(
+        k.alias("example"), pick(["retrospective", "independent", "retrospective"], k % 3).alias("mode"), pick(["adjudicated", "draft"], F.col("o_custkey") % 2).alias("review"), F.when(k % 5 != 0, "retrospective").otherwise("independent").alias("reviewed_mode"),
+        pick([*gates.MATERIAL, "maybe"], F.col("o_custkey") % 4).alias("reviewed_material"), pick([*gates.EVIDENCE], k % 5).alias("reviewed_evidence"), pick([*gates.MATERIAL], k % 2).alias("draft_material"), pick([*gates.EVIDENCE], F.col("o_custkey") % 5).alias("draft_evidence"),
+        F.lit("ready").alias("ready"), (k % 4).alias("allowed_evidence"), (k % 7 != 0).alias("full_original"), F.col("o_orderdate").alias("cutoff"),
+    )
+    each = [gates.reference_targets(r, mode, allow).withColumn("run", F.lit(f"{mode} {allow}".lower())) for mode, allow in ((gates.RETROSPECTIVE, True), (gates.INDEPENDENT, False))]
+    return each[0].unionByName(each[1]).groupBy("run", "problem", "material", "evidence", "draft").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("first"))
+
+
+def oracle_inputs(spark, d):
+    """Orders as questions, their returned lines as the annotated evidence."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("example"))
+    pieces = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("example"), F.col("l_linenumber").alias("place"), F.col("l_linestatus").alias("text"), F.col("l_suppkey").alias("document"), F.col("l_partkey").alias("page"))
+    out = gates.oracle_inputs(o, pieces)
+    return out.select("example", "evidence_setting", F.array_join(F.transform("oracle_evidence", lambda p: F.concat_ws(":", p["text"], p["document"].cast("string"), p["page"].cast("string"))), "|").alias("evidence"))
+
+
+def withdrawals_recompute(spark, d):
+    """The first item of each claim's every tenth observation is withdrawn."""
+    return gates.withdrawal_recomputes(as_items(evidence(spark, d)).where("repeats is null"), F.col("id") % 10 == 3)
+
+
+QUERIES = {f.__name__: f for f in (paired_references, oracle_inputs, withdrawals_recompute, admitted_snapshots, key_numbers_reached, unverified_numbers, asof_bm25, later_documents, calibrated_curve, calibrated_scores, finding_heads, finding_parts, trace_export)}
 
 DATED = "p AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 17 <> 0 THEN DATE '1995-01-01' + (doc_id * 37 % 3000)::INT END AS day FROM documents), c AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in CUTOFFS) + "]) AS cutoff)"
 #: The greatest over all beginnings of the least over all ends of the mean between them.
@@ -121,6 +146,17 @@ COMPARED = r"""l AS (SELECT doc_id AS c, unnest(range(len(a))) % 3 AS part, unne
   m AS (SELECT doc_id AS c, doc_id % 2 AS part, unnest(CASE WHEN doc_id % 3 % 2 = 0 THEN [(length(text) % 100) / 100, length(text) % 100] ELSE [(length(text) % 100) / 100] END)::DECIMAL(30, 8) AS n FROM documents WHERE text IS NOT NULL)"""
 
 ORACLES = {
+    "paired_references": """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, ['retrospective', 'independent', 'retrospective'][o_orderkey % 3 + 1] AS mode, o_custkey % 2 = 0 AS adjudicated, CASE WHEN o_orderkey % 5 <> 0 THEN 'retrospective' ELSE 'independent' END AS rmode,
+        ['present', 'absent', 'undetermined', 'maybe'][o_custkey % 4 + 1] AS rm, ['supported', 'contradicted', 'mixed', 'insufficient', 'not_yet_resolvable'][o_orderkey % 5 + 1] AS re, ['present', 'absent'][o_orderkey % 2 + 1] AS dm, ['supported', 'contradicted', 'mixed', 'insufficient', 'not_yet_resolvable'][o_custkey % 5 + 1] AS de FROM orders),
+      t AS (SELECT 'retrospective true' AS run, k, CASE WHEN mode <> 'retrospective' THEN 'mode' WHEN adjudicated AND rmode <> 'retrospective' THEN 'adjudicated_for_other_mode' WHEN adjudicated AND rm = 'maybe' THEN 'labels' END AS problem, CASE WHEN adjudicated THEN rm ELSE dm END AS m, CASE WHEN adjudicated THEN re ELSE de END AS e, NOT adjudicated AS draft FROM r
+        UNION ALL SELECT 'independent false', k, CASE WHEN mode <> 'independent' THEN 'mode' WHEN k % 4 = 0 OR k % 7 = 0 THEN 'incomplete' WHEN adjudicated AND rmode <> 'independent' THEN 'adjudicated_for_other_mode' WHEN NOT adjudicated THEN 'unreviewed' WHEN rm = 'maybe' THEN 'labels' END, rm, re, FALSE FROM r)
+      SELECT run, problem, CASE WHEN problem IS NULL THEN m END AS material, CASE WHEN problem IS NULL THEN e END AS evidence, CASE WHEN problem IS NULL THEN draft END AS draft, count(*) AS n, min(k) AS first FROM t GROUP BY ALL""",
+    "oracle_inputs": """SELECT o_orderkey AS example, 'ORACLE_ANNOTATED_EVIDENCE_NOT_RETRIEVAL' AS evidence_setting, coalesce(string_agg(l_linestatus || ':' || l_suppkey || ':' || l_partkey, '|' ORDER BY l_linenumber, l_linestatus, l_suppkey, l_partkey) FILTER (l_returnflag = 'R'), '') AS evidence
+      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    "withdrawals_recompute": f"""WITH {EV}, i AS (SELECT claim, seq, k, status = 'purchase' AS c, k % 11 * 10 + k % 3 AS w FROM e WHERE NOT (status = 'click' AND k >= 10)), a AS (SELECT claim, k, c, min(seq) AS seq, any_value(w) AS w FROM i GROUP BY claim, k, c),
+      b AS (SELECT claim, w, count(*) AS n FROM a GROUP BY ALL), x AS (SELECT claim, k, c, min(seq) AS seq, any_value(w) AS w FROM i WHERE seq % 10 <> 3 GROUP BY claim, k, c), y AS (SELECT claim, w, count(*) AS n FROM x GROUP BY ALL)
+      SELECT claim, EXISTS (SELECT 1 FROM b WHERE b.claim = h.claim AND NOT EXISTS (SELECT 1 FROM y WHERE y.claim = b.claim AND y.w = b.w AND y.n = b.n)) OR EXISTS (SELECT 1 FROM y WHERE y.claim = h.claim AND NOT EXISTS (SELECT 1 FROM b WHERE b.claim = y.claim AND y.w = b.w AND y.n = b.n)) AS holds
+      FROM (SELECT DISTINCT claim FROM i WHERE seq % 10 = 3) h""",
     "admitted_snapshots": f"""WITH a AS (SELECT 'doc-' || sha256(text)[1:16] AS document, sha256(text) AS sha256, [NULL, 'text/plain', 'text/html'][doc_id % 3 + 1] AS media_type, CASE WHEN doc_id % 4 = 0 THEN 'u' || doc_id END AS url,
         CASE WHEN doc_id % 5 = 0 THEN DATE '2000-01-01' + (doc_id % 500)::INT END AS published, doc_id AS retrieved, lang FROM documents WHERE text IS NOT NULL),
       s AS (SELECT document, arg_min_null(media_type, retrieved) AS media_type, arg_min_null(url, retrieved) AS url, arg_min_null(published, retrieved) AS published, min(retrieved) AS r FROM a WHERE lang = 'fr' GROUP BY document),

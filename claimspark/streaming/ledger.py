@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimspark.operators.replay import STEPS
@@ -50,6 +51,7 @@ def live_ledger(events: DataFrame, prior: float = 0.5, late: str | None = None)
     late ones take their place and the rows are those of replay() whatever the order of arrival; what is later still is dropped. A claim's waiting
     events are bounded by `late`.
     """
+    steps = T.StructType([events.schema["claim"], *STEPS.fields[1:]])  # claims of any type
     if late:
         events = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["claim", "seq"])
 
@@ -74,10 +76,10 @@ def live_ledger(events: DataFrame, prior: float = 0.5, late: str | None = None)
         if waiting:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, min(w[0] for w in waiting)))
         if out:
-            yield pd.DataFrame(out, columns=STEPS.names)
+            yield pd.DataFrame(out, columns=steps.names)
 
     timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
-    return events.groupBy("claim").applyInPandasWithState(fold, STEPS, "state string", "append", timeout)
+    return events.groupBy("claim").applyInPandasWithState(fold, steps, "state string", "append", timeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:

@@ -35,3 +35,10 @@ def test_late_and_repeated_events(spark, tmp_path):
         query.stop()
     got = sorted(near(x) for x in out if x[0] != 99)
     assert got == want
+
+
+def test_claims_may_be_text(spark, tmp_path):
+    kind = TYPE.replace("claim long", "claim string")
+    spark.createDataFrame([("c-1", 1, datetime(2024, 1, 1), "admit", "g", 0.5)], kind).write.parquet(str(tmp_path / "in"))
+    rows = live.drained(live.live_ledger(spark.readStream.schema(kind).parquet(str(tmp_path / "in"))), "text-claims", "append").collect()
+    assert [(r["claim"], r["active"]) for r in rows] == [("c-1", 1)]
