@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from claimspark.functions import text as X
 from claimspark.functions.wording import plain_text
 from claimspark.operators.scoring import MISSING, class_metrics, ratio
+from claimspark.operators.sizes import broadcast_if_small
 from claimspark.operators.substring import longest_run
 
 #: How near an answer must be, how near a key number, units whose number is a share of 1, the share of a claim that a quote must cover.
@@ -158,7 +159,7 @@ def run_summary(rows: DataFrame) -> DataFrame:
 
 def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """arm, cost of (arm, model, tokens_in, tokens_cached, tokens_out) at (model, price_in, price_cached, price_out) a million; null, which is unknown, where a model that was used has no price."""
-    priced = usage.join(F.broadcast(prices), "model", "left")  # a price list has a row for each model
+    priced = usage.join(broadcast_if_small(prices), "model", "left")
     paid = (F.col("tokens_in") - F.col("tokens_cached")) * F.col("price_in") + F.col("tokens_cached") * F.col("price_cached") + F.col("tokens_out") * F.col("price_out")
     return priced.groupBy("arm").agg(F.when(F.count("price_in") == F.count(F.lit(1)), F.sum(paid) / 1e6).alias("cost"))
 

@@ -118,7 +118,7 @@ def upsert_outcomes(spark, d):
 
 
 def unit_versions(spark, d):
-    """Units of groups that a claim's adjoining events name together, and the sum of their versions."""
+    """Units of groups that a claim's adjoining purchases name together, and the sum of their versions; purchases stand for calculations, as in scoring_units."""
     from pyspark.sql import Window as W
 
     name = F.concat_ws("/", "claim", "group")

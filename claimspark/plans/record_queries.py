@@ -141,7 +141,7 @@ def latest_versions(spark, d):
 
 
 def assessment_history(spark, d):
-    s = evidence(spark, d).where("status = 'purchase'").select("claim", F.col("seq").alias("place"), (F.col("log_evidence") / 8).alias("log_evidence"))
+    s = evidence(spark, d).select("claim", F.col("seq").alias("place"), (F.col("log_evidence") / 8).alias("log_evidence"))
     return ledger.history(s, 0.5).select("claim", "place", *[F.round(c, 6).alias(c) for c in ("value", "before", "change")])
 
 
@@ -338,7 +338,7 @@ ORACLES = {
       SELECT unit, count(*) AS members, sha256(string_agg(n, '+' ORDER BY n)) AS key FROM l GROUP BY unit""",
     "accumulate_log_odds": f"WITH {LATEST}, a AS (SELECT claim, count(*) AS units, CASE WHEN count(*) = count(*) FILTER (abs(log_evidence) <= 5) THEN ln(0.2) - ln(0.8) + sum(log_evidence) END AS o FROM l GROUP BY claim) SELECT claim, units, round(o, 6) AS log_odds, round(1 / (1 + exp(-o)), 6) AS probability FROM a",
     "latest_versions": f'WITH {LATEST} SELECT claim, grp AS "group", seq, log_evidence FROM l',
-    "assessment_history": f"""WITH {EV}, v AS (SELECT claim, seq AS place, 1 / (1 + exp(-sum(log_evidence / 8) OVER (PARTITION BY claim ORDER BY seq))) AS value FROM e WHERE status = 'purchase'),
+    "assessment_history": f"""WITH {EV}, v AS (SELECT claim, seq AS place, 1 / (1 + exp(-sum(log_evidence / 8) OVER (PARTITION BY claim ORDER BY seq))) AS value FROM e),
       b AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY claim ORDER BY place), 0.5) AS before FROM v) SELECT claim, place, round(value, 6) AS value, round(before, 6) AS before, round(value - before, 6) AS change FROM b""",
     "verdict_gate": f"""WITH {EV}, g AS (SELECT claim, CASE WHEN claim % 2 = 0 THEN 'supported' ELSE 'contradicted' END AS proposed, bool_or(status = 'view' AND k > 60 AND amount > 30) AS s, bool_or(status = 'click' AND k > 60 AND amount > 30) AS c FROM e GROUP BY claim)
       SELECT claim, proposed, CASE WHEN (proposed = 'supported' AND NOT s) OR (proposed = 'contradicted' AND NOT c) THEN 'insufficient' ELSE proposed END AS status FROM g""",
