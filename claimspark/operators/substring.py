@@ -1,13 +1,15 @@
 """Texts that hold other texts: a join by rare pieces, and the longest run of characters that two texts share.
 
-A claim can only be in a span that has all of its pieces of Q characters, so it's looked for where its rarest piece is: spans hand on only pieces that some claim has,
+Documents of usual sizes are each searched in one task. In larger ones a claim can only be in a span that has all of its pieces of Q characters, so it's looked for where its rarest piece is: spans hand on only pieces that some claim has,
 and a claim meets the few spans of its document that have the piece which is in fewest of them. Nothing is paired by document alone. Lengths of texts cost
 no more than in proportion.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimspark.operators.sizes import broadcast_if_small
 from claimspark.session import materialize
 
 #: Characters of a piece; a shorter text is one piece.
 Q = 8
 #: Up to so many of the claims' pieces (8 bytes each) are handed to every task; more are joined by a shuffle.
 HANDED = 2_000_000
+#: A document of up to so many characters in its spans and claims is read by one task, if claims times characters of spans is no more than SEARCHED.
+TOGETHER, SEARCHED = 4_000_000, 1e10
+#: Stands between spans: no text that is valid UTF-8 has it.
+BETWEEN = "\ud800"
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -62,11 +69,8 @@ def with_pieces(rows: DataFrame, keep: list[str], sizes: list[int], known: np.nd
     return rows.select(*keep, "text", *([] if sizes else ["q"])).mapInArrow(run, schema)
 
 
-def first_holder(claims: DataFrame, spans: DataFrame) -> DataFrame:
-    """claim, pos of claims (claim, doc, text): the first span (doc, pos, text) of its document that holds the claim's text as it is; null if none does.
-
-    An empty or null text is held by none, and so is a claim of a null document. Claims of equal text in a document are looked for once.
-    """
+def by_rare_pieces(claims: DataFrame, spans: DataFrame) -> DataFrame:
+    """claim, pos as in first_holder, by the pieces: for documents of any size."""
     asked = claims.where("text <> '' and doc is not null").select("doc", F.md5("text").alias("said"), "text", F.least(F.char_length("text"), F.lit(Q)).alias("q"))
     asked = materialize(asked.distinct(), "substring-asked")
     own = materialize(with_pieces(asked, ["doc", "said"], [], None), "substring-pieces")
@@ -87,6 +91,61 @@ def first_holder(claims: DataFrame, spans: DataFrame) -> DataFrame:
     return claims.select("claim", "doc", "text").join(found, (F.col("doc") == F.col("__doc")) & (F.col("text") == F.col("__wanted")), "left").select("claim", "pos")
 
 
+def by_document(claims: DataFrame, spans: DataFrame) -> DataFrame:
+    """claim, pos as in first_holder: each document's spans and claims are read by one task, spans first, so a text is shuffled once and no piece of it is.
+
+    A task looks for a claim in the document's spans as one text, in which a lone surrogate, which no text has, stands between spans.
+    """
+    side = lambda df, claim, pos, kind: df.select("doc", F.lit(kind).alias("kind"), pos.alias("pos"), claim.alias("claim"), "text")
+    held = side(spans.where("text <> '' and pos is not null"), F.lit(None).cast(claims.schema["claim"].dataType), F.col("pos"), 0)
+    rows = held.unionByName(side(claims, F.col("claim"), F.lit(None).cast(spans.schema["pos"].dataType), 1))
+    schema = T.StructType([T.StructField("claim", claims.schema["claim"].dataType), T.StructField("pos", spans.schema["pos"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, texts, places, found = None, [], [], {}
+        whole, starts = None, []
+        for batch in batches:
+            asked, where = [], []
+            for i, (d, kind, pos, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc", "kind", "pos", "text")))):
+                if d != doc:
+                    doc, texts, places, found, whole = d, [], [], {}, None
+                if kind == 0:
+                    texts.append(text)
+                    places.append(pos)
+                    continue
+                if whole is None:
+                    whole = BETWEEN.join(texts)
+                    starts = list(accumulate((len(t) + 1 for t in texts), initial=0))
+                if text and text not in found:
+                    at = whole.find(text)
+                    found[text] = places[bisect_right(starts, at) - 1] if at >= 0 else None
+                asked.append(i)
+                where.append(found[text] if text else None)
+            if asked:
+                yield pa.RecordBatch.from_arrays([batch["claim"].take(pa.array(asked)), pa.array(where, batch["pos"].type)], names=schema.names)
+
+    return rows.repartition("doc").sortWithinPartitions("doc", "kind", "pos").mapInArrow(run, schema)
+
+
+def first_holder(claims: DataFrame, spans: DataFrame) -> DataFrame:
+    """claim, pos of claims (claim, doc, text): the first span (doc, pos, text) of its document that holds the claim's text as it is; null if none does.
+
+    An empty or null text is held by none, and so is a claim of a null document. Claims of equal text in a document are looked for once. Documents of up to
+    TOGETHER characters and SEARCHED characters to search are each read by one task, all others are joined by rare pieces.
+    """
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    some = claims.where("doc is not null").select("doc", n.alias("n"), F.lit(1).alias("asked")).unionByName(spans.where("doc is not null").select("doc", n.alias("n"), F.lit(0).alias("asked")))
+    chars, asked, searched = F.sum("n"), F.sum("asked"), F.sum(F.when(F.col("asked") == 0, F.col("n")).otherwise(0)).cast("double")
+    large = materialize(some.groupBy("doc").agg(chars.alias("chars"), (searched * asked).alias("searched")).where((F.col("chars") > TOGETHER) | (F.col("searched") > SEARCHED)).select("doc"), "substring-large")
+    none = claims.where("doc is null").select("claim", F.lit(None).cast(spans.schema["pos"].dataType).alias("pos"))
+    claims, spans = claims.where("doc is not null"), spans.where("doc is not null")
+    if large.isEmpty():
+        return by_document(claims, spans).unionByName(none)
+    large = broadcast_if_small(large)
+    part = lambda df, how: df.join(large, "doc", how)
+    return by_document(part(claims, "left_anti"), part(spans, "left_anti")).unionByName(by_rare_pieces(part(claims, "left_semi"), part(spans, "left_semi"))).unionByName(none)
+
+
 #: Two primes below 2 ** 31 and a base for each: a run's hash is the pair.
 PRIMES, BASES = (2_147_483_629, 2_147_483_587), (1_103_515_245, 1_597_334_677)
 

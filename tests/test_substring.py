@@ -32,6 +32,26 @@ def test_first_holder_is_that_of_all_pairs(spark, monkeypatch, handed):
     assert sorted(map(str, map(tuple, found))) == sorted(str((i, first(d, t))) for i, d, t in claims)
 
 
+@pytest.mark.parametrize(("together", "searched"), [(0, 1e10), (10**6, 250_000), (10**6, 1e10)])
+def test_small_and_large_documents_have_the_same_rows(spark, monkeypatch, together, searched):
+    """All documents by pieces, some of them, and none."""
+    monkeypatch.setattr(substring, "TOGETHER", together)
+    monkeypatch.setattr(substring, "SEARCHED", searched)
+    held, claims = rows(3)
+    held += [("big", p, f"{p} a line of many") for p in range(600)] + [("d0", None, "only here, of no place"), (None, 3, "x")]
+    claims += [(1000 + p, "big", f"{p} a line") for p in range(600)] + [(2000, "d1", ""), (2001, None, "x"), (2002, "d1", None), (2003, "d2", "\n")]
+    found = substring.first_holder(spark.createDataFrame(claims, "claim long, doc string, text string"), spark.createDataFrame(held, "doc string, pos long, text string").repartition(3)).collect()
+    first = lambda d, t: min((p for e, p, s in held if e == d is not None and s and t and t in s and p is not None), default=None)
+    assert sorted(map(str, map(tuple, found))) == sorted(str((i, first(d, t))) for i, d, t in claims)
+
+
+def test_no_pieces_of_small_documents(spark, monkeypatch):
+    """Pieces of every character of every text were written and shuffled."""
+    monkeypatch.setattr(substring, "with_pieces", None)
+    claims, spans = spark.createDataFrame([(1, 7, "so")], "claim long, doc long, text string"), spark.createDataFrame([(7, 2, "and so"), (7, 1, "so on"), (8, 0, "so")], "doc long, pos long, text string")
+    assert [tuple(r) for r in substring.first_holder(claims, spans).collect()] == [(1, 1)]
+
+
 def test_pairs_are_those_of_rare_pieces(spark):
     """A document of many lines that begin alike: a claim meets one line, not all."""
     spans = spark.range(20_000).select(F.lit(1).alias("doc"), F.col("id").alias("pos"), F.concat(F.lit("the company says that number "), F.col("id").cast("string"), F.lit(" is right")).alias("text"))
