@@ -15,17 +15,19 @@ from claimspark.session import scratch_root
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Ids in one entry of a list that is kept as state.
 CHUNK = 128
+#: Items up to which a claim's state is one entry: it is read and written at once, and all of it is worked out anew.
+SMALL = 512
 
 
 class Entries:
     """A map kept as state, of which an arrival reads and writes each entry once."""
 
     def __init__(self, state):
-        self.state, self.held, self.changed = state, {}, set()
+        self.state, self.held, self.changed, self.empty = state, {}, set(), False
 
     def getValue(self, key: tuple) -> tuple | None:  # noqa: N802  as the state's own
         if key not in self.held:
-            self.held[key] = self.state.getValue(key)
+            self.held[key] = None if self.empty else self.state.getValue(key)
         return self.held[key]
 
     def updateValue(self, key: tuple, value: tuple | None) -> None:  # noqa: N802
@@ -36,9 +38,9 @@ class Entries:
         for key in self.changed:
             if self.held[key] is not None:
                 self.state.updateValue(key, self.held[key])
-            elif self.state.containsKey(key):
+            elif not self.empty and self.state.containsKey(key):
                 self.state.removeKey(key)
-        self.held, self.changed = {}, set()
+        self.held, self.changed, self.empty = {}, set(), False
 
 
 class Lists:
@@ -107,8 +109,27 @@ def regrouped(items: list[Item], originals: dict) -> dict:
     return out
 
 
+def admitted(items: list[Item]) -> list[Item]:
+    """The least id for each span and target."""
+    held: dict = {}
+    for i in items:
+        if (i.span, i.target) not in held or i.id < held[i.span, i.target].id:
+            held[i.span, i.target] = i
+    return list(held.values())
+
+
+def originals_of(items: list[Item]) -> dict:
+    """{span: the id that a repetition of it goes to}: the least of those about the claim, else of all."""
+    found: dict = {}
+    for i in items:
+        at = (i.target != "claim", i.id)
+        if i.span not in found or at < found[i.span]:
+            found[i.span] = at
+    return {span: id_ for span, (_, id_) in found.items()}
+
+
 class Reconciler(StatefulProcessor):
-    """One claim's items. What an arrival doesn't touch is neither read nor written."""
+    """One claim's items. While they are SMALL in number they are one entry; from then on, what an arrival doesn't touch is neither read nor written."""
 
     def __init__(self, id_type: T.DataType, out: T.StructType, ttl: int | None):
         self.id_type, self.out, self.ttl = id_type, out, ttl
@@ -120,7 +141,9 @@ class Reconciler(StatefulProcessor):
         self.words = Entries(handle.getMapState("words", text("wording"), text("label"), self.ttl))
         self.names = Entries(handle.getMapState("names", text("label"), text("name", "origin"), self.ttl))
         self.lists = Lists(handle, self.id_type, self.ttl)
-        self.revision = handle.getValueState("revision", T.StructType([T.StructField("n", T.LongType())]), self.ttl)
+        # What the claim's items are, by columns, while they are few; a row without items where they have entries of their own.
+        few = [T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(self.id_type)), *[T.StructField(f, T.ArrayType(T.StringType())) for f in Item.FIELDS]]
+        self.few = handle.getValueState("few", T.StructType(few), self.ttl)
 
     def item(self, id_) -> Item | None:
         found = self.items.getValue((id_,))
@@ -132,16 +155,58 @@ class Reconciler(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N803
         import pandas as pd
 
+        arrived = [Item(r.id, r.span, r.target, r.wording, r.repeats if isinstance(r.repeats, str) else None, None, None, None) for r in pd.concat(list(rows)).sort_values("id").itertuples()]
+        held = self.few.get()
+        n, ids, *columns = held or (0, [])
+        old = [Item(*x) for x in zip(ids, *columns)] if ids else []
+        if self.ttl is None and (held is None or ids):
+            changed, own = self.anew(old, arrived)
+        else:
+            changed, own = self.one_by_one(arrived), None
+        if changed:
+            stored = own if own is not None and len(own) <= SMALL else []
+            self.few.update((n + 1, [i.id for i in stored], *([getattr(i, f) for i in stored] for f in Item.FIELDS)))
+            if own is not None and not stored:
+                self.spread(own)
+            yield pd.DataFrame([(key[0], i, group, origin, n + 1) for i, (group, origin) in changed.items()], columns=self.out.names)
+
+    def anew(self, old: list[Item], arrived: list[Item]) -> tuple[dict, list[Item]]:
+        """What changes by the arrivals, and all items of the claim with what they are now."""
+        own = admitted([*old, *arrived])
+        made = regrouped(own, originals_of(own))
+        left = {i.id for i in own}
+        changed = {i.id: (None, "replaced") for i in old if i.id not in left}
+        for i in own:
+            label, group, origin = made[i.id]
+            if (group, origin) != (i.group, i.origin):
+                changed[i.id] = (group, origin)
+            i.label, i.group, i.origin = label, group, origin
+        return changed, own
+
+    def spread(self, own: list[Item]) -> None:
+        """Gives the items entries of their own, of which there are none yet."""
+        states = (self.items, self.words, self.names, self.lists.entries, self.lists.sizes)
+        for state in states:
+            state.empty = True
+        alone = {i.label for i in own if i.origin == "independent"}
+        members: dict = {}
+        for i in sorted(own, key=lambda i: i.id):
+            self.keep(i)
+            self.words.updateValue((i.wording,), (i.label,))
+            self.names.updateValue((i.label,), (i.group, "independent" if i.label in alone else "repetition"))
+            members.setdefault(i.label, []).append(i.id)
+        for label, ids in members.items():
+            self.lists.replace("member", label, ids)
+        for state in states:
+            state.flush()
+
+    def one_by_one(self, arrived: list[Item]) -> dict:
         changed: dict = {}
-        arrived = pd.concat(list(rows))
-        for r in arrived.sort_values("id").itertuples():
-            self.admit(Item(r.id, r.span, r.target, r.wording, r.repeats if isinstance(r.repeats, str) else None, None, None, None), changed)
+        for x in arrived:
+            self.admit(x, changed)
         for state in (self.items, self.words, self.names, self.lists.entries, self.lists.sizes):
             state.flush()
-        if changed:
-            n = self.revision.get()[0] + 1 if self.revision.exists() else 1
-            self.revision.update((n,))
-            yield pd.DataFrame([(key[0], i, group, origin, n) for i, (group, origin) in changed.items()], columns=self.out.names)
+        return changed
 
     def admit(self, x: Item, changed: dict) -> None:
         held = self.on_span(x.span)
@@ -209,8 +274,8 @@ def live_groups(items: DataFrame, ttl: int | None = None) -> DataFrame:
     """The rows of reconcile.groups() from a stream of (claim, id, span, target, quote, repeats), as they change.
 
     Each row (claim, id, group, origin, revision) is what an item's group is from then on; `latest` keeps the last of each. Items may come in any order and more than once: a late
-    original takes its earlier repetitions along, and a lesser id for a span and target replaces the greater one, whose group is then null. State is a store of
-    single entries, so an item that joins a large group costs a few of them. With `ttl`, milliseconds after which an entry that isn't
+    original takes its earlier repetitions along, and a lesser id for a span and target replaces the greater one, whose group is then null. A claim of up to
+    SMALL items is one entry of the state; a larger one has single entries, so an item that joins a large group costs a few of them. With `ttl`, milliseconds after which an entry that isn't
     written again is forgotten, state is bounded; what comes later than that is reconciled with what is left.
     """
     spark = items.sparkSession
