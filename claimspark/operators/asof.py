@@ -7,6 +7,7 @@ to each cutoff; a document is then scored once for each cutoff from its segment
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,24 +74,21 @@ def in_tasks(sized: DataFrame, index: matching.Asked, idf: dict[str, np.ndarray]
     schema = T.StructType([T.StructField("query", query_type), T.StructField("at", T.IntegerType()), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
 
     def use(part, index):
-        import pandas as pd
-
-        scores = np.zeros((len(mean), len(part), len(index.ids)))
-        for row, tokens in enumerate(part["tokens"]):
+        scores, since = np.zeros((len(mean), part.num_rows, len(index.ids))), part["s"].to_pylist()
+        for row, tokens in enumerate(matching.listed(part["tokens"])):
             found, tf = np.unique([t for t in tokens if t in index.postings], return_counts=True)
             if not len(found):
                 continue
             hits = [index.postings[t] for t in found]
             to, many = np.concatenate(hits), [len(h) for h in hits]
             weight = np.stack([idf[t] for t in found])
-            for at in range(int(part["s"].iloc[row]), len(mean)):
+            for at in range(since[row], len(mean)):
                 own = tf / (tf + k1 * (1 - b + b * len(tokens) / mean[at])) * (k1 + 1) * weight[:, at]
                 scores[at, row] = np.bincount(to, np.repeat(own, many), minlength=len(index.ids))
         scores = np.round(scores, 6)
-        out = []
-        for at in range(len(mean)):
-            rows, of = matching.leading(scores[at], part["id"].to_numpy(), k)
-            out.append(pd.DataFrame({"query": index.ids[of], "at": np.full(len(of), at, np.int32), "id": part["id"].to_numpy()[rows], "score": scores[at][rows, of]}))
-        return pd.concat(out)
+        best = [matching.leading(scores[at], part["id"], k) for at in range(len(mean))]
+        rows, of = (np.concatenate([b[i] for b in best]) for i in (0, 1))
+        at = np.repeat(np.arange(len(mean), dtype=np.int32), [len(b[0]) for b in best])
+        return index.ids[of], at, part["id"].take(pa.array(rows)), scores[at, rows, of]
 
     return matching.in_batches(sized.select("id", "s", "tokens"), index, schema, use)

@@ -9,14 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from claimspark.operators.sizes import BROADCAST_ROWS
 
 #: Scores of a passage and a query that are worked on at once in a task.
 CELLS = 2_000_000
+#: Passages of an Arrow batch at most, and passages whose tokens are Python strings at once.
+BATCH, LISTED = 1000, 64
 
 
 class Asked:
@@ -53,18 +58,30 @@ def leading(score: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.nonzero((more | equal) & (score > 0))
 
 
-def in_batches(df: DataFrame, index: Asked, schema: T.StructType, use: Callable) -> DataFrame:
-    """The rows that use(part, index) makes of each part of the batches, a pandas frame in order of id."""
-    shared = df.sparkSession.sparkContext.broadcast(index)
+def listed(column: pa.Array) -> Iterator[list]:
+    """The token lists of a column, LISTED at a time."""
+    for at in range(0, len(column), LISTED):
+        yield from column.slice(at, LISTED).to_pylist()
+
 
-    def run(batches: Iterator) -> Iterator:
-        rows = max(1, CELLS // max(1, len(shared.value.ids)))
+def in_batches(df: DataFrame, index: Asked, schema: T.StructType, use: Callable) -> DataFrame:
+    """The rows that use(part, index) makes of each part of the batches, an Arrow batch in order of id. A task's memory is that of BATCH passages, however many there are."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH:
+        spark.conf.set(most, BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, min(BATCH, CELLS // max(1, len(shared.value.ids))))
         for batch in batches:
-            batch = batch.sort_values("id")
-            for at in range(0, len(batch), rows):
-                yield use(batch.iloc[at : at + rows], shared.value)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                columns = use(part.take(pc.sort_indices(part["id"])), shared.value)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    types = to_arrow_schema(schema).types
+    return df.mapInArrow(run, schema)
 
 
 def pairs(passages: DataFrame, tokens, index: Asked, score: Callable, k: int, l_type: T.DataType) -> DataFrame:
@@ -72,12 +89,10 @@ def pairs(passages: DataFrame, tokens, index: Asked, score: Callable, k: int, l_
     schema = T.StructType([T.StructField("l", l_type), T.StructField("r", passages.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("l_n", "r_n", "shared")]])
 
     def use(part, index):
-        import pandas as pd
-
-        n = np.array([len(t) for t in part["t"]], np.int64)
-        shared = np.stack([index.shared(t) for t in part["t"]])
+        n = np.array(pc.list_value_length(part["t"]), np.int64)
+        shared = np.stack([index.shared(t) for t in listed(part["t"])])
         at, of = leading(np.where(shared > 0, score(shared, index.sizes[None, :], n[:, None]), 0.0), n, k)
-        return pd.DataFrame({"l": index.ids[of], "r": part["id"].to_numpy()[at], "l_n": index.sizes[of], "r_n": n[at], "shared": shared[at, of]})
+        return index.ids[of], part["id"].take(pa.array(at)), index.sizes[of], n[at], shared[at, of]
 
     return in_batches(passages.select("id", tokens("text").alias("t")), index, schema, use)
 
@@ -87,14 +102,12 @@ def nearest(passages: DataFrame, tokens, index: Asked, score: Callable) -> DataF
     schema = T.StructType([passages.schema["id"], T.StructField("best", T.DoubleType())])
 
     def use(part, index):
-        import pandas as pd
-
         def best(t):
             shared = index.shared(t)
             hit = np.flatnonzero(shared)
             return float(score(shared[hit], index.sizes[hit], len(t)).max()) if len(hit) else 0.0
 
-        return pd.DataFrame({"id": part["id"], "best": [best(t) for t in part["t"]]})
+        return part["id"], [best(t) for t in listed(part["t"])]
 
     return in_batches(passages.select("id", tokens("text").alias("t")), index, schema, use)
 
@@ -104,17 +117,15 @@ def weighted(passages: DataFrame, index: Asked, weight: dict[str, float], k1: fl
     schema = T.StructType([T.StructField("query", l_type), passages.schema["id"], T.StructField("score", T.DoubleType())])
 
     def use(part, index):
-        import pandas as pd
-
-        scores = np.zeros((len(part), len(index.ids)))
-        for row, tokens in enumerate(part["tokens"]):
+        scores = np.zeros((part.num_rows, len(index.ids)))
+        for row, tokens in enumerate(listed(part["tokens"])):
             found, counts = np.unique([t for t in tokens if t in index.postings], return_counts=True)
             if len(found):
                 hits = [index.postings[t] for t in found]
                 tf = counts / (counts + k1 * (1 - b + b * len(tokens) / mean)) * (k1 + 1) * np.array([weight[t] for t in found])
                 scores[row] = np.bincount(np.concatenate(hits), np.repeat(tf, [len(h) for h in hits]), minlength=len(index.ids))
         scores = np.round(scores, 6)
-        at, of = leading(scores, part["id"].to_numpy(), k)
-        return pd.DataFrame({"query": index.ids[of], "id": part["id"].to_numpy()[at], "score": scores[at, of]})
+        at, of = leading(scores, part["id"], k)
+        return index.ids[of], part["id"].take(pa.array(at)), scores[at, of]
 
     return in_batches(passages, index, schema, use)
