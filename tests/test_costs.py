@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import numbers as N
+from claimspark.operators import verification
 from claimspark.plans import catalogue
 
 
@@ -27,3 +28,17 @@ def test_a_bound_is_a_few_searches(spark, sf):
 )
 def test_bounds_at_the_edges(spark, claim, kind):
     assert spark.range(1).select(N.bound(F.lit(claim).cast("string"), F.lit("5"))).first()[0] == kind
+
+
+def test_wording_of_a_claim_is_read_once(spark, sf):
+    """What check joins is read already; a stated number is a few searches of its value."""
+    assert searches(catalogue.QUERIES["verify_guards"](spark, sf)) <= 4
+    claims = spark.createDataFrame([("about 3 to $1,234.5 million", "USD")], "value string, unit string")
+    read = claims.select(verification.stated_value(F.col("value"), F.col("unit")).alias("stated"))
+    assert searches(read) <= 7 and read.first()["stated"] == 1234500000.0
+
+
+@pytest.mark.parametrize("value, unit, stated, step", [("1,234", "", 1234.0, 0.5), ("$2.50 billion", "million", 2.5e9, 5e6), ("12 and 12", "thousand", 12000.0, 500.0), ("1 to 2", "million", None, None), ("5 of $3", "", 3.0, 0.5), ("", "", None, None), (None, None, None, None)])
+def test_stated_numbers(spark, value, unit, stated, step):
+    df = spark.createDataFrame([(value, unit)], "value string, unit string").withColumn("stated", verification.stated_value(F.col("value"), F.col("unit")))
+    assert df.select("stated", verification.stated_step(F.col("value"), F.col("stated"))).first() == (stated, step)
