@@ -34,6 +34,8 @@ DASH = r"^(?:[-–—]|to)$"
 VALUE = r"^\(?-?(?:US|C|A|HK)?[$€£¥]?\s?\d[\d,]*(?:\.\d+)?\s?%?\)?%?$"
 YEAR, ANY_YEAR, NOTE = r"^(?:19|20)\d{2}$", r"(?:19|20)\d{2}", r"^\(.+\)$"
 SHORT_NAME, LONG_NAME = 40, 120
+#: Pieces and characters after which a task hands on what it has read.
+PIECES, CHARACTERS = 10_000, 4_000_000
 
 PIECE = T.StructType(
     [
@@ -45,6 +47,8 @@ PIECE = T.StructType(
 
 def normalize(text: str) -> str:
     """One line of comparable text; raised digits are marked, so that a note's number doesn't join a figure."""
+    if text.isascii():  # nothing to mark, compose or drop
+        return " ".join(text.split())
     text = SUPERSCRIPT.sub(lambda m: "^" + m.group(), text)
     return " ".join(NOTHING.sub("", unicodedata.normalize("NFKC", text)).split())
 
@@ -161,22 +165,41 @@ class Reader(HTMLParser):
             self.words.append(data)
 
 
+def read_page(text: str) -> list[tuple]:
+    reader = Reader()
+    reader.feed(text)
+    reader.close()
+    reader.close_block()
+    return reader.pieces
+
+
 def pieces(pages: DataFrame, doc: str = "doc", html: str = "html") -> DataFrame:
     """doc and PIECE of every page: the only step that reads markup. A null page has none."""
     schema = T.StructType([T.StructField("doc", pages.schema[doc].dataType), *PIECE.fields])
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+
+        kinds = {"integer": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+        def handed_on(docs, at: list[int], read: list[tuple]):
+            columns = [pa.array(c, kinds[f.dataType.typeName()]) for c, f in zip(zip(*read), PIECE.fields)]
+            return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int32())), *columns], names=schema.names)
 
-        for batch in batches:
-            for d, text in zip(batch["d"], batch["h"]):
-                reader = Reader()
-                reader.feed(text or "")
-                reader.close()
-                reader.close_block()
-                yield pd.DataFrame([(d, *p) for p in reader.pieces], columns=schema.names).astype({c: "Int32" for c in ("row", "first", "last")})
+        for batch in batches:  # many pages make one batch, as a batch costs more than a page
+            docs, at, read, n = batch.column(0), [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                found = read_page(text.as_py() or "")
+                at += [i] * len(found)
+                read += found
+                n += sum(len(p[5]) for p in found)
+                if len(read) >= PIECES or n >= CHARACTERS:
+                    yield handed_on(docs, at, read)
+                    at, read, n = [], [], 0
+            if read:
+                yield handed_on(docs, at, read)
 
-    return pages.selectExpr(f"`{doc}` as d", f"`{html}` as h").mapInPandas(run, schema)
+    return pages.selectExpr(f"`{doc}` as d", f"`{html}` as h").mapInArrow(run, schema)
 
 
 TABLE = ["doc", "block"]
@@ -281,8 +304,9 @@ def row_values(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def table_rows(cells: DataFrame) -> DataFrame:
     """doc, block, row, text: each data row as `caption | name | header: value | …`. Stacked headers of a value's columns are read downward; a value that has none takes those of the column before it."""
-    cells = with_header_rows(cells)
+    cells = materialize(with_header_rows(cells), "html-cells")  # names, values, headers and captions all start from these
     names, values = row_values(cells)
+    values = materialize(values, "html-values")
     heads = header_cells(cells)
     near = values.join(heads, TABLE).where((F.col("h_first") <= F.col("last")) & (F.col("h_last") >= F.col("first") - 1))
     over = F.col("h_last") >= F.col("first")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import numbers as N
 from claimspark.operators import verification
 from claimspark.plans import catalogue
+from claimspark.sources import html
 
 
 def searches(df):
@@ -42,3 +43,22 @@ def test_wording_of_a_claim_is_read_once(spark, sf):
 def test_stated_numbers(spark, value, unit, stated, step):
     df = spark.createDataFrame([(value, unit)], "value string, unit string").withColumn("stated", verification.stated_value(F.col("value"), F.col("unit")))
     assert df.select("stated", verification.stated_step(F.col("value"), F.col("stated"))).first() == (stated, step)
+
+
+def test_cells_are_shuffled_once_for_all_that_is_read_from_them(spark, sf):
+    plan = catalogue.QUERIES["html_spans"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 10
+
+
+@pytest.mark.parametrize("pieces, characters", [(1, 10**6), (3, 10**6), (10**4, 10), (10**4, 10**6)])
+def test_pages_share_batches(spark, monkeypatch, pieces, characters):
+    """Where a batch ends changes nothing; ids of any type come through, and pages without text have no row."""
+    monkeypatch.setattr(html, "PIECES", pieces)
+    monkeypatch.setattr(html, "CHARACTERS", characters)
+    page = "<p>One² two</p><table><caption>C</caption><tr><th></th><th>2020</th></tr><tr><td rowspan=2>é\u200b a</td><td>5</td></tr><tr><td>6</td></tr></table>"
+    rows = [(f"d{i}", None if i % 5 == 0 else "" if i % 5 == 1 else page) for i in range(20)]
+    got = {}
+    for r in html.pieces(spark.createDataFrame(rows, "doc string, html string").repartition(2)).collect():
+        got.setdefault(r["doc"], []).append(tuple(r)[1:])
+    assert set(got) == {d for d, h in rows if h} and all(v == html.read_page(page) for v in got.values())
+    assert [p[5] for p in html.read_page(page)] == ["One^² two".replace("²", "2"), "", "2020", "é a", "5", "é a", "6"]
