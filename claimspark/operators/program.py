@@ -19,8 +19,8 @@ ONE_UNIT = ("add", "subtract", "sum", "compare", "pct_change", "reduction", "sha
 ONE_SCOPE = ("compare", "pct_change", "reduction")
 OPERATIONS = (*ONE_UNIT, "multiply", "divide")
 ABOUT = ("unit", "period", "population", "boundary")
-FIGURE = "struct<name:string,value:double,unit:string,period:string,population:string,boundary:string>"
-STATE = f"struct<figures:array<{FIGURE}>,results:array<struct<out:string,value:double,unit:string,period:string,error:string>>,ended:boolean>"
+#: Inputs and then what each step made; the last one's error ends the program.
+FIGURES = "array<struct<name:string,value:double,unit:string,period:string,population:string,boundary:string,error:string>>"
 RESULT = T.StructType([T.StructField("id", T.StringType()), T.StructField("out", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("period", T.StringType()), T.StructField("error", T.StringType())])
 
 
@@ -38,7 +38,8 @@ def cancelled(rate: Column, other: Column) -> Column:
     """What is over the bar of a rate, if all words under its last bar are in the other unit; else null."""
     below = F.substring_index(rate, "/", -1)
     over = F.trim(F.substring(rate, F.lit(1), F.length(rate) - F.length(below) - 1))
-    return F.when(rate.contains("/") & (F.size(words(below)) > 0) & (F.size(F.array_except(words(below), words(other))) == 0), over)
+    cancels = bound_to(words(below), lambda w: (F.size(w) > 0) & (F.size(F.array_except(w, words(other))) == 0))
+    return F.when(rate.contains("/") & cancels, over)
 
 
 def product_unit(a: Column, b: Column) -> Column:
@@ -47,25 +48,45 @@ def product_unit(a: Column, b: Column) -> Column:
     return F.coalesce(cancelled(a, b), cancelled(b, a), plain)
 
 
+def several(values: Column) -> Column:
+    """Whether an array holds different values."""
+    return F.exists(values, lambda v: v != F.get(values, 0))
+
+
 def common(values: Column) -> Column:
-    """The one value of an array's non-empty ones; '' for none or several."""
-    return F.when(F.size(values) == 1, F.get(values, 0)).otherwise("")
+    """The one value that all of an array are; '' for none or several."""
+    return F.when((F.size(values) > 0) & ~several(values), F.get(values, 0)).otherwise("")
+
+
+def constant(name: Column) -> Column:
+    """The figure of a constant's name, null for other names."""
+    out = F.lit(None).cast(FIGURES[6:-1])
+    for k, v in CONSTANTS.items():
+        out = F.when(name == k, F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"), *[F.lit("").alias(c) for c in ABOUT], F.lit(None).cast("string").alias("error"))).otherwise(out)
+    return F.when(name.startswith("const_"), out)
 
 
 def stepped(state: Column, step: Column) -> Column:
-    """The state after a step."""
-    last = lambda name: F.try_element_at(F.filter(state["figures"], lambda f: f["name"] == name), F.lit(-1))  # noqa: E731  a later figure hides an earlier one
+    """The state after a step. What is bound inside is small, as what is bound is copied."""
+    return F.when(F.get(state, F.size(state) - 1)["error"].isNotNull(), state).otherwise(F.concat(state, F.array(made(state, step))))
+
+
+def made(state: Column, step: Column) -> Column:
+    """The figure of a step, or its refusal."""
+    # a later figure hides an earlier one, and any a constant
+    last = lambda name: F.coalesce(F.try_element_at(F.filter(state, lambda f: f["name"] == name), F.lit(-1)), constant(name))
     args = F.coalesce(step["args"], F.array().cast("array<string>"))
-    return F.when(state["ended"], state).otherwise(bound_to(F.transform(args, last), lambda got: applied(state, step, args, got)))
+    return bound_to(F.transform(args, last), lambda got: applied(step["op"], step["out"], args, got))
 
 
-def applied(state: Column, step: Column, args: Column, got: Column) -> Column:
-    op, out = step["op"], step["out"]
-    distinct = lambda name: F.array_distinct(F.filter(F.transform(got, lambda g: g[name]), lambda x: x != ""))
-    covers = F.array_distinct(F.transform(F.filter(got, lambda g: (g["population"] != "") | (g["boundary"] != "")), lambda g: F.struct(g["population"], g["boundary"])))
+def applied(op: Column, out: Column, args: Column, got: Column) -> Column:
+    stated = lambda name: F.transform(F.filter(got, lambda g: g[name] != ""), lambda g: g[name])
+    covers = F.transform(F.filter(got, lambda g: (g["population"] != "") | (g["boundary"] != "")), lambda g: F.struct(g["population"], g["boundary"]))
+    part = lambda s, name: F.when(several(s), "").otherwise(F.coalesce(F.get(s, 0)[name], F.lit(""))).alias(name)
+    scope = bound_to(covers, lambda s: F.struct(several(s).alias("several"), part(s, "population"), part(s, "boundary")))
     return bound_to(
-        F.struct(distinct("unit").alias("units"), covers.alias("scopes"), common(distinct("period")).alias("period")),
-        lambda has: recorded(state, out, has, judged(op, out, args, got, has)),
+        F.struct(stated("unit").alias("units"), scope.alias("scope"), bound_to(stated("period"), common).alias("period")),
+        lambda has: recorded(out, has, judged(op, out, args, got, has)),
     )
 
 
@@ -90,11 +111,11 @@ def judged(op: Column, out: Column, args: Column, got: Column, has: Column) -> C
     def settled(v: Column) -> Column:
         """v: the value and the unit."""
         error = (
-            F.when(~op.isin(*OPERATIONS) | op.isNull(), "operation")
-            .when((F.size(got) < 2) | F.exists(got, lambda g: g.isNull()), "arguments")
-            .when(F.exists(got, lambda g: g["value"].isNull()), "number")
-            .when(op.isin(*ONE_UNIT) & (F.size(has["units"]) > 1), "units")
-            .when(op.isin(*ONE_SCOPE) & (F.size(has["scopes"]) > 1), "scope")
+            F.when(v["value"].isNull() & (~op.isin(*OPERATIONS) | op.isNull()), "operation")  # an unknown one has no value
+            .when(F.size(got) < 2, "arguments")
+            .when(F.exists(got, lambda g: g["value"].isNull()), F.when(F.exists(got, lambda g: g.isNull()), "arguments").otherwise("number"))
+            .when(several(has["units"]) & op.isin(*ONE_UNIT), "units")
+            .when(has["scope"]["several"] & op.isin(*ONE_SCOPE), "scope")
             .when(op.isin("pct_change", "reduction") & (year_of(first) > year_of(second)), "order")
             .when((op == "multiply") & (first != "") & (second != "") & (first != second), "periods")
             .when((op == "multiply") & v["unit"].isNull(), "units")
@@ -106,19 +127,14 @@ def judged(op: Column, out: Column, args: Column, got: Column, has: Column) -> C
     return bound_to(F.struct(value.alias("value"), unit.alias("unit")), settled)
 
 
-def recorded(state: Column, out: Column, has: Column, made: Column) -> Column:
-    """The state with a step's figure, or its refusal."""
+def recorded(out: Column, has: Column, settled: Column) -> Column:
+    """A step's figure; of a refusal only the name and the error."""
 
     def kept(m: Column) -> Column:
         fine = m["error"].isNull()
-        scope = F.when(F.size(has["scopes"]) == 1, F.get(has["scopes"], 0))
-        value = F.when(fine, exact(m["value"]))
-        figure = F.struct(out.alias("name"), value.alias("value"), m["unit"].alias("unit"), has["period"].alias("period"), F.coalesce(scope["population"], F.lit("")).alias("population"), F.coalesce(scope["boundary"], F.lit("")).alias("boundary"))
-        result = F.struct(out.alias("out"), value.alias("value"), F.when(fine, m["unit"]).alias("unit"), F.when(fine, F.nullif(has["period"], F.lit(""))).alias("period"), m["error"].alias("error"))
-        figures = F.when(fine, F.concat(state["figures"], F.array(figure))).otherwise(state["figures"])
-        return F.struct(figures.alias("figures"), F.concat(state["results"], F.array(result)).alias("results"), (~fine).alias("ended")).cast(STATE)
+        return F.struct(out.alias("name"), F.when(fine, exact(m["value"])).alias("value"), F.when(fine, m["unit"]).alias("unit"), F.when(fine, has["period"]).alias("period"), has["scope"]["population"], has["scope"]["boundary"], m["error"].alias("error"))
 
-    return bound_to(made, kept)
+    return bound_to(settled, kept)
 
 
 def results(inputs: Column, steps: Column, given: tuple[str, ...] = ("name", "value", *ABOUT)) -> Column:
@@ -130,11 +146,13 @@ def results(inputs: Column, steps: Column, given: tuple[str, ...] = ("name", "va
     year first), periods (a product of two), zero (no change from it, no share of it, no division by it) or base (a reduction from zero or below).
     """
     blank = F.lit("")
-    constants = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"), *[blank.alias(c) for c in ABOUT]) for k, v in CONSTANTS.items()])
     about = lambda i: [(F.coalesce(i[c], blank) if c in given else blank).alias(c) for c in ABOUT]
-    read = F.transform(F.coalesce(inputs, F.array().cast(inputs_type(given))), lambda i: F.struct(i["name"].alias("name"), F.trim(i["value"]).try_cast("double").alias("value"), *about(i)))
-    begin = F.struct(F.concat(constants, read).alias("figures"), F.array().alias("results"), F.lit(False).alias("ended")).cast(STATE)
-    return F.aggregate(F.coalesce(steps, F.array().cast("array<struct<op:string,args:array<string>,out:string>>")), begin, stepped, lambda s: s["results"])
+    error = F.lit(None).cast("string").alias("error")
+    read = F.transform(F.coalesce(inputs, F.array().cast(inputs_type(given))), lambda i: F.struct(i["name"].alias("name"), F.trim(i["value"]).try_cast("double").alias("value"), *about(i), error))
+    results_of = lambda s: F.transform(
+        F.slice(s, F.coalesce(F.size(inputs), F.lit(0)) + 1, F.size(s)), lambda f: F.struct(f["name"].alias("out"), f["value"].alias("value"), f["unit"].alias("unit"), F.nullif(f["period"], blank).alias("period"), f["error"].alias("error"))
+    )
+    return F.aggregate(F.coalesce(steps, F.array().cast("array<struct<op:string,args:array<string>,out:string>>")), read.cast(FIGURES), stepped, results_of)
 
 
 def inputs_type(given: tuple[str, ...]) -> str:
@@ -144,5 +162,7 @@ def inputs_type(given: tuple[str, ...]) -> str:
 def execute(programs: DataFrame) -> DataFrame:
     """RESULT rows of (id, inputs, steps), one for each step up to the first refusal; see `results`. Inputs may lack what they don't state. A program without steps has no row."""
     given = tuple(programs.schema["inputs"].dataType.elementType.names)
-    rows = programs.select(F.col("id").cast("string").alias("id"), F.explode(results(F.col("inputs").cast(inputs_type(given)), F.col("steps"), given)).alias("r"))
+    fits = programs.schema["inputs"].dataType.simpleString() == inputs_type(given)
+    inputs = F.col("inputs") if fits else F.col("inputs").cast(inputs_type(given))
+    rows = programs.select(F.col("id").cast("string").alias("id"), F.explode(results(inputs, F.col("steps"), given)).alias("r"))
     return rows.select("id", "r.*").select(*RESULT.names)

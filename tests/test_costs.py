@@ -62,3 +62,9 @@ def test_pages_share_batches(spark, monkeypatch, pieces, characters):
         got.setdefault(r["doc"], []).append(tuple(r)[1:])
     assert set(got) == {d for d, h in rows if h} and all(v == html.read_page(page) for v in got.values())
     assert [p[5] for p in html.read_page(page)] == ["One^² two".replace("²", "2"), "", "2020", "é a", "5", "é a", "6"]
+
+
+def test_a_program_carries_only_its_figures(spark, sf):
+    """What a fold carries is copied with every step, so neither constants nor a second list of results are in it."""
+    plan = catalogue.QUERIES["program_execute"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[[const_1," not in plan and "struct(figures" not in plan
