@@ -148,9 +148,10 @@ def results(inputs: Column, steps: Column, given: tuple[str, ...] = ("name", "va
     blank = F.lit("")
     about = lambda i: [(F.coalesce(i[c], blank) if c in given else blank).alias(c) for c in ABOUT]
     error = F.lit(None).cast("string").alias("error")
-    read = F.transform(F.coalesce(inputs, F.array().cast(inputs_type(given))), lambda i: F.struct(i["name"].alias("name"), F.trim(i["value"]).try_cast("double").alias("value"), *about(i), error))
+    inputs = F.coalesce(inputs, F.array().cast(inputs_type(given)))
+    read = F.transform(inputs, lambda i: F.struct(i["name"].alias("name"), F.trim(i["value"]).try_cast("double").alias("value"), *about(i), error))
     results_of = lambda s: F.transform(
-        F.slice(s, F.coalesce(F.size(inputs), F.lit(0)) + 1, F.size(s)), lambda f: F.struct(f["name"].alias("out"), f["value"].alias("value"), f["unit"].alias("unit"), F.nullif(f["period"], blank).alias("period"), f["error"].alias("error"))
+        F.slice(s, F.size(inputs) + 1, F.size(s)), lambda f: F.struct(f["name"].alias("out"), f["value"].alias("value"), f["unit"].alias("unit"), F.nullif(f["period"], blank).alias("period"), f["error"].alias("error"))
     )
     return F.aggregate(F.coalesce(steps, F.array().cast("array<struct<op:string,args:array<string>,out:string>>")), read.cast(FIGURES), stepped, results_of)
 
